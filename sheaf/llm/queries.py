@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, licenses, quality, sharding, simhash, token_counts, token_output
+from . import bpe, decontamination, edits, language_model, licenses, quality, sharding, simhash, token_counts, token_output
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,10 +62,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_token_output, op2_token_counts, op3_quality, op5_decontamination, op6_licenses, op7_bpe, op8_sharding, op9_simhash)
+        for f in (op1_token_output, op2_token_counts, op3_quality, op4_edits, op5_decontamination, op6_licenses, op7_bpe, op8_sharding, op9_simhash, op10_language_model)
     }
 
 
