@@ -15,6 +15,7 @@ import hashlib
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,14 +28,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, ranges, scratch, texts
+from .common import pieces, ranges, scratch, texts, written
+from .words import Kept
+
+#: Fixed value: how a tokenizer's file says that small letters are made and then parted from signs by this pattern.
+LOWERED = r"""{"type":"Lowercase"}]},"pre_tokenizer":{"type":"Sequence","pretokenizers":[{"type":"Split","pattern":{"Regex":"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},"behavior":"Removed","invert":true}"""
 
 MAGIC = b"TIDZ"
 VERSION = 1
 
 
-#: Words whose ids a worker keeps from earlier slices; when full, the table starts anew.
-KEPT = 250_000
+#: Words whose ids a worker keeps from earlier slices.
+KEPT = 500_000
 
 
 @cache
@@ -57,33 +62,47 @@ class WordwiseEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size()
         self.wordwise = splits_at_spaces(self.tokenizer)
-        self.kept: dict[str, np.ndarray] = {}
+        self.fine = self.wordwise and LOWERED in self.tokenizer.to_str()
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kept = Kept("<u2" if self.vocab <= 1 << 16 else "<u4", KEPT)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one document after the other, and each document's number of ids."""
         if not self.wordwise:
             found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
-        words = pc.split_pattern(pc.replace_substring(column.cast(pa.large_string()), "\n", " "), " ")
-        offsets = np.asarray(words.offsets, dtype=np.int64)
-        coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        codes = np.asarray(coded.indices, dtype=np.int64)
-        distinct = coded.dictionary.to_pylist()
-        found = list(map(self.kept.get, distinct))
-        new = [w for w, x in zip(distinct, found, strict=True) if x is None]
-        if len(self.kept) + len(new) > KEPT:
-            self.kept = {}
-        fresh = {w: np.array(x.ids, np.uint16 if self.vocab <= 1 << 16 else np.uint32) for w, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        self.kept.update(fresh if len(fresh) <= KEPT else {})
-        found = [fresh[w] if x is None else x for w, x in zip(distinct, found, strict=True)]
-        own = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate([np.zeros(0, np.uint16), *found])
-        first = np.cumsum(own) - own
-        each = own[codes]
-        ids = flat[ranges(first[codes], each)]
-        before = np.concatenate([[0], np.cumsum(each)])
-        at = offsets - offsets[0]
-        return ids, before[at[1:]] - before[at[:-1]]
+        at, codes, distinct = _dictionary(pc.split_pattern(pc.replace_substring(column.cast(pa.large_string()), "\n", " "), " "))
+        parts_at, part_codes, parts = _dictionary(pc.split_pattern(self._parted(distinct), " "))
+        flat, own = self.kept.of(parts.to_pylist(), self._new)
+        flat, own = _gathered(flat, own, part_codes, parts_at)
+        return _gathered(flat, own, codes, at)
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        kind = "H" if self.vocab <= 1 << 16 else "I"
+        return [array(kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _parted(self, words: pa.Array) -> pa.Array:
+        """Words in small letters with their signs set apart, as the tokenizer does anyway; not those with an added token."""
+        if not self.fine:
+            return words
+        plain = pc.replace_substring_regex(pc.ascii_lower(words), r"([a-z])([!-&(-/:-@\[-`{-~])", r"\1 \2")
+        for x in self.added:
+            plain = pc.if_else(pc.match_substring(words, x, ignore_case=True), words, plain)
+        return plain
+
+
+def _dictionary(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Bounds of the lists, their values as codes, and what the codes stand for."""
+    offsets = np.asarray(lists.offsets, dtype=np.int64)
+    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    return offsets - offsets[0], np.asarray(coded.indices, dtype=np.int64), coded.dictionary
+
+
+def _gathered(flat: np.ndarray, own: np.ndarray, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each list of codes one after the other, and their number; flat has those of each code, own their number."""
+    each = own[codes]
+    before = np.append(0, np.cumsum(each))
+    return flat[ranges((np.cumsum(own) - own)[codes], each)], before[at[1:]] - before[at[:-1]]
 
 
 def splits_at_spaces(tokenizer) -> bool:
@@ -133,7 +152,10 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, *, end_id: int, sha
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if known:
+            known.precompute_compress(level=level)  # else it is prepared anew for every document
+        packer = zstandard.ZstdCompressor(level=level, dict_data=known)
         for batch in pieces(batches):
             ids, counts = encode(batch.column(1))
             ends = np.cumsum(counts)
@@ -164,7 +186,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, *, end_id: int, sha
         yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "name": [name], "documents": [len(sizes)], "tokens": [int(starts[-1])]})
 
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = rows.mapInArrow(frames, "doc_id long, n_tokens long, frame binary")
+    # written first: ranges are found by reading doc_id twice, which must not encode twice
+    encoded = written(rows.mapInArrow(frames, "doc_id long, n_tokens long, frame binary"), "frames")
     spread = encoded.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
     manifest = sorted((r.asDict() for r in spread.mapInArrow(shard, "shard int, name string, documents long, tokens long").collect()), key=lambda x: x["shard"])
     start = 0
