@@ -15,12 +15,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import pieces, ranges, texts
+from .words import Kept
 
 #: Distinct words encoded by one recursive query; bounds its memory.
 WORDS_AT_ONCE = 60_000
 
-#: Words whose tokens a worker keeps from earlier slices; when full, the table starts anew.
-KEPT = 200_000
+#: Words whose tokens a worker keeps from earlier slices.
+KEPT = 400_000
 
 #: Words between contractions: one row a token. Each round joins neighbouring tokens to the merge table and contracts the
 #: leftmost pair of least rank of every word; a word without a pair to merge leaves the recursion.
@@ -70,12 +71,10 @@ class DuckBpe:
         ranks = read_ranks(path)
         self.findall = regex.compile(pattern).findall
         self.bytes = np.array([ranks[bytes([n])] for n in range(256)], np.int32)
-        self.whole = {k.decode(): r for k, r in ranks.items() if _is_text(k)}
+        self.kept = Kept("<i4", KEPT, {k.decode(): np.array(r, "<i4").tobytes() for k, r in ranks.items() if _is_text(k)})
         # in-memory: what would not fit is an error of the task, never a file on a local disk
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         rows = [(ranks[k[:n]], ranks[k[n:]], r) for k, r in ranks.items() for n in range(1, len(k)) if k[:n] in ranks and k[n:] in ranks]
-        self.kept: dict[str, tuple[int, int, int]] = {}
-        self.flat: list[np.ndarray] = []
         self._put("merges", {"a": pa.array([x[0] for x in rows], pa.int32()), "b": pa.array([x[1] for x in rows], pa.int32()), "rank": pa.array([x[2] for x in rows], pa.int32())})
         self._put("vocabulary", {"token": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([k.hex() for k in ranks])})
 
@@ -86,29 +85,15 @@ class DuckBpe:
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each word one word after the other, and their number. Words that are tokens themselves need no query."""
-        single = np.array([self.whole.get(w, -1) for w in words], np.int32)
-        rest = np.flatnonzero(single < 0).tolist()
-        new = [i for i in rest if words[i] not in self.kept]
-        if len(self.kept) + len(new) > KEPT:
-            self.kept, self.flat, new = {}, [], rest
-        for part in _parts(new, words):
-            counts, tokens = self._contracted([words[i].encode() for i in part])
-            ends = np.cumsum(counts).tolist()
-            held = len(self.flat)
-            self.flat.append(tokens)
-            for i, b, n in zip(part, ends, counts.tolist(), strict=True):
-                self.kept[words[i]] = (held, b - n, n)
-        found = [self.kept[words[i]] for i in rest]
-        bases = np.cumsum([0, *map(len, self.flat)])
-        known = np.array(found, np.int64).reshape(-1, 3)
-        counts = np.ones(len(words), np.int64)
-        counts[rest] = known[:, 2]
-        tokens = np.empty(int(counts.sum()), np.int32)
-        first = np.cumsum(counts) - counts
-        tokens[first[single >= 0]] = single[single >= 0]
-        if rest:
-            tokens[ranges(first[rest], known[:, 2])] = np.concatenate(self.flat)[ranges(bases[known[:, 0]] + known[:, 1], known[:, 2])]
-        return tokens, counts
+        return self.kept.of(words, self._new)
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for part in _parts(words):
+            counts, tokens = self._contracted([w.encode() for w in part])
+            raw, ends = tokens.astype("<i4").tobytes(), 4 * np.cumsum(counts)
+            out += [raw[b - 4 * n : b] for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+        return out
 
     def _contracted(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(x) for x in raw], np.int64)
@@ -141,15 +126,15 @@ class DuckBpe:
         return out
 
 
-def _parts(wanted: list[int], words: list[str]) -> Iterator[list[int]]:
+def _parts(words: list[str]) -> Iterator[list[str]]:
     """At most WORDS_AT_ONCE words a query, and no more than as many times eight characters, or one longer word."""
     part, size = [], 0
-    for i in wanted:
+    for w in words:
         if part and (len(part) >= WORDS_AT_ONCE or size >= 8 * WORDS_AT_ONCE):
             yield part
             part, size = [], 0
-        part.append(i)
-        size += len(words[i])
+        part.append(w)
+        size += len(w)
     if part:
         yield part
 
@@ -196,7 +181,7 @@ def round_trip_digest(docs: DataFrame, ranks: str, pattern: str, *, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         db = engine(ranks, pattern)
-        for batch in pieces(batches, limit=2 << 20):
+        for batch in pieces(batches, limit=3 << 20):
             ids, counts = db.encode(batch.column(1).to_pylist())
             raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
             yield pa.RecordBatch.from_pydict({
