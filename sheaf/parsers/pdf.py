@@ -1,8 +1,234 @@
-"""Not built yet."""
+"""PDF documents to pages and Markdown: headings by the most common font size, tables, links, notes, bookmarks, attachments."""
 
-from .base import ConversionError, Options, Pages
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+from . import images
+from .base import ConversionError, Image, Options, Page, Pages
+from .markdown import padded_table
+from .package import human_bytes, single_line
+from .pdf_core import Document, Ref, Stream
+from .pdf_text import Interpreter, Line, Table, lines_of, ruled_tables
+
+_NUMBER = re.compile(r"^(?:[-–—]\s*)?(?:\d{1,4}|[ivxlcdmIVXLCDM]{1,8}|[ⅰ-ⅿⅠ-Ⅿ]{1,6})(?:\s*[-–—])?$")
+_SECTION = re.compile(r"^(\d+(?:\.\d+)*)\.?\s+\S")
+PAGES_DEEP, OUTLINE_DEEP, MOST_NODES = 256, 20, 4096
+_CODED = {"DCTDecode": "jpeg", "DCT": "jpeg", "JPXDecode": "jp2", "CCITTFaxDecode": "ccitt", "JBIG2Decode": "jbig2"}
+
+
+@dataclass
+class Laid:
+    """A page before it is rendered."""
+
+    number: int
+    width: float
+    height: float
+    lines: list[Line] = field(default_factory=list)
+    tables: list[Table] = field(default_factory=list)
+    images: list[Image] = field(default_factory=list)
+    places: list[float] = field(default_factory=list)
+    links: list[tuple[str, str]] = field(default_factory=list)
+    notes: list[str] = field(default_factory=list)
+    undecoded: int = 0
+
+
+class Pdf:
+    def __init__(self, data: bytes, options: Options):
+        self.doc, self.options, self.fonts = Document(data), options, {}
+        self.pages = list(self._tree(self.doc.dict(self.doc.trailer.get("Root")).get("Pages")))
+        if not self.pages:
+            self.pages = [(d, Ref(n, 0), {}) for n in sorted(self.doc.at) if (d := self.doc.dict(Ref(n, 0))).get("Type") == "Page"]
+        if not self.pages:
+            raise ConversionError("no pages in document")
+
+    def _tree(self, ref, above: dict | None = None, seen: frozenset = frozenset(), depth: int = 0) -> Iterator[tuple[dict, object, dict]]:
+        node, key = self.doc.dict(ref), ref.number if isinstance(ref, Ref) else id(ref)
+        if not node or key in seen or depth > PAGES_DEEP:
+            return
+        own = {**(above or {}), **{k: node[k] for k in ("MediaBox", "CropBox", "Rotate", "Resources") if k in node}}
+        if "Kids" in node:
+            for kid in self.doc.list(node["Kids"]):
+                yield from self._tree(kid, own, seen | {key}, depth + 1)
+        else:
+            yield node, ref, own
+
+    def wanted(self) -> list[int]:
+        """Pages from 0 in the order asked for, all if none is."""
+        return [p for p in self.options.pages if p < len(self.pages)] if self.options.pages else list(range(len(self.pages)))
+
+    def laid(self, n: int) -> Laid:
+        node, _, own = self.pages[n]
+        box = [self.doc.number(v) for v in self.doc.list(own.get("MediaBox"))]
+        box = box if len(box) == 4 else [0, 0, 612, 792]
+        page = Laid(n + 1, abs(box[2] - box[0]), abs(box[3] - box[1]))
+        if int(self.doc.number(own.get("Rotate"))) % 180:
+            page.width, page.height = page.height, page.width
+        parts = self.doc.get(node.get("Contents"))
+        raw = b"\n".join(self.doc.decoded(s) for p in (parts if isinstance(parts, list) else [parts]) if isinstance(s := self.doc.get(p), Stream))
+        run = Interpreter(self.doc, self.fonts)
+        run.run(raw, self.doc.dict(own.get("Resources")))
+        page.undecoded = run.out.undecoded
+        if self.options.tables and not self.options.plain:
+            page.tables = ruled_tables(run.out.rules, run.out.chars)
+        free = [c for c in run.out.chars if not any(t.box[0] - 1 <= (c.x + c.right) / 2 <= t.box[2] + 1 and t.box[1] - 1 <= c.y + c.size * 0.3 <= t.box[3] + 1 for t in page.tables)]
+        page.lines = lines_of(free)
+        if self.options.images:
+            self._images(run.out.images, page)
+        self._annotations(node, page)
+        return page
+
+    def _images(self, found: list, page: Laid) -> None:
+        seen = set()
+        for info, stream, ctm in found:
+            if id(stream) in seen:
+                continue
+            seen.add(id(stream))
+            wide, high = int(self.doc.number(info.get("Width"))), int(self.doc.number(info.get("Height")))
+            names = self.doc.get(info.get("Filter"))
+            last = str(self.doc.get((names if isinstance(names, list) else [names])[-1])) if names else ""
+            image = Image(page.number - 1, f"page{page.number}_img{len(page.images)}", _CODED.get(last, "bin"), self.doc.decoded(stream), wide, high)
+            if images.wanted(image, self.options) and image.data:
+                page.images.append(image)
+                page.places.append(ctm[5])
+
+    def _annotations(self, node: dict, page: Laid) -> None:
+        for ref in self.doc.list(node.get("Annots"))[:MOST_NODES]:
+            a = self.doc.dict(ref)
+            kind, text = str(self.doc.get(a.get("Subtype"))), pdf_string(self.doc.get(a.get("Contents")))
+            uri = self.doc.get(self.doc.dict(a.get("A")).get("URI"))
+            if kind == "Link" and isinstance(uri, bytes):
+                box = [self.doc.number(v) for v in self.doc.list(a.get("Rect"))]
+                label = " ".join(x.text for x in page.lines if len(box) == 4 and box[1] - 2 <= x.y <= box[3] + 2 and x.left < box[2] and x.right > box[0]) if len(box) == 4 else ""
+                page.links.append((single_line(text or label), uri.decode("utf-8", "replace")))
+            elif kind in ("Text", "FreeText", "Highlight", "Underline", "StrikeOut", "Popup") and text.strip():
+                page.notes.append(single_line(text))
+
+    def bookmarks(self) -> list[tuple[int, str, int]]:
+        """(depth, title, page from 1 or 0) of the outline."""
+        at = {ref.number: n + 1 for n, (_, ref, _) in enumerate(self.pages) if isinstance(ref, Ref)}
+        out, seen = [], set()
+
+        def walk(ref, depth: int) -> None:
+            while ref is not None and depth <= OUTLINE_DEEP and len(out) < MOST_NODES:
+                node, key = self.doc.dict(ref), ref.number if isinstance(ref, Ref) else id(ref)
+                if not node or key in seen:
+                    return
+                seen.add(key)
+                target = self.doc.get(node.get("Dest")) or self.doc.get(self.doc.dict(node.get("A")).get("D"))
+                first = target[0] if isinstance(target, list) and target else None
+                title = single_line(pdf_string(self.doc.get(node.get("Title"))))
+                if title:
+                    out.append((depth, title, at.get(first.number, 0) if isinstance(first, Ref) else 0))
+                walk(node.get("First"), depth + 1)
+                ref = node.get("Next")
+
+        walk(self.doc.dict(self.doc.dict(self.doc.trailer.get("Root")).get("Outlines")).get("First"), 0)
+        return out
+
+    def attachments(self) -> list[tuple[str, int, str]]:
+        """(name, size, description) of embedded files, each once."""
+        root = self.doc.dict(self.doc.dict(self.doc.trailer.get("Root")).get("Names")).get("EmbeddedFiles")
+        out, seen, todo = [], set(), [root]
+        while todo and len(seen) < MOST_NODES:
+            ref = todo.pop(0)
+            node, key = self.doc.dict(ref), ref.number if isinstance(ref, Ref) else id(ref)
+            if not node or key in seen:
+                continue
+            seen.add(key)
+            todo += self.doc.list(node.get("Kids"))
+            for spec in self.doc.list(node.get("Names"))[1::2]:
+                own = self.doc.dict(spec)
+                name = single_line(pdf_string(self.doc.get(own.get("UF")) or self.doc.get(own.get("F"))))
+                file = self.doc.get(self.doc.dict(own.get("EF")).get("F"))
+                if name and isinstance(file, Stream) and id(file) not in seen:
+                    seen.add(id(file))
+                    size = int(self.doc.number(self.doc.dict(file.info.get("Params")).get("Size"))) or len(self.doc.decoded(file))
+                    out.append((name, size, single_line(pdf_string(self.doc.get(own.get("Desc"))))))
+        return out
+
+
+def pdf_string(raw) -> str:
+    if not isinstance(raw, bytes):
+        return ""
+    if raw[:2] in (b"\xfe\xff", b"\xff\xfe"):
+        return raw.decode("utf-16", "replace")
+    return raw[3:].decode("utf-8", "replace") if raw[:3] == b"\xef\xbb\xbf" else raw.decode("cp1252", "replace")
+
+
+def modal_size(pages: list[Laid]) -> float:
+    """The size that most characters of all pages have; of equals the smaller."""
+    counts: Counter = Counter()
+    for p in pages:
+        for line in p.lines:
+            counts[line.size] += len(line.text)
+    return max(counts, key=lambda s: (counts[s], -s)) if counts else 0.0
+
+
+def heading_level(line: Line, body: float) -> int:
+    ratio = line.size / body if body else 1.0
+    level = next((n for n, least in ((1, 1.8), (2, 1.5), (3, 1.3)) if ratio >= least), 3 if line.bold and ratio >= 1.1 else 0)
+    if not level and line.bold and len(line.text) <= 120 and (m := _SECTION.match(line.text)):
+        return min(m[1].count(".") + 3, 6)
+    return level
+
+
+def rendered(page: Laid, body: float, options: Options) -> str:
+    """Lines with tables and images where they stand; wrapped headings joined; page numbers at the foot left out."""
+    lines = list(page.lines)
+    if lines:
+        low = min(x.y for x in lines)
+        lines = [x for n, x in enumerate(lines) if not ((x.y == low or n >= len(lines) - 2) and _NUMBER.match(x.text))]
+    inserts = [(t.box[3], "\n" + padded_table(t.rows) + "\n") for t in page.tables]
+    inserts += [(y, f"![{i.name}]({images.reference(i, options)})\n\n") for y, i in zip(page.places, page.images, strict=True)]
+    inserts.sort(key=lambda x: -x[0])
+    out, last = [], None
+    for line in lines:
+        while inserts and inserts[0][0] > line.y:
+            out.append(("insert", inserts.pop(0)[1]))
+            last = None
+        level = heading_level(line, body)
+        gap = last.y - line.y if last else 0.0
+        if level and last and out[-1][0] == level and last.bold == line.bold and 0 < gap <= 1.5 * line.size:
+            out[-1] = (level, out[-1][1] + " " + line.text)
+        elif level:
+            out.append((level, line.text))
+        elif last and out[-1][0] == "text" and 0 < gap <= 1.6 * line.size:
+            out[-1] = ("text", out[-1][1] + "\n" + line.text)
+        else:
+            out.append(("text", line.text))
+        last = line
+    out += [("insert", t) for _, t in inserts]
+    text = "".join(t if kind == "insert" else f"{'#' * kind} {t}\n\n" if isinstance(kind, int) else f"{t}\n\n" for kind, t in out)
+    if page.undecoded:
+        text += f"<!-- {page.undecoded} characters could not be decoded -->\n"
+    if page.links:
+        text += "\n**Links:**\n" + "".join(f"- [{t}]({u})\n" if t else f"- <{u}>\n" for t, u in dict.fromkeys(page.links))
+    if page.notes:
+        text += "\n**Notes:**\n" + "".join(f"> {n}\n\n" for n in page.notes)
+    return text
+
+
+def _laid(pdf: Pdf) -> tuple[list[Laid], float]:
+    by = {n: pdf.laid(n) for n in dict.fromkeys(pdf.wanted())}
+    return [by[n] for n in pdf.wanted()], modal_size(list(by.values()))
 
 
 def pages(data: bytes, options: Options = Options()) -> Pages:
-    raise ConversionError("unsupported format")
-    yield
+    found, body = _laid(Pdf(data, options))
+    for p in found:
+        yield Page(p.number, rendered(p, body, options), p.width, p.height, body, [t.rows for t in p.tables], p.images)
+
+
+def markdown(data: bytes, options: Options = Options()) -> str:
+    pdf = Pdf(data, options)
+    found, body = _laid(pdf)
+    shown = {p.number for p in found}
+    marks = [(d, t, n) for d, t, n in pdf.bookmarks() if not n or n in shown]
+    out = "## Table of Contents\n\n" + "".join(f"{'  ' * d}- {t}" + (f" *(p.{n})*" if n else "") + "\n" for d, t, n in marks) + "\n" if marks else ""
+    if files := pdf.attachments():
+        out += "## Attachments\n\n" + "".join(f"- {n} ({human_bytes(s)})" + (f" — {d}" if d else "") + "\n" for n, s, d in files) + "\n"
+    return out + "\n".join(f"--- Page {p.number} ---\n\n{rendered(p, body, options)}" for p in found)

@@ -191,3 +191,12 @@ def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: x), lambda x: true), chr(10)) AS plain FROM documents")
 def plain_text_option(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", udf.to_markdown(F.col("text").cast("binary"), F.lit("a.txt"), Options("text")).getField("markdown").alias("plain"))
+
+
+@query(r"SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS lines FROM (SELECT conv_id, turn, rtrim(substr(regexp_replace(line, '[^ -~]', 'x', 'g'), 1, 60)) AS line FROM (SELECT conv_id, turn, 'T' || turn || ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || 'z' AS line FROM conversations)) GROUP BY conv_id")
+def pdf_roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("T"), F.col("turn").cast("string"), F.lit(" "), F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("z"))
+    turns = table(spark, sf_dir, "conversations").withColumn("line", F.rtrim(F.substring(F.regexp_replace(line, "[^ -~]", "x"), 1, 60)))
+    files = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda t: t["line"]).alias("lines"))
+    pages = tables.document_pages(files.select("conv_id", synthetic.pdf(F.col("lines")).alias("content")), keep=["conv_id"])
+    return pages.select("conv_id", F.array_join(F.filter(F.split("text", "\n"), lambda x: x != ""), "\n").alias("lines"))
