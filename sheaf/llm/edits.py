@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from .common import texts, written
 
 #: Sweeps over the three tables before a sketch counts as too small, and the factor by which it then grows.
-SWEEPS, GROWTH = 5, 8
+SWEEPS, GROWTH = 3, 8
 #: Rows in a bucket of consecutive ids, and most buckets: their bounds are the only thing the driver sees.
 BUCKET_ROWS, MOST_BUCKETS = 2000, 1 << 16
 #: Seeds of the cell in each table and of the check.
@@ -104,32 +104,67 @@ def _merged(rows: DataFrame) -> DataFrame:
     return out.where("left <> 0 OR digest <> 0 OR checks <> 0")
 
 
-def _peel(rows: DataFrame) -> DataFrame:
-    """Rounds of peeling, one table at a time: within a table a digest is in one cell, so none is taken out twice."""
+def _peel(rows: DataFrame, keep: bool) -> DataFrame:
+    """Rounds of peeling, one table at a time: within a table a digest is in one cell, so none is taken out twice.
+
+    Recovered digests become rows of cell -1: each with its digest in `found` and 1 or -1 in `left`, if they are to be
+    kept; else one row a pair, with their number in `left`.
+    """
     for step in range(SWEEPS * len(SEEDS)):
         t, d = step % len(SEEDS), F.col("digest")
         pure = (F.abs("left") == 1) & (F.col("cell") == _cell(t, d)) & (F.col("checks") == _check(d))
         row = lambda cell, found, left, digest, checks: F.struct(cell.cast("long").alias("cell"), found.alias("found"), left.alias("left"), digest.alias("digest"), checks.alias("checks"))
         zero = F.lit(0).cast("long")
         away = [row(_cell(o, d), zero, -F.col("left"), d, F.col("checks")) for o in range(len(SEEDS)) if o != t]
-        split = F.when(pure, F.array(*away, row(F.lit(-1), d, F.col("left"), zero, zero))).otherwise(F.array(row(F.col("cell"), F.col("found"), F.col("left"), d, F.col("checks"))))
+        split = F.when(pure, F.array(*away, row(F.lit(-1), d if keep else zero, F.col("left") if keep else F.lit(1).cast("long"), zero, zero))).otherwise(F.array(row(F.col("cell"), F.col("found"), F.col("left"), d, F.col("checks"))))
         rows = _merged(rows.select("rid", "pair", "cells", F.inline(split)))
     return rows
 
 
-def _differences(rows: DataFrame) -> DataFrame:
-    """rid, pair, differing: how many digests the versions of a pair differ in, by as many attempts as it takes."""
+def _differences(rows: DataFrame, keep: bool = False) -> DataFrame:
+    """What the versions of rows(rid, na, ne, nn, digests) differ in, by as many attempts as it takes.
+
+    Per rid and pair the number of differing digests; or, to keep them, each digest, with side 1 if only the text has it
+    and -1 if only the other version.
+    """
     spark, done, attempt, rest = rows.sparkSession, [], 0, rows
     while True:
         count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rest.count() / 1500))
-        peel = _peel(_sketched(rest.repartition(count, "rid"), attempt))
-        tally = peel.groupBy("rid", "pair").agg(F.count(F.when(F.col("cell") == -1, 1)).alias("differing"), F.count(F.when(F.col("cell") != -1, 1)).alias("stuck"))
-        tally = written(tally, f"peeled-{attempt}")
-        done.append(tally.where("stuck = 0").select("rid", "pair", "differing"))
-        stuck = written(tally.where("stuck > 0").select("rid").distinct(), "stuck")
+        peel = _peel(_sketched(rest.repartition(count, "rid"), attempt), keep)
+        if keep:
+            state = written(peel.select("rid", "pair", "cell", "found", "left"), f"peeled-{attempt}")
+            stuck = written(state.where("cell <> -1").select("rid").distinct(), "stuck")
+            done.append(state.where("cell = -1").join(stuck, "rid", "left_anti").select("rid", "pair", F.col("found").alias("digest"), F.col("left").cast("int").alias("side")))
+        else:
+            tally = peel.groupBy("rid", "pair").agg(F.coalesce(F.sum(F.when(F.col("cell") == -1, F.col("left"))), F.lit(0)).alias("differing"), F.count(F.when(F.col("cell") != -1, 1)).alias("stuck"))
+            tally = written(tally, f"peeled-{attempt}")
+            stuck = written(tally.where("stuck > 0").select("rid").distinct(), "stuck")
+            done.append(tally.join(stuck, "rid", "left_anti").select("rid", "pair", "differing"))
         if stuck.isEmpty():
-            return reduce(DataFrame.union, done).groupBy("rid", "pair").agg(F.max("differing").alias("differing"))
-        rest, attempt = written(rows.join(stuck, "rid", "left_semi"), "again"), attempt + 1
+            return reduce(DataFrame.union, done)
+        rest, attempt = written(rest.join(stuck, "rid", "left_semi"), "again"), attempt + 1
+
+
+def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per document what describes it, and the paragraph digests of its text (na), its edited text (ne) and the next (nn)."""
+    led = _with_next(texts(docs, id_col, text_col))
+    chars = F.char_length("text")
+    half = F.floor(chars / 2).cast("int")
+    edited = led.select("rid", "doc_id", "text", "next_text", chars.alias("n_chars"), F.concat(F.substring("text", F.lit(1), chars - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    sets = edited.select("rid", "doc_id", "n_chars", "text", "edited", paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("e"), paragraphs(F.col("next_text")).alias("n"))
+    return sets.select(
+        "rid", "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        shown(F.col("text"), F.col("a")).alias("fingerprint"), shown(F.col("edited"), F.col("e")).alias("edited_fingerprint"),
+        F.size("a").alias("na"), F.size("e").alias("ne"), F.size("n").alias("nn"), F.concat("a", "e", "n").alias("digests"),
+    )
+
+
+def paragraph_differences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, other (edited or next), digest, side: the paragraph digests by which each text differs from those versions,
+    recovered from subtracted sketches; side 1 if only the text has it. Nulls and ties as in `edit_fingerprints`."""
+    table = written(_versions(docs, id_col, text_col), "paragraphs")
+    found = _differences(table.select("rid", "na", "ne", "nn", "digests"), keep=True)
+    return found.join(table.select("rid", "doc_id"), "rid").select("doc_id", F.when(F.col("pair") == 0, "edited").otherwise("next").alias("other"), "digest", "side")
 
 
 def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,16 +177,7 @@ def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     A null text is the empty one; a null doc_id sorts first; rows of one id are ordered by their text and each have a
     result; a single document is its own next; an empty table gives no rows; other columns are not read.
     """
-    led = _with_next(texts(docs, id_col, text_col))
-    chars = F.char_length("text")
-    half = F.floor(chars / 2).cast("int")
-    edited = led.select("rid", "doc_id", "text", "next_text", chars.alias("n_chars"), F.concat(F.substring("text", F.lit(1), chars - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    sets = edited.select("rid", "doc_id", "n_chars", "text", "edited", paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("e"), paragraphs(F.col("next_text")).alias("n"))
-    table = written(sets.select(
-        "rid", "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        shown(F.col("text"), F.col("a")).alias("fingerprint"), shown(F.col("edited"), F.col("e")).alias("edited_fingerprint"),
-        F.size("a").alias("na"), F.size("e").alias("ne"), F.size("n").alias("nn"), F.concat("a", "e", "n").alias("digests"),
-    ), "paragraphs")
+    table = written(_versions(docs, id_col, text_col), "paragraphs")
     found = _differences(table.select("rid", "na", "ne", "nn", "digests"))
     wide = found.groupBy("rid").agg(F.max(F.when(F.col("pair") == 0, F.col("differing"))).alias("d0"), F.max(F.when(F.col("pair") == 1, F.col("differing"))).alias("d1"))
     near = lambda d, n: F.when(F.col("na") + F.col(n) == 0, 1.0).otherwise(1 - F.coalesce(F.col(d), F.lit(0)) / (F.col("na") + F.col(n)))
