@@ -93,7 +93,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Per document the number of runs between white space, all runs as codes, and the runs that the codes stand for."""
-    runs = pc.utf8_split_whitespace(column.cast(pa.large_string()))
+    trimmed = pc.utf8_trim_whitespace(column.cast(pa.large_string()))
+    runs = pc.utf8_split_whitespace(trimmed)
     offsets = np.asarray(runs.offsets, dtype=np.int64)
     found = runs.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    return np.diff(offsets), np.asarray(found.indices, dtype=np.int64), found.dictionary.to_pylist()
+    counts, codes = np.diff(offsets), np.asarray(found.indices, dtype=np.int64)
+    blank = np.asarray(pc.equal(pc.binary_length(trimmed), 0))
+    if blank.any():  # a blank text is split into one empty run
+        codes, counts = codes[~np.repeat(blank, counts)], np.where(blank, 0, counts)
+    return counts, codes, found.dictionary.to_pylist()
