@@ -139,6 +139,7 @@ class Egg:
         source = _Slices(_decoded(blocks))
         for m in found:
             m.parts = failing("encrypted member unsupported") if m.encrypted else lambda m=m: source.take(m.size)
+            source.left = m.size
             yield m
             source.finish()
 

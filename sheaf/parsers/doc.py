@@ -1,8 +1,145 @@
-"""Not built yet."""
+"""Word documents of old (.doc): the piece table's text, fields, cells and breaks, to Markdown by the look of lines."""
 
-from .base import ConversionError, Options, Pages
+from __future__ import annotations
+
+import re
+import struct
+
+from ..containers.cfb import CompoundFile
+from .base import ConversionError, Options, Page, Pages
+from .markdown import capped_lines, table as markdown_table
+
+_ITEM = re.compile(r"^(?:[•·▪‣◦●○■\-\*]\s+)(.*)$")
+_ORDERED = re.compile(r"^(\d{1,3})[.)]\s+(.*)$")
+_LINK = re.compile(r'HYPERLINK\s+"([^"]*)"')
+MOST_TEXT = 1 << 28
+
+
+def text_of(data: bytes) -> str:
+    """All characters in order, from one piece or many."""
+    try:
+        f = CompoundFile(data)
+    except ValueError as e:
+        raise ConversionError("cannot open document") from e
+    word = f.read("WordDocument")
+    if len(word) < 32:
+        raise ConversionError("no document stream")
+    magic, version, _, _, _, flags = struct.unpack_from("<HHHHHH", word)
+    if magic not in (0xA5EC, 0xA5DC, 0xA59B):
+        raise ConversionError("not a Word document")
+    if flags & 0x100:
+        raise ConversionError("document is encrypted")
+    if version < 0xC1 or len(word) < 0x1AA:
+        first, last = struct.unpack_from("<II", word, 24)
+        return word[first : min(last, len(word))].decode("cp1252", "replace")
+    table = f.read("1Table" if flags & 0x200 else "0Table")
+    where, size = struct.unpack_from("<II", word, 0x1A2)
+    pieces, at = table[where : where + size], 0
+    while at < len(pieces) and pieces[at] == 1:
+        at += 3 + struct.unpack_from("<H", pieces, at + 1)[0]
+    if at + 5 > len(pieces) or pieces[at] != 2:
+        first, last = struct.unpack_from("<II", word, 24)
+        return word[first : min(last, len(word))].decode("cp1252", "replace")
+    length = struct.unpack_from("<I", pieces, at + 1)[0]
+    body = pieces[at + 5 : at + 5 + length]
+    n, out, total = (len(body) - 4) // 12, [], 0
+    ends = struct.unpack_from(f"<{n + 1}I", body)
+    for k in range(n):
+        place, count = struct.unpack_from("<I", body, 4 * (n + 1) + 8 * k + 2)[0], max(0, ends[k + 1] - ends[k])
+        total += count
+        if total > MOST_TEXT:
+            raise ConversionError("document too large")
+        if place & 0x40000000:
+            a = (place & 0x3FFFFFFF) // 2
+            out.append(word[a : a + count].decode("cp1252", "replace"))
+        else:
+            out.append(word[place : place + 2 * count].decode("utf-16-le", "replace"))
+    main = sum(struct.unpack_from("<6I", word, 0x4C)) if len(word) >= 0x64 else 0
+    whole = "".join(out)
+    return whole[:main] if 0 < main < len(whole) else whole
+
+
+def plain(raw: str) -> str:
+    """Fields as their results (links keep their target), breaks as lines, other controls left out."""
+    out: list[str] = []
+    fields: list[list] = []  # [code, whether in the result, place where the result begins]
+    for c in raw:
+        if c == "\x13":
+            fields.append([[], False, 0])
+        elif c == "\x14" and fields:
+            fields[-1][1], fields[-1][2] = True, len(out)
+        elif c == "\x15" and fields:
+            code, shown, at = fields.pop()
+            m = _LINK.search("".join(code))
+            if m and shown and not fields:
+                label = "".join(out[at:]).strip()
+                del out[at:]
+                out.append(f"[{label}]({m[1]})" if label else m[1])
+        elif fields and not fields[-1][1]:
+            fields[-1][0].append(c)
+        elif c in "\r\x0b\n":
+            out.append("\n")
+        elif c == "\x07":
+            out.append("\x07")
+        elif c == "\x0c":
+            out.append("\n\x0c\n")
+        elif c == "\x1e":
+            out.append("-")
+        elif c == "\t" or c >= " ":
+            out.append(c)
+    return "".join(out)
+
+
+def rendered(text: str) -> tuple[str, list[list[list[str]]]]:
+    """Lines as headings, items, tables and paragraphs. A heading is short, alone between blank lines, without a stop."""
+    out, tables, page = ["--- Page 1 ---\n\n"], [], 1
+    cells = re.split(r"((?:[^\x07]*\x07)+)", text) if "\x07" in text else [text]
+    for part in cells:
+        if "\x07" in part:
+            before, _, first = part.split("\x07")[0].rpartition("\n")
+            if before:
+                out += _lines(before, page)
+            rows, row = [], []
+            for n, cell in enumerate(part.split("\x07")[:-1]):
+                value = (first if not n else cell).strip().replace("\n", " ").replace("|", "/")
+                if not value and row and cell == "":
+                    rows.append(row)
+                    row = []
+                else:
+                    row.append(value)
+            rows += [row] if row else []
+            tables.append(rows)
+            out.append("\n" + markdown_table(rows) + "\n")
+        else:
+            for k, piece in enumerate(part.split("\x0c")):
+                if k:
+                    page += 1
+                    out.append(f"\n--- Page {page} ---\n\n")
+                out += _lines(piece, page)
+    return capped_lines("".join(out)).strip("\n") + "\n", tables
+
+
+def _lines(text: str, page: int) -> list[str]:
+    lines, out = [x.strip() for x in text.split("\n")], []
+    for n, line in enumerate(lines):
+        alone = (n == 0 or not lines[n - 1]) and (n + 1 == len(lines) or not lines[n + 1])
+        if not line:
+            continue
+        if m := _ITEM.match(line):
+            out.append(f"- {m[1]}\n")
+        elif m := _ORDERED.match(line):
+            out.append(f"{m[1]}. {m[2]}\n")
+        elif alone and len(lines) > 1 and len(line.encode()) <= 80 and not re.search(r"[.;,]$", line) and n + 1 < len(lines):
+            out.append(f"## {line}\n\n")
+        else:
+            out.append(f"{line}\n\n")
+    return out
 
 
 def pages(data: bytes, options: Options = Options()) -> Pages:
-    raise ConversionError("unsupported format")
-    yield
+    text, tables = rendered(plain(text_of(data)))
+    yield Page(1, text, 612.0, 792.0, 12.0, tables if options.tables else [])
+
+
+def markdown(data: bytes, options: Options = Options()) -> str:
+    return next(pages(data, options)).text
