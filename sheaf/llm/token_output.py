@@ -121,7 +121,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, *, end_id: int, width: int
 
     The bound only affects how well frames compress, never what they hold. Without enough to learn from: no dictionary (b"").
     """
-    rows = docs.where(F.octet_length("text") <= longest).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text").collect()
+    short = docs.where(F.octet_length("text") <= longest)
+    chosen = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = short.join(F.broadcast(chosen.distinct()), "doc_id").select("text").limit(2 * sample).collect()
     if not rows:
         return b""
     ids, counts = encoder(tokenizer).encode(pa.array([r.text for r in rows], pa.string()))
