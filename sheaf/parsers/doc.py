@@ -6,7 +6,8 @@ import re
 import struct
 
 from ..containers.cfb import CompoundFile
-from .base import ConversionError, Options, Page, Pages
+from . import escher, images
+from .base import ConversionError, Image, Options, Page, Pages
 from .markdown import capped_lines, table as markdown_table
 
 _ITEM = re.compile(r"^(?:[•·▪‣◦●○■\-\*]\s+)(.*)$")
@@ -136,9 +137,34 @@ def _lines(text: str, page: int) -> list[str]:
     return out
 
 
+def pictures(data: bytes, options: Options) -> list[Image]:
+    """Inline pictures of the data stream: a size, a head of 68 bytes, then drawing records."""
+    raw, found, at = CompoundFile(data).read("Data"), [], 0
+    while options.images and at + 68 <= len(raw):
+        size, head = struct.unpack_from("<IH", raw, at)
+        if size < 68 or at + size > len(raw):
+            break
+        a = at + head
+        for kind, _, x, y in escher.records(raw, a, at + size):
+            inner = next(escher.records(raw, x + 36, y), None) if kind == 0xF007 else None
+            if inner and (got := escher.blip(raw, *inner)):
+                image = Image(1, f"page1_img{len(found)}", *got)
+                image.width, image.height = images.dimensions(image.data)
+                if images.wanted(image, options):
+                    found.append(image)
+        at += size
+    return found
+
+
 def pages(data: bytes, options: Options = Options()) -> Pages:
-    text, tables = rendered(plain(text_of(data)))
-    yield Page(1, text, 612.0, 792.0, 12.0, tables if options.tables else [])
+    """One page; a picture's mark in the text gives way to its reference, others follow the text."""
+    raw = text_of(data)
+    found = pictures(data, options)
+    refs = [f"![{i.name}]({images.reference(i, options)})" for i in found]
+    marks = iter(refs[: raw.count("\x01")])
+    text, tables = rendered(plain("".join(next(marks, "") if c == "\x01" else c for c in raw)))
+    text += "".join(f"\n{r}\n" for r in refs[raw.count("\x01") :])
+    yield Page(1, text, 612.0, 792.0, 12.0, tables if options.tables else [], found)
 
 
 def markdown(data: bytes, options: Options = Options()) -> str:

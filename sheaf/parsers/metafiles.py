@@ -118,12 +118,13 @@ def pages(data: bytes, options: Options = Options()) -> Pages:
     emf = data[:4] == b"\1\0\0\0" and data[40:44] == b" EMF"
     if not emf and data[:4] != b"\xd7\xcd\xc6\x9a" and data[:2] not in (b"\1\0", b"\2\0"):
         raise ConversionError("not a metafile")
-    from . import images
+    from . import images, png
 
     found = []
     for n, bitmap in enumerate(emf_bitmaps(data) if emf and options.images else []):
-        image = Image(1, f"page1_img{n}", "bmp", bitmap)
-        image.width, image.height = images.dimensions(bitmap)
+        picture = png.of_bitmap(bitmap)
+        image = Image(1, f"page1_img{n}", "png" if picture else "bmp", picture or bitmap)
+        image.width, image.height = images.dimensions(image.data)
         if images.wanted(image, options):
             found.append(image)
     refs = "".join(f"\n![{i.name}]({images.reference(i, options)})\n" for i in found)

@@ -7,12 +7,12 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from . import images
+from . import images, png
 from .base import ConversionError, Image, Options, Page, Pages
 from .markdown import padded_table
 from .package import human_bytes, single_line
 from .pdf_core import Document, Ref, Stream
-from .pdf_text import Interpreter, Line, Table, lines_of, ruled_tables
+from .pdf_text import Interpreter, Line, Table, aligned_tables, lines_of, ruled_tables
 
 _NUMBER = re.compile(r"^(?:[-–—]\s*)?(?:\d{1,4}|[ivxlcdmIVXLCDM]{1,8}|[ⅰ-ⅿⅠ-Ⅿ]{1,6})(?:\s*[-–—])?$")
 _SECTION = re.compile(r"^(\d+(?:\.\d+)*)\.?\s+\S")
@@ -34,6 +34,7 @@ class Laid:
     links: list[tuple[str, str]] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
     undecoded: int = 0
+    degraded: int = 0
 
 
 class Pdf:
@@ -74,7 +75,8 @@ class Pdf:
         page.undecoded = run.out.undecoded
         if self.options.tables and not self.options.plain:
             page.tables = ruled_tables(run.out.rules, run.out.chars)
-        free = [c for c in run.out.chars if not any(t.box[0] - 1 <= (c.x + c.right) / 2 <= t.box[2] + 1 and t.box[1] - 1 <= c.y + c.size * 0.3 <= t.box[3] + 1 for t in page.tables)]
+            page.tables += aligned_tables([c for c in run.out.chars if not any(_inside(c, t) for t in page.tables)] if page.tables else run.out.chars)
+        free = [c for c in run.out.chars if not any(_inside(c, t) for t in page.tables)] if page.tables else run.out.chars
         page.lines = lines_of(free)
         if self.options.images:
             self._images(run.out.images, page)
@@ -90,11 +92,54 @@ class Pdf:
             wide, high = int(self.doc.number(info.get("Width"))), int(self.doc.number(info.get("Height")))
             names = self.doc.get(info.get("Filter"))
             last = str(self.doc.get((names if isinstance(names, list) else [names])[-1])) if names else ""
-            image = Image(page.number - 1, f"page{page.number}_img{len(page.images)}", _CODED.get(last, "bin"), self.doc.decoded(stream), wide, high)
-            if images.wanted(image, self.options) and image.data:
+            image = Image(page.number - 1, f"page{page.number}_img{len(page.images)}", _CODED.get(last, "bin"), b"", wide, high)
+            if not images.wanted(image, self.options):
+                continue
+            image.data = self.doc.decoded(stream)
+            if last not in _CODED and (picture := self._pixels(info, image.data, wide, high)):
+                image.data, image.format = picture, "png"
+            page.degraded += image.format in ("bin", "ccitt", "jbig2")
+            if image.data:
                 page.images.append(image)
                 page.places.append(ctm[5])
 
+    def _pixels(self, info: dict, data: bytes, wide: int, high: int) -> bytes:
+        """A PNG of samples in grey, colours, print colours or a palette; empty for others."""
+        bits = int(self.doc.number(info.get("BitsPerComponent"), 1 if self.doc.get(info.get("ImageMask")) else 8))
+        space, palette = self.doc.get(info.get("ColorSpace")), b""
+        if isinstance(space, list) and space and str(self.doc.get(space[0])) in ("Indexed", "I") and len(space) > 3:
+            table = self.doc.get(space[3])
+            palette = self.doc.decoded(table) if isinstance(table, Stream) else bytes(table or b"")
+            space = self.doc.get(space[1])
+            channels = 1
+        else:
+            channels = self._channels(space)
+        if wide <= 0 or high <= 0 or wide * high > png.MOST_PIXELS or bits not in (1, 2, 4, 8) or not channels:
+            return b""
+        samples = png.unpacked(data, wide * channels, high, bits)
+        if len(samples) < wide * high * channels:
+            return b""
+        if palette:
+            colours = self._channels(space)
+            one = [_rgb(palette[colours * n : colours * (n + 1)].ljust(colours, b"\0")) for n in range(256)]
+            return png.encoded(wide, high, 3, b"".join(map(one.__getitem__, samples)))
+        if bits < 8:
+            full = (1 << bits) - 1
+            flip = [self.doc.number(v) for v in self.doc.list(info.get("Decode"))][:2] == [1, 0]
+            samples = samples.translate(bytes((255 * (full - v if flip else v) // full) & 255 for v in range(full + 1)) + bytes(255 - full))
+        if channels == 4:
+            return png.encoded(wide, high, 3, b"".join(_rgb(samples[a : a + 4]) for a in range(0, 4 * wide * high, 4)))
+        return png.encoded(wide, high, channels, samples)
+
+    def _channels(self, space) -> int:
+        """Samples a pixel of a colour space; 0 if it isn't known."""
+        if isinstance(space, list) and space:
+            kind = str(self.doc.get(space[0]))
+            if kind == "ICCBased" and len(space) > 1:
+                return int(self.doc.number(self.doc.dict(space[1]).get("N"), 3))
+            return {"CalGray": 1, "CalRGB": 3, "Lab": 3}.get(kind, 0)
+        return {"DeviceGray": 1, "G": 1, "DeviceRGB": 3, "RGB": 3, "DeviceCMYK": 4, "CMYK": 4, "None": 1}.get(str(space), 0)
+
     def _annotations(self, node: dict, page: Laid) -> None:
         for ref in self.doc.list(node.get("Annots"))[:MOST_NODES]:
             a = self.doc.dict(ref)
@@ -151,6 +196,18 @@ class Pdf:
         return out
 
 
+def _inside(c, t: Table) -> bool:
+    return t.box[0] - 1 <= (c.x + c.right) / 2 <= t.box[2] + 1 and t.box[1] - 1 <= c.y + c.size * 0.3 <= t.box[3] + 1
+
+
+def _rgb(sample: bytes) -> bytes:
+    """Grey, colours or print colours as three bytes."""
+    if len(sample) == 4:
+        rest = 255 - sample[3]
+        return bytes((255 - c) * rest // 255 for c in sample[:3])
+    return sample * 3 if len(sample) == 1 else sample[:3]
+
+
 def pdf_string(raw) -> str:
     if not isinstance(raw, bytes):
         return ""
@@ -220,7 +277,7 @@ def _laid(pdf: Pdf) -> tuple[list[Laid], float]:
 def pages(data: bytes, options: Options = Options()) -> Pages:
     found, body = _laid(Pdf(data, options))
     for p in found:
-        yield Page(p.number, rendered(p, body, options), p.width, p.height, body, [t.rows for t in p.tables], p.images)
+        yield Page(p.number, rendered(p, body, options), p.width, p.height, body, [t.rows for t in p.tables], p.images, p.degraded)
 
 
 def markdown(data: bytes, options: Options = Options()) -> str:

@@ -138,7 +138,7 @@ class Font:
             yield text, self.widths.get(code, self.default) * self.scale, step == 1 and code == 32
 
 
-@dataclass
+@dataclass(slots=True)
 class Char:
     text: str
     x: float
@@ -271,19 +271,22 @@ class Interpreter:
             self.run(self.doc.decoded(s), self.doc.dict(s.info.get("Resources")) or resources, times(tuple(own), ctm) if len(own) == 6 else ctm, depth + 1)
 
     def _show(self, raw: bytes, s: dict, tm: Matrix) -> Matrix:
-        font, size = s["font"], s["size"]
+        """Places the characters of a string: along it only the origin moves, by steps of the text's own axis."""
+        font, size, scale = s["font"], s["size"], s["scale"]
         if not font:
             return tm
+        axes = times(tm, s["ctm"])
+        x, y = axes[4] + s["rise"] * axes[2], axes[5] + s["rise"] * axes[3]
+        height = max(abs(size) * (axes[2] ** 2 + axes[3] ** 2) ** 0.5, 0.01)
+        wide, moved, put = size * scale, 0.0, self.out.chars.append
         for text, width, space in font.shown(raw):
-            m = times((size * s["scale"], 0, 0, size, 0, s["rise"]), times(tm, s["ctm"]))
-            move = (width * size + s["char"] + (s["word"] if space else 0)) * s["scale"]
             if text:
-                own = max((m[2] ** 2 + m[3] ** 2) ** 0.5, 0.01)
-                self.out.chars.append(Char(text, m[4], m[5], m[4] + width * m[0], own, font.bold, font.italic))
+                left = x + moved * axes[0]
+                put(Char(text, left, y + moved * axes[1], left + width * wide * axes[0], height, font.bold, font.italic))
             else:
                 self.out.undecoded += 1
-            tm = times((1, 0, 0, 1, move, 0), tm)
-        return tm
+            moved += width * wide + (s["char"] + (s["word"] if space else 0)) * scale
+        return times((1, 0, 0, 1, moved, 0), tm)
 
 
 def lines_of(chars: list[Char]) -> list[Line]:
@@ -292,13 +295,7 @@ def lines_of(chars: list[Char]) -> list[Line]:
     chars = [c for c in chars if c.text.strip() or c.text == " "]
     if not chars:
         return []
-    tolerance = 0.4 * median_high(c.size for c in chars)
-    rows: list[list[Char]] = []
-    for c in sorted(chars, key=lambda c: (-c.y, c.x)):
-        if rows and abs(rows[-1][0].y - c.y) <= tolerance:
-            rows[-1].append(c)
-        else:
-            rows.append([c])
+    rows = _rows(chars)
     gutter = _gutter(rows)
     lines = []
     for row in rows:
@@ -387,6 +384,74 @@ def ruled_tables(rules: list[tuple[float, float, float, float]], chars: list[Cha
     return out
 
 
+def aligned_tables(chars: list[Char]) -> list[Table]:
+    """Tables without rules: at least three rows that follow closely, of short cells whose left edges stand below each other
+    in two columns or more. Pages of two text columns have none."""
+    marks = [c for c in chars if c.text.strip()]
+    if len(marks) < 12:
+        return []
+    rows = _rows(chars)
+    if _gutter(rows):
+        return []
+    split = [_cells(sorted(r, key=lambda c: c.x)) for r in rows]
+    out, block = [], []
+    for cells in [*split, None]:
+        if cells and len(cells) >= 2 and all(len(c[2]) <= 40 for c in cells) and (not block or _below(block[-1], cells)):
+            block.append(cells)
+            continue
+        if len(block) >= 3:
+            out.append(_aligned(block))
+        block = [cells] if cells and len(cells) >= 2 and all(len(c[2]) <= 40 for c in cells) else []
+    return [t for t in out if t]
+
+
+def _rows(chars: list[Char]) -> list[list[Char]]:
+    kept = [c for c in chars if c.text.strip() or c.text == " "]
+    tolerance = 0.4 * median_high(c.size for c in kept)
+    rows: list[list[Char]] = []
+    for c in sorted(kept, key=lambda c: (-c.y, c.x)):
+        if rows and abs(rows[-1][0].y - c.y) <= tolerance:
+            rows[-1].append(c)
+        else:
+            rows.append([c])
+    return rows
+
+
+def _cells(row: list[Char]) -> list[tuple[float, float, str, list[Char]]]:
+    """(left, right, text, characters) of parts with a wide gap between."""
+    parts: list[list[Char]] = []
+    for c in (c for c in row if c.text.strip()):
+        if parts and c.x - parts[-1][-1].right <= 1.5 * c.size:
+            parts[-1].append(c)
+        else:
+            parts.append([c])
+    return [(p[0].x, p[-1].right, _line(p).text, p) for p in parts]
+
+
+def _below(above: list, cells: list) -> bool:
+    first, second = above[0][3][0], cells[0][3][0]
+    near = 0 < first.y - second.y <= 2.2 * max(first.size, second.size)
+    return near and sum(any(abs(a[0] - b[0]) < 4 or abs(a[1] - b[1]) < 4 for a in above) for b in cells) >= 2
+
+
+def _aligned(block: list) -> Table | None:
+    lefts = _clustered([c[0] for row in block for c in row])
+    columns = [x for n, x in enumerate(lefts) if not n or x - lefts[n - 1] > 12]
+    if not 2 <= len(columns) <= 40:
+        return None
+    rows = []
+    for row in block:
+        out = [""] * len(columns)
+        for left, _, value, _ in row:
+            n = max((k for k, x in enumerate(columns) if x <= left + 4), default=0)
+            out[n] = f"{out[n]} {value}".strip().replace("|", "\\|")
+        rows.append(out)
+    if sum(c != "" for r in rows for c in r) < 0.6 * len(rows) * len(columns):
+        return None
+    every = [c for row in block for cell in row for c in cell[3]]
+    return Table(rows, (min(c.x for c in every), min(c.y for c in every) - 1, max(c.right for c in every), max(c.y + c.size for c in every)))
+
+
 def _touching(flat: list, tall: list) -> list[tuple[list, list]]:
     """Rules joined where one crosses or meets another."""
     root = list(range(len(flat) + len(tall)))

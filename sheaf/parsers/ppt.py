@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from ..containers.cfb import CompoundFile
-from .base import ConversionError, Options, Page, Pages
+from . import escher, images
+from .base import ConversionError, Image, Options, Page, Pages
 
 _SLIDE, _NOTES, _LIST, _PERSIST = 0x03EE, 0x03F0, 0x0FF0, 0x03F3
 _HEADER, _CHARS, _BYTES = 0x0F9F, 0x0FA0, 0x0FA8
@@ -32,6 +33,7 @@ class Slide:
     title: str = ""
     lines: list[str] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
+    pictures: list[int] = field(default_factory=list)
 
 
 def _clean(text: str) -> list[str]:
@@ -47,9 +49,26 @@ class Deck:
         self.data = f.read("PowerPoint Document")
         if not self.data:
             raise ConversionError("no presentation stream")
+        self.pictures = self._store(f.read("Pictures"))
         self.at = self._pointers(f.read("Current User"))
         self.slides = list(self._listed()) or list(self._scanned())
 
+    def _store(self, raw: bytes) -> dict[int, tuple[str, bytes]]:
+        """Pictures by their number in the document's store, whose entries say where each begins."""
+        at = {x - 8: escher.blip(raw, k, i, x, y) for k, i, x, y in escher.records(raw)}
+        found, number, todo = {}, 0, [(0, len(self.data), 0)]
+        while todo:
+            a, b, depth = todo.pop()
+            for k, version, _, x, y in records(self.data, a, b):
+                if k == 0xF007:
+                    number += 1
+                    where = struct.unpack_from("<I", self.data, x + 28)[0] if y - x >= 32 else -1
+                    if at.get(where):
+                        found[number] = at[where]
+                elif version == 15 and depth < 6 and k in (0x03E8, 0x040B, 0xF000, 0xF001):
+                    todo.append((x, y, depth + 1))
+        return found
+
     def _pointers(self, user: bytes) -> dict[int, int]:
         """Places of persistent objects, the newest of each."""
         found: dict[int, int] = {}
@@ -114,12 +133,16 @@ class Deck:
                 notes[owner] = [line for _, text in self._texts(*box) for line in _clean(text)]
         for persist, ident, texts in lists.get(0, []):
             box = self._object(persist, _SLIDE)
-            yield _slide([*texts, *(t for t in (self._texts(*box) if box else ()) if t not in texts)], notes.get(ident, []))
+            slide = _slide([*texts, *(t for t in (self._texts(*box) if box else ()) if t not in texts)], notes.get(ident, []))
+            slide.pictures = escher.shown(self.data, *box) if box else []
+            yield slide
 
     def _scanned(self) -> Iterator[Slide]:
         for k, _, _, a, b in records(self.data, 0, len(self.data)):
             if k == _SLIDE:
-                yield _slide(list(self._texts(a, b)), [])
+                slide = _slide(list(self._texts(a, b)), [])
+                slide.pictures = escher.shown(self.data, a, b)
+                yield slide
 
 
 def _slide(texts: list[tuple[int, str]], notes: list[str]) -> Slide:
@@ -133,16 +156,27 @@ def _slide(texts: list[tuple[int, str]], notes: list[str]) -> Slide:
     return slide
 
 
-def rendered(slide: Slide, number: int) -> str:
+def rendered(slide: Slide, number: int, refs: str = "") -> str:
     lines = [f"- {x.lstrip('•').lstrip()}\n" if x.startswith("•") else f"{x}\n" for x in slide.lines]
     notes = "".join(("\n> **Notes:** " if not n else "> ") + x + "\n" for n, x in enumerate(slide.notes))
-    return ("\n" if number > 1 else "") + f"--- Page {number} ---\n\n" + (f"# {slide.title}\n\n" if slide.title else "") + "".join(lines) + notes + "\n"
+    return ("\n" if number > 1 else "") + f"--- Page {number} ---\n\n" + (f"# {slide.title}\n\n" if slide.title else "") + "".join(lines) + refs + notes + "\n"
 
 
 def pages(data: bytes, options: Options = Options()) -> Pages:
-    for n, slide in enumerate(Deck(data).slides, 1):
-        if options.wants(n):
-            yield Page(n, rendered(slide, n), 720.0, 540.0, 24.0)
+    deck = Deck(data)
+    for n, slide in enumerate(deck.slides, 1):
+        if not options.wants(n):
+            continue
+        page, refs = Page(n, "", 720.0, 540.0, 24.0), ""
+        for k in slide.pictures if options.images else ():
+            if k in deck.pictures:
+                image = Image(n, f"page{n}_img{len(page.images)}", *deck.pictures[k])
+                image.width, image.height = images.dimensions(image.data)
+                if images.wanted(image, options):
+                    page.images.append(image)
+                    refs += f"![{image.name}]({images.reference(image, options)})\n"
+        page.text = rendered(slide, n, refs)
+        yield page
 
 
 def markdown(data: bytes, options: Options = Options()) -> str:

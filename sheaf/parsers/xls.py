@@ -6,7 +6,8 @@ import struct
 from collections.abc import Iterator
 
 from ..containers.cfb import CompoundFile
-from .base import ConversionError, Options, Page, Pages
+from . import escher, images
+from .base import ConversionError, Image, Options, Page, Pages
 from .numbers import formatted, general
 from .sheets import Sheet
 
@@ -64,6 +65,7 @@ class Workbook:
         if not self.raw:
             raise ConversionError("no workbook stream")
         self.strings: list[str] = []
+        self.drawing = b""
         self.sheets: list[tuple[str, int]] = []
         self.fonts: list[tuple[bool, bool]] = []
         self.codes: dict[int, str] = {}
@@ -102,6 +104,8 @@ class Workbook:
                 self.fonts.append((struct.unpack_from("<H", body, 6)[0] >= 700, bool(body[2] & 2)))
             elif kind == 0x41E and len(body) >= 5:
                 self.codes[struct.unpack_from("<H", body)[0]] = _Strings([body[2:]]).string()
+            elif kind == 0xEB:
+                self.drawing += body if not after else b"".join(self._continued(body, after))
             elif kind == 0xE0 and len(body) >= 4:
                 self.styles.append(struct.unpack_from("<HH", body))
 
@@ -156,14 +160,30 @@ class Workbook:
         return sheet
 
 
+def _images(book: Workbook, options: Options) -> list[Image]:
+    found = []
+    for form, data in filter(None, escher.blips(book.drawing)) if options.images else ():
+        image = Image(1, f"page1_img{len(found)}", form, data)
+        image.width, image.height = images.dimensions(data)
+        if images.wanted(image, options):
+            found.append(image)
+    return found
+
+
 def pages(data: bytes, options: Options = Options()) -> Pages:
+    """Sheets with cells. Pictures are dealt to them evenly in order: the records don't say which sheet shows one."""
     book = Workbook(data)
-    for n in range(1, len(book.sheets) + 1):
-        sheet = book.sheet(n)
-        if sheet.cells:
-            page: Page = sheet.page(n, options)
-            page.page_width, page.page_height, page.body_font_size = 612.0, 792.0, 10.0
-            yield page
+    sheets = [(n, s) for n in range(1, len(book.sheets) + 1) if (s := book.sheet(n)).cells]
+    found = _images(book, options)
+    share = -(-len(found) // len(sheets)) if sheets else 0
+    for k, (n, sheet) in enumerate(sheets):
+        page: Page = sheet.page(n, options)
+        page.page_width, page.page_height, page.body_font_size = 612.0, 792.0, 10.0
+        for image in found[k * share : (k + 1) * share]:
+            image.page_number = n
+            page.images.append(image)
+            page.text += f"![{image.name}]({images.reference(image, options)})\n\n"
+        yield page
 
 
 def markdown(data: bytes, options: Options = Options()) -> str:

@@ -460,3 +460,45 @@ def test_image_sizes():
 
 def test_gzipped_tar_is_made_here():
     assert gzip.decompress(gzip.compress(tarred([("a", b"b")])))[257:262] == b"ustar"
+
+
+def test_pdf_aligned_table_and_pixels():
+    cells = b"".join(b"BT /F1 10 Tf %d %d Td (%s) Tj ET " % (x, 400 - 14 * r, t) for r, row in enumerate(((b"Name", b"Count", b"Unit"), (b"apple", b"3", b"kg"), (b"pear", b"14", b"kg"), (b"plum", b"5", b"g"))) for x, t in zip((72, 200, 320), row, strict=True))
+    objects = one_page(BODY + cells + b"q 100 0 0 100 72 100 cm /I Do Q")
+    objects[3] = objects[3].replace(b"/Resources << ", b"/Resources << /XObject << /I 7 0 R >> ")
+    objects[7] = stream(zlib.compress(bytes(range(60)) * 200), b"/Subtype /Image /Width 80 /Height 50 /BitsPerComponent 8 /ColorSpace /DeviceRGB /Filter /FlateDecode")
+    (page,) = list(convert.pages(make_pdf(objects), "a.pdf"))
+    assert page.tables == [[["Name", "Count", "Unit"], ["apple", "3", "kg"], ["pear", "14", "kg"], ["plum", "5", "g"]]]
+    assert page.images[0].format == "png" and images.dimensions(page.images[0].data) == (80, 50) and "![page1_img0](page1_img0.png)" in page.text
+
+
+def test_png():
+    from sheaf.parsers import png
+
+    made = png.encoded(2, 1, 3, bytes([1, 2, 3, 4, 5, 6]))
+    assert images.dimensions(made) == (2, 1) and zlib.decompress(made[41 : 41 + struct.unpack(">I", made[33:37])[0]]) == bytes([0, 1, 2, 3, 4, 5, 6])
+    bitmap = b"BM" + struct.pack("<IHHI", 0, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 24, 0, 0, 0, 0, 0, 0) + bytes([3, 2, 1, 6, 5, 4, 0, 0])
+    assert png.of_bitmap(bitmap) == made and png.of_bitmap(b"BM") == b""
+    assert png.unpacked(bytes([0b10100000]), 3, 1, 1) == bytes([1, 0, 1])
+
+
+def test_pictures_of_old_office():
+    from sheaf.parsers import escher
+
+    picture = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 64, 80)
+    rec = lambda kind, body, version=0, instance=0: struct.pack("<HHI", version | instance << 4, kind, len(body)) + body
+    one = rec(0xF01E, b"\0" * 17 + picture, 0, 0x6E0)
+    entry = rec(0xF007, b"\0" * 36 + one, 2)
+    group = rec(0xF000, rec(0xF001, entry, 15), 15)
+    assert escher.blips(group) == [("png", picture)]
+    sheet = record(0x809, b"\0" * 16) + record(0x203, struct.pack("<HHHd", 0, 0, 0, 1.0)) + record(0x0A, b"")
+    for at in (0, None):
+        where = at if at is not None else len(begin + bound + record(0xEB, group) + record(0x0A, b""))
+        begin, bound = record(0x809, b"\0" * 16), record(0x85, struct.pack("<IBBBB", where, 0, 0, 1, 0) + b"S")
+    (page,) = list(convert.pages(compound({"Workbook": begin + bound + record(0xEB, group) + record(0x0A, b"") + sheet}), "a.xls"))
+    assert page.images[0].data == picture and page.text.endswith("![page1_img0](page1_img0.png)\n\n")
+    shape = rec(0xF002, rec(0xF004, rec(0xF00B, struct.pack("<HI", 0x4104, 1), 3, 1), 15), 15)
+    slide = rec(0x03EE, rec(0x040C, shape, 15), 15)
+    document = rec(0x03E8, rec(0x040B, rec(0xF000, rec(0xF001, rec(0xF007, b"\0" * 36, 2), 15), 15), 15), 15)
+    (page,) = list(convert.pages(compound({"PowerPoint Document": document + slide, "Pictures": one, "Current User": b"\0" * 20}), "a.ppt"))
+    assert page.images[0].data[: len(picture)] == picture and "![page1_img0](page1_img0.png)" in page.text
