@@ -119,3 +119,23 @@ def odf_cells_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = files.select("n_regionkey", synthetic.ods(F.col("rows")).alias("content"))
     cells = tables.table_cells(made, keep=["n_regionkey"])
     return cells.select("n_regionkey", F.col("row_no").cast("long").alias("row_no"), "column_no", "value")
+
+
+@query(FOLD.replace("SELECT page_id, '# '", "SELECT page_id, 0 AS page_ordinal, '# '").replace("AS markdown FROM f", "AS text FROM f"))
+def lateral_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function from SQL."""
+    from ..operators import sql
+
+    sql.register(spark)
+    table(spark, sf_dir, "pages").selectExpr("page_id", "cast(html AS binary) content").createOrReplaceTempView("page_files")
+    return spark.sql("SELECT f.page_id, p.page_ordinal, p.text FROM page_files f, LATERAL document_pages(f.content, 'a.html') p")
+
+
+@query(FOLD)
+def sql_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalar function from SQL."""
+    from ..operators import sql
+
+    sql.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("web_pages")
+    return spark.sql("SELECT page_id, html_markdown(html) AS markdown FROM web_pages")
