@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import cache
+from itertools import batched
 
 import duckdb
 import numpy as np
@@ -20,6 +22,11 @@ from .words import Kept
 #: Distinct words encoded by one recursive query; bounds its memory.
 WORDS_AT_ONCE = 60_000
 
+#: Longer words, in bytes, are merged by a heap: a recursive query makes one merge of a word in each round.
+LONGEST = 400
+#: Pieces of a text coded at a time.
+PIECES = 400_000
+
 #: Words whose tokens a worker keeps from earlier slices.
 KEPT = 400_000
 
@@ -69,7 +76,7 @@ class DuckBpe:
 
     def __init__(self, path: str, pattern: str, memory: str = "160MB"):
         ranks = read_ranks(path)
-        self.findall = regex.compile(pattern).findall
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes = np.array([ranks[bytes([n])] for n in range(256)], np.int32)
         self.kept = Kept("<i4", KEPT, {k.decode(): np.array(r, "<i4").tobytes() for k, r in ranks.items() if _is_text(k)})
         # in-memory: what would not fit is an error of the task, never a file on a local disk
@@ -89,12 +96,41 @@ class DuckBpe:
 
     def _new(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
+        raw = [w.encode() for w in words]
+        if any(len(x) > LONGEST for x in raw):
+            short = iter(self._new([w for w, x in zip(words, raw, strict=True) if len(x) <= LONGEST]))
+            return [next(short) if len(x) <= LONGEST else self._heaped(x) for x in raw]
         for part in _parts(words):
             counts, tokens = self._contracted([w.encode() for w in part])
             raw, ends = tokens.astype("<i4").tobytes(), 4 * np.cumsum(counts)
             out += [raw[b - 4 * n : b] for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
         return out
 
+    def _heaped(self, word: bytes) -> bytes:
+        """The same contraction for a long word: pairs on a heap by rank, then place; stale ones are passed over."""
+        parts, after, before = [word[i : i + 1] for i in range(len(word))], [*range(1, len(word)), -1], [*range(-1, len(word) - 1)]
+        ranks, heap = self.ranks, []
+
+        def offer(i: int) -> None:
+            j = after[i] if i >= 0 else -1
+            if j >= 0 and (rank := ranks.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(heap, (rank, i, len(parts[i]), len(parts[j])))
+
+        for i in range(len(word)):
+            offer(i)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or len(parts[i]) != a or len(parts[j]) != b:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], b""
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            offer(i)
+            offer(before[i])
+        return np.array([ranks[x] for x in parts if x], "<i4").tobytes()
+
     def _contracted(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(x) for x in raw], np.int64)
         symbols = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]
@@ -103,18 +139,34 @@ class DuckBpe:
         return np.bincount(np.asarray(found["word"]), minlength=len(raw)), np.asarray(found["token"])
 
     def encode(self, column: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one document after the other, and each document's number of ids."""
-        found = [self.findall(x) for x in column]
-        per_doc = np.array([len(x) for x in found], np.int64)
-        coded = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
-        del found
-        codes = np.asarray(coded.indices, dtype=np.int64)
-        tokens, own = self.words(coded.dictionary.to_pylist())
-        each = own[codes]
-        ids = tokens[ranges((np.cumsum(own) - own)[codes], each)]
-        before = np.append(0, np.cumsum(each))
-        ends = np.cumsum(per_doc)
-        return ids, before[ends] - before[ends - per_doc]
+        """All ids one document after the other, and each document's number of ids. A long text's pieces come in parts."""
+        parts, counts = [], np.zeros(len(column), np.int64)
+        for docs, pieces in self._split(column):
+            coded = pa.array(pieces, pa.string()).dictionary_encode()
+            codes = np.asarray(coded.indices, dtype=np.int64)
+            tokens, own = self.words(coded.dictionary.to_pylist())
+            each = own[codes]
+            parts.append(tokens[ranges((np.cumsum(own) - own)[codes], each)])
+            before = np.append(0, np.cumsum(each))
+            at = 0
+            for d, n in docs:
+                counts[d] += before[at + n] - before[at]
+                at += n
+        return np.concatenate([np.zeros(0, np.int32), *parts]), counts
+
+    def _split(self, column: list[str]) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
+        """Groups of up to about PIECES pieces, with how many of them each document has."""
+        docs: list[tuple[int, int]] = []
+        held: list[str] = []
+        for d, text in enumerate(column):
+            found = [self.pattern.findall(text)] if len(text) <= PIECES else batched((m[0] for m in self.pattern.finditer(text)), PIECES)
+            for some in found:
+                docs.append((d, len(some)))
+                held += some
+                if len(held) >= PIECES:
+                    yield docs, held
+                    docs, held = [], []
+        yield docs, held
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each document's ids, in order."""

@@ -21,6 +21,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Pieces of text whose counts a worker keeps; when full, the table starts anew.
 KEPT = 150_000
+#: Texts of so many characters are split piece by piece.
+LONG = 1 << 20
 
 
 @cache
@@ -51,7 +53,7 @@ class MergeCounter:
         self.merges = {(symbols[a], symbols[b]): (rank, symbols[a + b]) for rank, (a, b) in enumerate(pairs)}
         specials = sorted((x["content"] for x in said["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
-        self.split = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
 
     def merged(self, piece: bytes) -> int:
@@ -91,7 +93,8 @@ class MergeCounter:
 
     def _plain(self, text: str) -> int:
         known, total, new = self.known, 0, self._new
-        for piece in self.split(text):
+        # the pieces of a long text are never held together
+        for piece in self.pattern.findall(text) if len(text) < LONG else (m[0] for m in self.pattern.finditer(text)):
             total += known.get(piece) or new(piece)
         return total
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,6 +32,13 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
+@pytest.mark.parametrize("stretch", [1, 9])
+def test_fingerprint_in_stretches(monkeypatch, stretch):
+    monkeypatch.setattr(simhash, "STRETCH", stretch)
+    for text in ["", " ", "a", "a b", "a b c", "One two  three\nfour five six seven", "longword " * 9, " x"]:
+        assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
 def test_fingerprint_is_sparks_hash(spark):
     row = spark.range(1).select(F.xxhash64(F.lit("one two three")).alias("h")).first()
     assert simhash.fingerprint("one two three") == row.h % (1 << 64)

@@ -146,3 +146,21 @@ def test_same_ids_over_any_partitions(spark):
     path = tokenizer("byte_bpe_50k.json")
     one, several = (by_id(token_counts.token_counts(spark.createDataFrame(many, "doc_id long, text string").repartition(n), path)) for n in (1, 7))
     assert one == several
+
+
+def test_long_words_and_texts(monkeypatch, tiktoken_encoding):
+    random.seed(3)
+    texts = ["ab" * 3000, "".join(random.choice("abcde") for _ in range(5000)), "x " * 30, "日本" * 700 + " and words, " * 50]
+    db = bpe.engine(tokenizer("byte_bpe_50k.tiktoken"), split_pattern())
+    want = [tiktoken_encoding.encode_ordinary(t) for t in texts]
+    for limit in (bpe.PIECES, 7):
+        monkeypatch.setattr(bpe, "PIECES", limit)
+        ids, counts = db.encode(texts)
+        assert [len(x) for x in want] == counts.tolist() and [i for x in want for i in x] == ids.tolist()
+    monkeypatch.setattr(bpe, "LONGEST", 3)
+    fresh = bpe.DuckBpe(tokenizer("byte_bpe_50k.tiktoken"), split_pattern())
+    assert fresh.encode(texts)[0].tolist() == [i for x in want for i in x]
+    counter = token_counts.counter(tokenizer("byte_bpe_50k.json"))
+    before = [counter.count(t) for t in texts]
+    monkeypatch.setattr(token_counts, "LONG", 5)
+    assert [counter.count(t) for t in texts] == before
