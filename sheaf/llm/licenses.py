@@ -40,7 +40,8 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
+    "All-rights-reserved": "All rights reserved.",
+    "All-rights-reserved-notice": "All rights reserved. No part of this publication may be reproduced without permission.",
 }
 
 _WORDS = regex.compile(r"[\p{L}\p{M}]+|\p{N}+")
