@@ -46,17 +46,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes what scratch() named, once nothing reads it any more."""
-    _delete(spark, path)
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read again: later jobs neither recompute it nor depend on an executor."""
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what written() wrote, once no plan that may still run reads it."""
+    _delete(df.sparkSession, df._written_at)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

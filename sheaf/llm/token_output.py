@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, ranges, scratch, texts, written
+from .common import discard, pieces, ranges, scratch, texts, written
 from .words import Kept
 
 #: Fixed value: how a tokenizer's file says that small letters are made and then parted from signs by this pattern.
@@ -192,6 +192,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, *, end_id: int, sha
     encoded = written(rows.mapInArrow(frames, "doc_id long, n_tokens long, frame binary"), "frames")
     spread = encoded.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
     manifest = sorted((r.asDict() for r in spread.mapInArrow(shard, "shard int, name string, documents long, tokens long").collect()), key=lambda x: x["shard"])
+    discard(encoded)
     start = 0
     for x in manifest:
         x["start"] = start
