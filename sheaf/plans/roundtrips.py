@@ -200,3 +200,44 @@ def pdf_roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda t: t["line"]).alias("lines"))
     pages = tables.document_pages(files.select("conv_id", synthetic.pdf(F.col("lines")).alias("content")), keep=["conv_id"])
     return pages.select("conv_id", F.array_join(F.filter(F.split("text", "\n"), lambda x: x != ""), "\n").alias("lines"))
+
+
+def _walked_as(spark: SparkSession, sf_dir: str, make, name: str) -> DataFrame:
+    files = _grouped(spark, sf_dir).select("source", F.lit(name).alias("name"), make(F.col("members")).alias("content"))
+    return _walked(files).select("source", "member_path", "markdown")
+
+
+@query(_MEMBERS + " WHERE text <> ''")
+def alz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _walked_as(spark, sf_dir, synthetic.alz, "a.alz")
+
+
+@query(_MEMBERS + " WHERE text <> ''")
+def egg_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _walked_as(spark, sf_dir, synthetic.egg, "a.egg")
+
+
+@query(_MEMBERS + " WHERE text <> ''")
+def rar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _walked_as(spark, sf_dir, synthetic.rar, "a.rar")
+
+
+@query(f"SELECT conv_id, '--- Page 1 ---' || chr(10) || chr(10) || string_agg(line || chr(10) || chr(10), '' ORDER BY turn) AS markdown FROM {_LINES} GROUP BY conv_id")
+def hwpx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _paragraphs(spark, sf_dir).select("conv_id", synthetic.hwpx(F.col("lines")).alias("content"))
+    return files.select("conv_id", udf.to_markdown(F.col("content"), F.lit("a.hwpx")).getField("markdown").alias("markdown"))
+
+
+@query("SELECT n_regionkey, chr(10) || '| ' || rpad('key', 3, ' ') || ' | ' || rpad('name', w, ' ') || ' |' || chr(10) || '| --- | ' || repeat('-', w) || ' |' || chr(10) || string_agg('| ' || rpad(n_nationkey::VARCHAR, 3, ' ') || ' | ' || rpad(n_name, w, ' ') || ' |' || chr(10), '' ORDER BY n_nationkey) || chr(10) AS markdown FROM nation JOIN (SELECT n_regionkey AS k, greatest(4, max(strlen(n_name)))::INTEGER AS w FROM nation GROUP BY 1) ON k = n_regionkey GROUP BY n_regionkey, w")
+def html_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.concat(F.lit("<tr>"), cell(r["n_nationkey"].cast("string")), cell(r["n_name"]), F.lit("</tr>")))
+    pages = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<table><tr><th>key</th><th>name</th></tr>"), F.array_join(rows, ""), F.lit("</table>")).alias("html"))
+    return pages.select("n_regionkey", udf.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query("SELECT source, CASE WHEN max(strlen(text)) > 2000 THEN 2 ELSE 0 END AS exit_code FROM documents GROUP BY source")
+def archive_exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _grouped(spark, sf_dir).select("source", F.lit("a.zip").alias("name"), synthetic.zip_file(F.col("members")).alias("content"))
+    found = _walked(files, Limits(max_member_bytes=2000))
+    return found.groupBy("source").agg(F.when(F.count_if(F.col("error") != "") > 0, 2).otherwise(0).alias("exit_code"))

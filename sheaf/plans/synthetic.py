@@ -5,8 +5,10 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import struct
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
@@ -168,3 +170,55 @@ def pdf(lines: Column) -> Column:
         return out + b"xref\n0 6\n0000000000 65535 f \n" + table + b"trailer\n<< /Size 6 /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % len(out)
 
     return _made(build, lines)
+
+
+def _deflated(data: bytes) -> bytes:
+    c = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return c.compress(data) + c.flush()
+
+
+def alz(members: Column) -> Column:
+    """Local headers with four-byte sizes, deflated content."""
+    def build(rows: list[dict]) -> bytes:
+        out = b"ALZ\1" + b"\0" * 4
+        for name, data in _pairs(rows):
+            raw, label = _deflated(data), name.encode("cp949")
+            out += b"BLZ\1" + struct.pack("<HBIH", len(label), 0, 0, 0x40) + struct.pack("<HIII", 2, zlib.crc32(data), len(raw), len(data)) + label + raw
+        return out + b"CLZ\2"
+
+    return _made(build, members)
+
+
+def egg(members: Column) -> Column:
+    """File headers with a name, then one deflated block each."""
+    def build(rows: list[dict]) -> bytes:
+        end = struct.pack("<I", 0x08E28222)
+        out = struct.pack("<I", 0x41474745) + b"\0\1" + b"\0" * 8 + end
+        for name, data in _pairs(rows):
+            raw, label = _deflated(data), name.encode()
+            out += struct.pack("<IIQ", 0x0A8590E3, 0, len(data)) + struct.pack("<IBH", 0x0A8591AC, 0, len(label)) + label + end
+            out += struct.pack("<IBBIII", 0x02B50C13, 1, 0, len(data), len(raw), zlib.crc32(data)) + end + raw
+        return out + end
+
+    return _made(build, members)
+
+
+def rar(members: Column) -> Column:
+    """A RAR 4 archive of stored members."""
+    def build(rows: list[dict]) -> bytes:
+        out = b"Rar!\x1a\x07\0" + struct.pack("<HBHH", 0, 0x73, 0, 13) + b"\0" * 6
+        for name, data in _pairs(rows):
+            label = name.encode("cp949")
+            out += struct.pack("<HBHH", 0, 0x74, 0x8000, 32 + len(label)) + struct.pack("<IIBIIBBHI", len(data), len(data), 0, zlib.crc32(data), 0, 20, 0x30, len(label), 0) + label + data
+        return out + struct.pack("<HBHH", 0, 0x7B, 0, 7)
+
+    return _made(build, members)
+
+
+def hwpx(paragraphs: Column) -> Column:
+    def build(texts: list[str]) -> bytes:
+        ns = 'xmlns:hp="p" xmlns:hs="s"'
+        body = "".join(f'<hp:p><hp:run charPrIDRef="0"><hp:t>{escape(t)}</hp:t></hp:run></hp:p>' for t in texts)
+        return zipped([("mimetype", b"application/hwp+zip"), ("Contents/header.xml", b'<h><charPr id="0" height="1000"/></h>'), ("Contents/section0.xml", f"<hs:sec {ns}>{body}</hs:sec>".encode())])
+
+    return _made(build, paragraphs)
