@@ -23,6 +23,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--no-images", action="store_true")
     p.add_argument("--min-image-size", type=int, default=50)
     p.add_argument("--image-ref-prefix", default="")
+    p.add_argument("--image-dir", default="", help="write images there")
     p.add_argument("--max-depth", type=int, default=3)
     p.add_argument("--max-member-mb", type=int, default=512)
     p.add_argument("--max-entries", type=int, default=200_000)
@@ -41,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
             text, code = _archive(a)
         else:
             options = {"format": "text" if a.text else "markdown", "pages": [int(x) for x in a.pages.split(",") if x.strip()], "tables": not a.no_tables, "images": not a.no_images, "min_image_size": a.min_image_size, "image_ref_prefix": a.image_ref_prefix}
-            text = "".join(f"=== Page {p.page_number} ({p.page_width:.0f}x{p.page_height:.0f}, body={p.body_font_size:.1f}pt) ===\n{p.text}\n\n" for p in api.stream_pages(a.file, **options)) if a.chunks else api.convert(a.file, **options)
+            text = "".join(f"=== Page {p.page_number} ({p.page_width:.0f}x{p.page_height:.0f}, body={p.body_font_size:.1f}pt) ===\n{p.text}\n\n" for p in api.stream_pages(a.file, **options)) if a.chunks else api.convert(a.file, image_dir=a.image_dir, **options)
             code = 0
     except (OSError, ValueError, ConversionError) as e:
         print(f"error: {e}", file=sys.stderr)

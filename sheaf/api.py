@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Sequence
 
 from . import formats
 from .containers.walk import Limits, Result, Walk
 from .operators import convert as _convert
+from .parsers import images as _images
 from .parsers.base import Image, Options, Page
 
-__all__ = ["Image", "Limits", "Options", "Page", "Result", "convert", "convert_archive", "convert_bytes", "convert_chunks", "detect", "detect_bytes", "is_archive_file", "stream_pages"]
+__all__ = ["Image", "Limits", "Options", "Page", "Result", "convert", "convert_archive", "convert_bytes", "convert_chunks", "detect", "detect_bytes", "is_archive_file", "save_image", "stream_pages"]
 
 
 def _read(path: str) -> bytes:
@@ -39,8 +41,32 @@ def convert_bytes(data: bytes, name_hint: str = "", *, format: str = "markdown",
     return _convert.markdown(data, name_hint, _made(format, pages, tables, images, min_image_size, image_ref_prefix))
 
 
-def convert(file_path: str, **options) -> str:
-    return convert_bytes(_read(file_path), file_path, **options)
+def convert(file_path: str, *, image_dir: str = "", **options) -> str:
+    """A file as Markdown. With image_dir its images are written there, and references name the files written."""
+    text = convert_bytes(_read(file_path), file_path, **options)
+    if image_dir and options.get("images", True):
+        prefix = options.get("image_ref_prefix", "")
+        for page in stream_pages(file_path, **options):
+            for image in page.images:
+                if image.data:
+                    name, saved = f"{image.name}.{_images.file_extension(image.format)}", save_image(image, image_dir)
+                    text = text.replace(f"]({prefix}{name})", f"]({prefix}{saved})")
+    return text
+
+
+def save_image(image: Image, folder: str) -> str:
+    """Writes an image without replacing a file: a name that is taken gets _1, _2, ...; returns the name written."""
+    os.makedirs(folder, exist_ok=True)
+    ext, n = _images.file_extension(image.format), 0
+    while True:
+        name = f"{image.name}{f'_{n}' if n else ''}.{ext}"
+        try:
+            with open(os.path.join(folder, name), "xb") as f:
+                f.write(image.data)
+        except FileExistsError:
+            n += 1
+            continue
+        return name
 
 
 def stream_pages(file_path: str, *, format: str = "markdown", pages: Sequence[int] = (), tables: bool = True, images: bool = True, min_image_size: int = 50, image_ref_prefix: str = "") -> Iterator[Page]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,3 +37,29 @@ def named_images(images: DataFrame, folder: str = "folder", name: str = "name",
 
 def write_markdown(df: DataFrame, path: str, column: str = "markdown") -> None:
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path, lineSep="\n")
+
+
+def write_images(images: DataFrame, path: str) -> int:
+    """Writes rows(folder, file_name, data) as files below a shared path; returns how many.
+
+    Names are given before (`named_images`), so a task that runs twice writes the same file again: first beside it, then
+    by a rename. Null payloads, as repeats of an image have, are passed over.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+        from pyspark import TaskContext
+
+        fs, base = pafs.FileSystem.from_uri(path)
+        attempt, count = TaskContext.get().taskAttemptId(), 0
+        for batch in batches:
+            for folder, name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not data:
+                    continue
+                fs.create_dir(f"{base}/{folder}", recursive=True)
+                with fs.open_output_stream(f"{base}/{folder}/.{name}.{attempt}") as out:
+                    out.write(data)
+                fs.move(f"{base}/{folder}/.{name}.{attempt}", f"{base}/{folder}/{name}")
+                count += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([count], pa.int64())})
+
+    return images.select("folder", "file_name", "data").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -158,3 +158,20 @@ def test_api_and_command_line(folder, capsys):
     assert main([str(folder / "c.zip")]) == 0 and "=== d.txt ===\nD\n" in capsys.readouterr().out
     assert main([str(folder / "a.html"), "--detect"]) == 0 and json.loads(capsys.readouterr().out)["format"] == "HTML"
     assert main([str(folder / "bad.pdf")]) == 1
+
+
+def test_images_are_written(spark, tmp_path, folder):
+    import base64
+    import struct
+
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 64, 80)
+    page = f'<img src="data:image/png;base64,{base64.b64encode(png).decode()}">'
+    df = spark.createDataFrame([("a", bytearray(page.encode())), ("b", bytearray((page * 2).encode()))], "folder string, content binary")
+    found = tables.document_images(df.withColumn("label", F.lit("a.html")), name="label", keep=["folder"])
+    assert sinks.write_images(sinks.named_images(found), f"file://{tmp_path}/out") == 3
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.png")) == ["a/page1_img0.png", "b/page1_img0.png", "b/page1_img1.png"]
+    (tmp_path / "p.html").write_text(page)
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "page1_img0.png").write_bytes(b"taken")
+    assert api.convert(str(tmp_path / "p.html"), image_dir=str(tmp_path / "i")) == "![image](page1_img0_1.png)"
+    assert (tmp_path / "i" / "page1_img0_1.png").read_bytes() == png
