@@ -20,7 +20,7 @@ from .common import pieces, ranges, texts
 from .words import Kept
 
 #: Distinct words encoded by one recursive query; bounds its memory.
-WORDS_AT_ONCE = 60_000
+WORDS_AT_ONCE = 20_000
 
 #: Longer words, in bytes, are merged by a heap: a recursive query makes one merge of a word in each round.
 LONGEST = 400
@@ -28,27 +28,31 @@ LONGEST = 400
 PIECES = 400_000
 
 #: Words whose tokens a worker keeps from earlier slices.
-KEPT = 400_000
+KEPT = 800_000
 
-#: Words between contractions: one row a token. Each round joins neighbouring tokens to the merge table and contracts the
-#: leftmost pair of least rank of every word; a word without a pair to merge leaves the recursion.
+#: One row a token, that also holds the token behind it and the rank at which the two would merge. Each round contracts the
+#: leftmost pair of least rank of every word, joins the two new pairs to the merge table, and lets words without a pair go.
 ENCODE = """
-WITH RECURSIVE step(word, pos, token, fixed) AS (
-    SELECT word, pos, token, false FROM symbols
+WITH RECURSIVE step(word, pos, next_pos, token, next_token, key, fixed) AS (
+    SELECT word, pos, next_pos, token, next_token, (rank::BIGINT << 32) + pos, false
+    FROM (SELECT word, pos, token, lead(pos) OVER w AS next_pos, lead(token) OVER w AS next_token FROM symbols WINDOW w AS (PARTITION BY word ORDER BY pos)) AS s
+    LEFT JOIN merges ON merges.pair = (s.token::BIGINT << 20) + s.next_token
   UNION ALL (
-    WITH pair AS (
-        SELECT word, pos, token, lead(token) OVER w AS next_token, lead(pos) OVER w AS next_pos
-        FROM step WHERE NOT fixed WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ), ranked AS (
-        SELECT pair.*, merges.rank FROM pair LEFT JOIN merges ON merges.a = pair.token AND merges.b = pair.next_token
-    ), best AS (
-        SELECT word, min((rank::BIGINT << 32) + pos) AS least FROM ranked GROUP BY word
+    WITH best AS (
+        SELECT word, min(key) AS least FROM step WHERE NOT fixed GROUP BY word
     ), chosen AS (
-        SELECT ranked.word, ranked.pos, ranked.next_pos, ranked.rank FROM ranked JOIN best ON best.word = ranked.word AND best.least = (ranked.rank::BIGINT << 32) + ranked.pos
+        SELECT a.word, a.pos, a.next_pos, (best.least >> 32)::INTEGER AS rank, b.next_pos AS after_pos, b.next_token AS after_token
+        FROM best JOIN step AS a ON a.word = best.word AND a.key = best.least JOIN step AS b ON b.word = a.word AND b.pos = a.next_pos
+    ), moved AS (
+        SELECT s.word, s.pos,
+            CASE WHEN s.pos = c.pos THEN c.after_pos ELSE s.next_pos END AS next_pos,
+            CASE WHEN s.pos = c.pos THEN c.rank ELSE s.token END AS token,
+            CASE WHEN s.pos = c.pos THEN c.after_token WHEN s.next_pos = c.pos THEN c.rank ELSE s.next_token END AS next_token,
+            c.word IS NULL AS fixed
+        FROM step AS s LEFT JOIN chosen AS c ON c.word = s.word WHERE NOT s.fixed AND (c.word IS NULL OR s.pos <> c.next_pos)
     )
-    SELECT ranked.word, ranked.pos, CASE WHEN ranked.pos = chosen.pos THEN chosen.rank ELSE ranked.token END, chosen.word IS NULL
-    FROM ranked LEFT JOIN chosen ON chosen.word = ranked.word
-    WHERE chosen.word IS NULL OR ranked.pos <> chosen.next_pos
+    SELECT m.word, m.pos, m.next_pos, m.token, m.next_token, (merges.rank::BIGINT << 32) + m.pos, m.fixed
+    FROM moved AS m LEFT JOIN merges ON merges.pair = (m.token::BIGINT << 20) + m.next_token
   )
 )
 SELECT word, token FROM step WHERE fixed ORDER BY word, pos
@@ -82,7 +86,7 @@ class DuckBpe:
         # in-memory: what would not fit is an error of the task, never a file on a local disk
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         rows = [(ranks[k[:n]], ranks[k[n:]], r) for k, r in ranks.items() for n in range(1, len(k)) if k[:n] in ranks and k[n:] in ranks]
-        self._put("merges", {"a": pa.array([x[0] for x in rows], pa.int32()), "b": pa.array([x[1] for x in rows], pa.int32()), "rank": pa.array([x[2] for x in rows], pa.int32())})
+        self._put("merges", {"pair": pa.array([(x[0] << 20) + x[1] for x in rows], pa.int64()), "rank": pa.array([x[2] for x in rows], pa.int32())})
         self._put("vocabulary", {"token": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([k.hex() for k in ranks])})
 
     def _put(self, name: str, columns: dict[str, pa.Array]) -> None:
