@@ -82,6 +82,7 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()  # workers live on; what they keep counts against their executor
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

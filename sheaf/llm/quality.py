@@ -81,19 +81,28 @@ def word_vectors(column: pa.Array) -> np.ndarray:
     return index / np.sqrt(NONZERO) + context / np.maximum(norm, 1e-9)
 
 
-def pooled(column: pa.Array, vectors: np.ndarray, known: dict[str, np.ndarray] | None = None) -> np.ndarray:
+def run_vectors(names: list[str], vectors: np.ndarray) -> np.ndarray:
+    """The mean vector of the words of each run."""
+    if not names:
+        return np.zeros((0, DIM), np.float32)
+    parts = [[_row(w) for w in _parts(x)] for x in names]
+    lengths = np.array([len(x) for x in parts], np.int64)
+    flat = np.array([r for x in parts for r in x], np.int64)
+    table = np.empty((len(names), DIM), np.float32)
+    starts = np.cumsum(lengths) - lengths
+    for a in range(0, len(names), 1 << 14):
+        b = min(a + (1 << 14), len(names))
+        last = starts[b] if b < len(names) else len(flat)
+        table[a:b] = np.add.reduceat(vectors[flat[starts[a] : last]], starts[a:b] - starts[a])
+    table /= lengths[:, None].astype(np.float32)
+    return table
+
+
+def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """A document's features: mean and deviation of the vectors of all its runs, the mean squared distance of neighbouring
     vectors and the share of neighbours at no distance; zeros without a run."""
     counts, codes, names = coded(column)
-    table = np.empty((len(names), DIM), np.float32)
-    known = {} if known is None else known
-    for n, name in enumerate(names):
-        v = known.get(name)
-        if v is None:
-            v = vectors[[_row(w) for w in _parts(name)]].mean(0)
-            if len(known) < 200_000:
-                known[name] = v
-        table[n] = v
+    table = run_vectors(names, vectors)
     out = np.zeros((len(counts), FEATURES), np.float32)
     ends = np.cumsum(counts)
     for d in np.flatnonzero(counts):
@@ -192,9 +201,9 @@ def scored(docs: DataFrame, model: Model, *, accept: float = 0.7, id_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        model = shared.value
         for batch in pieces(batches):
-            score = model.network.scores(pooled(batch.column(1), model.vectors, known))
+            score = model.network.scores(pooled(batch.column(1), model.vectors))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
     out = texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -207,9 +216,9 @@ def accepted(docs: DataFrame, model: Model, *, accept: float = 0.7, id_col: str
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        model = shared.value
         for batch in pieces(batches, column=text_col):
             text = pc.fill_null(batch.column(names.index(text_col)), "")
-            yield batch.filter(pa.array(model.network.scores(pooled(text, model.vectors, known)) >= accept))
+            yield batch.filter(pa.array(model.network.scores(pooled(text, model.vectors)) >= accept))
 
     return docs.mapInArrow(run, docs.schema)
