@@ -28,7 +28,7 @@ LONGEST = 400
 PIECES = 400_000
 
 #: Words whose tokens a worker keeps from earlier slices.
-KEPT = 400_000
+KEPT = 600_000
 
 #: One row a token, that also holds the token behind it and the rank at which the two would merge. Each round contracts the
 #: leftmost pair of least rank of every word, joins the two new pairs to the merge table, and lets words without a pair go.
