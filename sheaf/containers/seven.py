@@ -248,8 +248,8 @@ def _coded(name: bytes, props: bytes, raw: bytes, size: int) -> bytes:
 def members(data: bytes) -> Iterator[Member]:
     try:
         archive = Archive(data)
-    except (IndexError, struct.error) as e:
-        raise MemberError("corrupt 7z header") from e
     except MemberError:
         raise
+    except (IndexError, OverflowError, ValueError, struct.error) as e:
+        raise MemberError("corrupt 7z header") from e
     return archive.members()
