@@ -122,6 +122,20 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def into_shards(sizes: list[int], shards: int) -> list[int]:
+    """A shard for each item that exceeds the mean of what is left, then the others packed into the remaining shards."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    out, left, alone = [0] * len(sizes), sum(sizes), 0
+    while alone < len(order) and sizes[order[alone]] * (shards - alone) > left:
+        out[order[alone]] = alone
+        left -= sizes[order[alone]]
+        alone += 1
+    rest = sorted(order[alone:])
+    for i, at in zip(rest, _at_least_capacity([sizes[i] for i in rest], shards - alone), strict=True):
+        out[i] = alone + at
+    return out
+
+
+def _at_least_capacity(sizes: list[int], shards: int) -> list[int]:
     """Best-fit-decreasing at the least capacity (to a 65536th) that needs no more than `shards` bins."""
     if not sizes:
         return []

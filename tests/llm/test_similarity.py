@@ -231,6 +231,17 @@ def test_near_equal_shards(spark):
     assert len(sizes) == 16 and max(sizes) < 1.02 * sum(sizes) / 16
 
 
+@pytest.mark.parametrize("part", [3, 8, 12])
+def test_large_group_leaves_no_shard_empty(part):
+    sizes = [1000] * 3000
+    sizes.append(sum(sizes) // (part - 1))
+    bins = Counter()
+    for s, b in zip(sizes, sharding.into_shards(sizes, 16), strict=True):
+        bins[b] += s
+    loads = sorted(bins.values())
+    assert len(loads) == 16 and loads[-1] == sizes[-1] and loads[-2] <= 1.02 * loads[0]
+
+
 def test_fixed_capacity(spark):
     df = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text"))
     packed = sharding.pack(df, capacity=1000)
