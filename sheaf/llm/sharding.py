@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from .common import written
 #: Items packed on the driver, at most about twice this many: the groups that are large against a shard, and parcels of
 #: smaller groups. It bounds the driver's and the broadcast tables' size whatever the input's.
 ITEMS = 1 << 14
+#: Parcels and divisible groups are smaller than or about this part of a fixed capacity.
+PART = 64
 
 
 class _Node:
@@ -167,32 +170,70 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _parcel(parcels: int):
-    return F.pmod(F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"), F.lit(parcels)).cast("int")
+    return F.pmod(F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"), F.lit(parcels))
 
 
 def pack(docs: DataFrame, *, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> Packing:
     """Puts all documents into shards: as many as `shards`, near equal in bytes, or as few of `capacity` bytes as can be.
 
     Groups are documents of equal text and stay together. Those of at least a hundredth part or so of a shard are items
-    of their own; smaller ones are joined by digest to parcels, which are items too (see ITEMS). Sizes are summed before
+    of their own; smaller ones are joined by digest to parcels, which are items too. For `shards` the driver packs at
+    most about twice ITEMS of them; for a capacity tasks do, each a range of about ITEMS. Sizes are summed before
     they are shuffled, so a group with a third of all rows costs no more than another. Null texts count as empty, equal
     rows each count, an empty table has no rows; other columns are not read. A group over the capacity has its own shard.
     """
     spark = docs.sparkSession
     base = written(sized(docs, id_col, text_col), "sizes")
     total = base.agg(F.sum("size")).first()[0] or 0
+    if not shards:
+        return _of_capacity(base, total, capacity)
     groups = base.groupBy("digest").agg(F.sum("size").alias("bytes"))
     large = max(1, math.ceil(total / ITEMS))
     key = F.when(F.col("bytes") >= large, F.col("digest"))
     items = groups.select(key.alias("digest"), F.when(key.isNull(), _parcel(ITEMS)).alias("parcel"), "bytes").groupBy("digest", "parcel").agg(F.sum("bytes").alias("bytes")).collect()
     items.sort(key=lambda x: (x.digest or "", x.parcel if x.parcel is not None else -1))
     sizes = [x.bytes for x in items]
-    placed = into_shards(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
+    placed = into_shards(sizes, shards)
     whole = spark.createDataFrame([(x.digest, n) for x, n in zip(items, placed, strict=True) if x.digest is not None], T.StructType([T.StructField("digest", T.StringType()), T.StructField("large_shard", T.IntegerType())]))
-    joined = spark.createDataFrame([(x.parcel, n) for x, n in zip(items, placed, strict=True) if x.digest is None], "parcel int, parcel_shard int")
+    joined = spark.createDataFrame([(x.parcel, n) for x, n in zip(items, placed, strict=True) if x.digest is None], "parcel long, parcel_shard int")
     # both have at most ITEMS rows, by the threshold and the modulus
     rows = base.withColumn("parcel", _parcel(ITEMS)).join(F.broadcast(whole), "digest", "left").join(F.broadcast(joined), "parcel", "left")
-    return Packing(rows.select("doc_id", "size", "text_crc32", F.coalesce("large_shard", "parcel_shard").alias("shard")), shards or 1 + max(placed, default=0))
+    return Packing(rows.select("doc_id", "size", "text_crc32", F.coalesce("large_shard", "parcel_shard").alias("shard")), shards)
+
+
+def _pack_range(items: pa.Table) -> pa.Table:
+    """The bin of each item of one range, numbered from 0."""
+    items = items.sort_by([("digest", "ascending"), ("parcel", "ascending")])
+    capacity = items.column("capacity")[0].as_py() if items.num_rows else 0
+    placed = best_fit_decreasing(items.column("bytes").to_pylist(), capacity)
+    return items.select(["range", "digest", "parcel"]).append_column("bin", pa.array(placed, pa.int32()))
+
+
+def _of_capacity(base: DataFrame, total: int, capacity: int) -> Packing:
+    """Packs into shards of a fixed capacity, by ranges of items in tasks.
+
+    Parcels have a PARTth of the capacity on average, of groups smaller than that. Only one number a range (of about ITEMS
+    items) reaches the driver: how many shards it needs.
+    """
+    spark = base.sparkSession
+    groups = written(base.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).withColumn("parcel", _parcel(max(1, math.ceil(total * PART / capacity)))), "groups")
+    large = F.when(F.col("bytes") * PART >= capacity, F.col("digest"))
+    items = written(groups.groupBy(large.alias("digest"), "parcel").agg(F.sum("bytes").alias("bytes")), "items")
+    ranges = max(1, math.ceil(items.count() / ITEMS))
+    ranged = items.withColumn("range", F.pmod("parcel", F.lit(ranges)).cast("int")).withColumn("capacity", F.lit(capacity).cast("long"))
+    placed = written(ranged.groupBy("range").applyInArrow(_pack_range, "range int, digest string, parcel long, bin int"), "bins")
+    firsts, shards = [], 0
+    for r in placed.groupBy("range").agg((F.max("bin") + 1).alias("n")).orderBy("range").collect():
+        firsts.append((r.range, shards))
+        shards += r.n
+    first = F.broadcast(spark.createDataFrame(firsts, "range int, first int"))
+    of = placed.join(first, "range").select(F.col("digest").alias("own"), F.col("parcel").alias("at"), (F.col("first") + F.col("bin")).alias("shard"))
+    of = written(groups.join(of, (F.col("parcel") == F.col("at")) & large.eqNullSafe(F.col("own"))).select("digest", "n", "shard"), "placed")
+    # texts of so many rows are at most ITEMS; they are broadcast, so that none of them goes to one task
+    common = F.col("n") * ITEMS >= max(1, base.count())
+    often, others = (of.where(c).select("digest", "shard") for c in (common, ~common))
+    rows = base.join(F.broadcast(often), "digest").unionByName(base.join(F.broadcast(often.select("digest")), "digest", "left_anti").join(others, "digest"))
+    return Packing(rows.select("doc_id", "size", "text_crc32", "shard"), max(1, shards))
 
 
 def slots(rows: DataFrame, per_task: int = 4096) -> DataFrame:

@@ -247,3 +247,21 @@ def test_fixed_capacity(spark):
     packed = sharding.pack(df, capacity=1000)
     loads = [r.b for r in packed.rows.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert max(loads) <= 1000 and len(loads) == packed.shards <= sum(loads) // 1000 + 2
+
+
+def test_fixed_capacity_below_a_parcel(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ITEMS", 1 << 10)
+    text = F.when(F.col("id") % 60 == 0, "the same").otherwise(F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), (F.col("id") % 150).cast("int"))))
+    packed = sharding.pack(spark.range(6000).select(F.col("id").alias("doc_id"), text.alias("text")), capacity=900)
+    rows = packed.rows.collect()
+    loads, of = Counter(), {}
+    for r in rows:
+        loads[r.shard] += r.size
+        of.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+    assert len(rows) == 6000 and {len(s) for s in of.values()} == {1}
+    assert max(loads.values()) <= 900 and set(loads) == set(range(packed.shards))
+    assert packed.shards <= 1.05 * sum(loads.values()) / 900 + 2
+
+
+def test_fixed_capacity_of_nothing(empty):
+    assert sharding.pack(empty, capacity=10).rows.count() == 0
