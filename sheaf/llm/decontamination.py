@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,45 +72,43 @@ class Templates:
         self.hashes, self.doc = hashes[kept], doc[kept]
         self.slot = np.isin(self.hashes, (NUMBER, UNIT, NAME))
         self.counts = np.bincount(self.doc, minlength=len(counts))
+        self.starts = np.cumsum(self.counts) - self.counts
 
     def windows(self, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Place of the first word, and hash, of every window of so many words within one text."""
         n = len(self.hashes) - words + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.full(n, words, np.uint64)
-        for k in range(words):
-            at = (at ^ self.hashes[k : n + k]) * np.uint64(0xD6E8FEB86659FD93)
-            at ^= at >> np.uint64(29)
         places = np.flatnonzero(self.doc[:n] == self.doc[words - 1 :])
-        return places, at[places]
+        return places, _hashed(self.hashes, None, words, n)[places]
 
     def slots(self, place: int, words: int) -> list[str]:
         """The values that placeholders of a window stand for, in order."""
         return [self.words[self.codes[k]] for k in range(place, place + words) if self.slot[k]]
 
 
+def _hashed(hashes: np.ndarray, places: np.ndarray | None, words: int, n: int) -> np.ndarray:
+    at = np.full(n, words, np.uint64)
+    for k in range(words):
+        at = (at ^ (hashes[k : n + k] if places is None else hashes[places + k])) * np.uint64(0xD6E8FEB86659FD93)
+        at ^= at >> np.uint64(29)
+    return at
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         found = Templates(batch.column(1))
-        ends = np.cumsum(found.counts)
         rows: list[tuple] = []
         for n, words in enumerate(np.minimum(found.counts, WORDS).tolist()):
             if words:
-                part = Templates(batch.column(1).slice(n, 1)) if words < WORDS else None
-                a, b = ends[n] - found.counts[n], ends[n] - words + 1
-                where, own = (part.windows(words), part) if part else (_between(found, a, b), found)
-                rows += [(batch.column(0)[n].as_py(), words, int(h), own.slots(int(p), words)) for p, h in zip(*where, strict=True)]
+                own = Templates(batch.column(1).slice(n, 1))
+                places, hashes = own.windows(words)
+                rows += [(batch.column(0)[n].as_py(), words, h, h, own.slots(p, words), p) for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
+        signed = lambda k: pa.array(np.array([r[k] for r in rows], np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-            pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)), pa.array([r[3] for r in rows], pa.list_(pa.string())),
-        ], ["item_id", "words", "window", "item_slots"])
-
-
-def _between(found: Templates, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    places, hashes = found.windows(WORDS)
-    lo, hi = np.searchsorted(places, [a, b])
-    return places[lo:hi], hashes[lo:hi]
+            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), signed(2), signed(3),
+            pa.array([r[4] for r in rows], pa.list_(pa.string())), pa.array([r[5] for r in rows], pa.int32()),
+        ], ["item_id", "words", "window", "own", "item_slots", "item_place"])
 
 
 def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
@@ -125,13 +125,54 @@ def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
+def _best_occurrence(rows: pa.Table) -> pa.Table:
+    """Of one text and item: the most windows that one occurrence's slot values let count, its slots and consistency.
+
+    An occurrence is a run of windows at one offset in the text; its values decide, and those that it lacks (a word was put
+    in or left out) come from windows up to an item's length around. Windows there that agree count with it.
+    """
+    offsets: dict[int, list[tuple]] = {}
+    last = 0
+    for r in rows.select(["own", "item_slots", "doc_slots", "item_places", "doc_places"]).to_pylist():
+        hit = (r["own"], tuple(zip(r["item_slots"], r["doc_slots"], strict=False)))
+        last = max(last, *r["item_places"])
+        for d in r["doc_places"]:
+            for i in r["item_places"]:
+                offsets.setdefault(d - i, []).append(hit)
+    best, slots, consistency = 0, 0, 1.0
+    order, reach = sorted(offsets), last + WORDS
+    for k in sorted(order, key=lambda k: (-len({h[0] for h in offsets[k]}), k)):
+        near = order[bisect_left(order, k - reach) : bisect_right(order, k + reach)]
+        if len({h[0] for n in near for h in offsets[n]}) <= best:
+            continue
+        own, around = _votes(offsets[k]), _votes(h for n in near for h in offsets[n])
+        mapping = {i: max((n, d) for d, n in votes.items())[1] for i, votes in (around | own).items()}
+        agreed = {o for n in near for o, pairs in offsets[n] if all(mapping[i] == d for i, d in pairs)}
+        if len(agreed) > best:
+            every = sum(sum(v.values()) for v in own.values())
+            best, slots = len(agreed), len(mapping)
+            consistency = sum(v[mapping[i]] for i, v in own.items()) / every if every else 1.0
+    return pa.table({
+        "d": rows.column("doc_id").slice(0, 1), "i": rows.column("item_id").slice(0, 1), "best_windows": pa.array([best], pa.int32()),
+        "best_slots": pa.array([slots], pa.int32()), "best_consistency": pa.array([consistency], pa.float64()),
+    })
+
+
+def _votes(hits: Iterable[tuple]) -> dict[str, Counter]:
+    out: dict[str, Counter] = {}
+    for _, pairs in hits:
+        for i, d in pairs:
+            out.setdefault(i, Counter())[d] += 1
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of a document and a benchmark item it holds: doc_id, item_id, item_windows, matched_windows, coverage, slots, consistency.
 
     Numbers, units after them and names (a capital within a sentence) are placeholders, so a question asked again with
-    other ones still matches; punctuation and case don't count. A window counts as matched if each of its slot values
-    goes with the value that the item's value most often has in this document. `coverage` is matched over all distinct
-    windows of the item and at least `share`; `consistency` the share of slots that agree.
+    other ones still matches; punctuation and case don't count. A window counts as matched if each of its slot values goes with the value that the item's value most often has
+    in this document, or in one occurrence of the item there if more windows count so. `coverage` is matched over all
+    distinct windows of the item and at least `share`; `consistency` the share of slots that agree.
 
     Items shorter than a window are one window; items without a word match nothing. Null texts are empty; null ids are
     kept and treated as one id; repeated rows of an id count once; empty tables give no rows; other columns are not
@@ -140,7 +181,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE,
     """
     spark = docs.sparkSession
     items = texts(benchmark, item_col, item_text_col).withColumnRenamed("doc_id", "item_id")
-    windows = written(items.mapInArrow(_item_windows, "item_id long, words int, window long, item_slots array<string>").distinct(), "item-windows")
+    windows = items.mapInArrow(_item_windows, "item_id long, words int, window long, own long, item_slots array<string>, item_place int")
+    windows = written(windows.groupBy("item_id", "words", "window", "own", "item_slots").agg(F.collect_set("item_place").alias("item_places")), "item-windows")
     known, lengths = windows.count(), sorted(r.words for r in windows.select("words").distinct().collect())
     bits = min(max(FILTER_BITS[0], math.ceil(math.log2(max(1, known) * 16))), FILTER_BITS[1])
     shared = spark.sparkContext.broadcast(_bitmap(windows, bits))
@@ -149,20 +191,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE,
         bitmap, mask = shared.value, np.uint64((1 << bits) - 1)
         for batch in pieces(batches):
             found = Templates(batch.column(1))
-            rows = {}
+            rows: dict[tuple, list[int]] = {}
             for words in lengths:
                 places, hashes = found.windows(words)
                 low = (hashes & mask).astype(np.int64)
                 hit = np.flatnonzero(bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1)
                 for p, h in zip(places[hit].tolist(), hashes[hit].tolist(), strict=True):
-                    rows[int(found.doc[p]), h, tuple(found.slots(p, words))] = None
+                    n = int(found.doc[p])
+                    rows.setdefault((n, h, tuple(found.slots(p, words))), []).append(p - int(found.starts[n]))
+            copies = {n: xxhash.xxh64_intdigest(batch.column(1)[n].as_buffer()) for n in {r[0] for r in rows}}
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
                 pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.array([list(r[2]) for r in rows], pa.list_(pa.string())),
-            ], ["doc_id", "window", "doc_slots"])
+                pa.array(np.array([copies[r[0]] for r in rows], np.uint64).view(np.int64)), pa.array(list(rows.values()), pa.list_(pa.int32())),
+            ], ["doc_id", "window", "doc_slots", "copy", "doc_places"])
 
-    seen = texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, window long, doc_slots array<string>")
-    side = windows.select("item_id", "window", "item_slots")
+    seen = texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, window long, doc_slots array<string>, copy long, doc_places array<int>")
+    side = windows.select("item_id", "window", "own", "item_slots", "item_places")
     pairs = written(seen.join(F.broadcast(side) if known <= BROADCAST_WINDOWS else side, "window"), "window-pairs")
     slot = pairs.select("doc_id", "item_id", "window", "item_slots", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select("doc_id", "item_id", F.col("s.item_slots").alias("is"), F.col("s.doc_slots").alias("ds"))
     votes = slot.groupBy("doc_id", "item_id", "is", "ds").agg(F.count(F.lit(1)).alias("n"))
@@ -173,10 +218,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE,
     )
     p, q = pairs.alias("p"), per.alias("q")
     agreed = F.coalesce(F.forall(F.arrays_zip("item_slots", "doc_slots"), lambda s: F.element_at("mapping", s["item_slots"]) == s["doc_slots"]), F.lit(True))
-    joined = p.join(q, F.expr("p.doc_id <=> q.doc_id AND p.item_id <=> q.item_id"), "left").select("p.doc_id", "p.item_id", "p.window", agreed.alias("agreed"), F.coalesce("q.slots", F.lit(0)).alias("slots"), F.coalesce("q.consistency", F.lit(1.0)).alias("consistency"))
-    matched = joined.where("agreed").groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("matched_windows"), F.max("slots").alias("slots"), F.max("consistency").alias("consistency"))
-    sizes = windows.groupBy("item_id").agg(F.countDistinct("window").alias("item_windows")).withColumnRenamed("item_id", "own_id")
-    out = matched.join(sizes, F.expr("item_id <=> own_id"))
+    joined = p.join(q, F.expr("p.doc_id <=> q.doc_id AND p.item_id <=> q.item_id"), "left").select("p.doc_id", "p.item_id", "p.own", agreed.alias("agreed"), F.coalesce("q.slots", F.lit(0)).alias("slots"), F.coalesce("q.consistency", F.lit(1.0)).alias("consistency"))
+    matched = joined.groupBy("doc_id", "item_id").agg(
+        F.countDistinct(F.when(F.col("agreed"), F.col("own"))).alias("matched_windows"), F.countDistinct("own").alias("met"),
+        F.max("slots").alias("slots"), F.max("consistency").alias("consistency"),
+    )
+    sizes = windows.groupBy("item_id").agg(F.countDistinct("own").alias("item_windows")).withColumnRenamed("item_id", "own_id")
+    out = written(matched.join(sizes, F.expr("item_id <=> own_id")).where(F.col("met") / F.col("item_windows") >= share), "matched")
+    # where windows disagree, an occurrence of its own may hold more than the whole document's votes let count
+    mixed = out.where("matched_windows < met").select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
+    single = pairs.join(mixed, F.expr("doc_id <=> d AND item_id <=> i")).drop("d", "i")
+    found = single.groupBy("doc_id", "item_id", "copy").applyInArrow(_best_occurrence, "d long, i long, best_windows int, best_slots int, best_consistency double")
+    best = found.groupBy("d", "i").agg(F.max(F.struct("best_windows", "best_consistency", "best_slots")).alias("best")).select("d", "i", "best.*")
+    better = F.coalesce(F.col("best_windows") > F.col("matched_windows"), F.lit(False))
+    pick = lambda a, b: F.when(better, F.col(b)).otherwise(F.col(a)).alias(a)
+    out = out.join(best, F.expr("doc_id <=> d AND item_id <=> i"), "left").select(
+        "doc_id", "item_id", "item_windows", pick("matched_windows", "best_windows").cast("long").alias("matched_windows"), pick("slots", "best_slots"), pick("consistency", "best_consistency"),
+    )
     out = out.select("doc_id", "item_id", "item_windows", "matched_windows", (F.col("matched_windows") / F.col("item_windows")).alias("coverage"), F.col("slots").cast("int").alias("slots"), "consistency")
     return out.where(F.col("coverage") >= share)
 

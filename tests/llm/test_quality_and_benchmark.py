@@ -131,6 +131,19 @@ def test_slots_must_agree(spark):
     assert [r.doc_id for r in decontamination.contaminated(docs, bench).collect()] == [1]
 
 
+def test_other_occurrences_veto_no_copy(spark):
+    item = "please move 3 of the 5 red boxes from shelf 8 to shelf 2 before noon because the truck leaves early"
+    variant = "please move 9 of the 4 red boxes from shelf 1 to shelf 7 before noon because the truck leaves early"
+    longer = item.replace("before noon", "right before noon") + " today and we want to have all of it on the road by then"
+    table = " ".join(f"from shelf {n} to shelf {n + 1} before noon" for n in range(20, 60))
+    docs = [(1, f"{item} {variant}"), (2, f"{variant} {item} {variant} {variant}"), (3, f"{table} {item} {table}"), (4, f"{table} please move on {table}"), (5, f"{variant} {item.replace('before', 'right before')}")]
+    docs += [(6, f"{variant} {longer.replace('right ', '')} {variant} {longer}")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: r.matched_windows for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    # the table's own windows count too where they agree
+    assert set(found) == {1, 2, 3, 5, 6} and found[1] == found[2] == found[3] == found[6] == 17
+
+
 def test_no_items_or_documents(spark, empty):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
