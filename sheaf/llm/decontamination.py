@@ -66,11 +66,13 @@ class Templates:
         before = np.where(first, np.uint8(8), np.roll(flags, 1))  # a text begins like a sentence
         unit = (flags & 2 > 0) & (before & 1 > 0) & ~first
         name = (flags & 4 > 0) & (before & 8 == 0) & ~unit
-        hashes = np.where(unit, UNIT, np.where(name, NAME, hashes))
+        plain = np.where(unit, UNIT, hashes)
+        hashes = np.where(name, NAME, plain)
         kept = np.flatnonzero(hashes)
         self.words, self.codes = [k[2] for k in kinds], codes[kept]
-        self.hashes, self.doc = hashes[kept], doc[kept]
-        self.slot = np.isin(self.hashes, (NUMBER, UNIT, NAME))
+        self.hashes, self.plain, self.doc = hashes[kept], plain[kept], doc[kept]
+        self.slot, self.value = np.isin(self.hashes, (NUMBER, UNIT, NAME)), np.isin(self.plain, (NUMBER, UNIT))
+        self.named = np.concatenate([[0], np.cumsum(self.hashes == NAME)])
         self.counts = np.bincount(self.doc, minlength=len(counts))
         self.starts = np.cumsum(self.counts) - self.counts
 
@@ -82,9 +84,18 @@ class Templates:
         places = np.flatnonzero(self.doc[:n] == self.doc[words - 1 :])
         return places, _hashed(self.hashes, None, words, n)[places]
 
-    def slots(self, place: int, words: int) -> list[str]:
+    def plain_windows(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of windows with a name, whose names are taken as lower-cased words."""
+        n = len(self.hashes) - words + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        places = np.flatnonzero((self.doc[:n] == self.doc[words - 1 :]) & (self.named[words:] > self.named[:n]))
+        return places, _hashed(self.plain, places, words, len(places))
+
+    def slots(self, place: int, words: int, plain: bool = False) -> list[str]:
         """The values that placeholders of a window stand for, in order."""
-        return [self.words[self.codes[k]] for k in range(place, place + words) if self.slot[k]]
+        slot = self.value if plain else self.slot
+        return [self.words[self.codes[k]] for k in range(place, place + words) if slot[k]]
 
 
 def _hashed(hashes: np.ndarray, places: np.ndarray | None, words: int, n: int) -> np.ndarray:
@@ -102,8 +113,9 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for n, words in enumerate(np.minimum(found.counts, WORDS).tolist()):
             if words:
                 own = Templates(batch.column(1).slice(n, 1))
-                places, hashes = own.windows(words)
-                rows += [(batch.column(0)[n].as_py(), words, h, h, own.slots(p, words), p) for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
+                template = dict(zip(*(x.tolist() for x in own.windows(words)), strict=True))
+                for plain, (places, hashes) in enumerate((own.windows(words), own.plain_windows(words))):
+                    rows += [(batch.column(0)[n].as_py(), words, h, template[p], own.slots(p, words, bool(plain)), p) for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
         signed = lambda k: pa.array(np.array([r[k] for r in rows], np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays([
             pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), signed(2), signed(3),
@@ -170,7 +182,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE,
     """Pairs of a document and a benchmark item it holds: doc_id, item_id, item_windows, matched_windows, coverage, slots, consistency.
 
     Numbers, units after them and names (a capital within a sentence) are placeholders, so a question asked again with
-    other ones still matches; punctuation and case don't count. A window counts as matched if each of its slot values goes with the value that the item's value most often has
+    other ones still matches; punctuation and case don't count: windows with names also match by the names' lower-cased
+    words. A window counts as matched if each of its slot values goes with the value that the item's value most often has
     in this document, or in one occurrence of the item there if more windows count so. `coverage` is matched over all
     distinct windows of the item and at least `share`; `consistency` the share of slots that agree.
 
@@ -193,12 +206,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE,
             found = Templates(batch.column(1))
             rows: dict[tuple, list[int]] = {}
             for words in lengths:
-                places, hashes = found.windows(words)
-                low = (hashes & mask).astype(np.int64)
-                hit = np.flatnonzero(bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1)
-                for p, h in zip(places[hit].tolist(), hashes[hit].tolist(), strict=True):
-                    n = int(found.doc[p])
-                    rows.setdefault((n, h, tuple(found.slots(p, words))), []).append(p - int(found.starts[n]))
+                for plain, (places, hashes) in enumerate((found.windows(words), found.plain_windows(words))):
+                    low = (hashes & mask).astype(np.int64)
+                    hit = np.flatnonzero(bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+                    for p, h in zip(places[hit].tolist(), hashes[hit].tolist(), strict=True):
+                        n = int(found.doc[p])
+                        rows.setdefault((n, h, tuple(found.slots(p, words, bool(plain)))), []).append(p - int(found.starts[n]))
             copies = {n: xxhash.xxh64_intdigest(batch.column(1)[n].as_buffer()) for n in {r[0] for r in rows}}
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
@@ -209,9 +222,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE,
     seen = texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, window long, doc_slots array<string>, copy long, doc_places array<int>")
     side = windows.select("item_id", "window", "own", "item_slots", "item_places")
     pairs = written(seen.join(F.broadcast(side) if known <= BROADCAST_WINDOWS else side, "window"), "window-pairs")
-    slot = pairs.select("doc_id", "item_id", "window", "item_slots", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select("doc_id", "item_id", F.col("s.item_slots").alias("is"), F.col("s.doc_slots").alias("ds"))
-    votes = slot.groupBy("doc_id", "item_id", "is", "ds").agg(F.count(F.lit(1)).alias("n"))
-    chosen = votes.groupBy("doc_id", "item_id", "is").agg(F.max(F.struct("n", "ds")).alias("best"), F.sum("n").alias("all"))
+    slot = pairs.select("doc_id", "item_id", (F.col("window") == F.col("own")).alias("whole"), F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select("doc_id", "item_id", "whole", F.col("s.item_slots").alias("is"), F.col("s.doc_slots").alias("ds"))
+    votes = slot.groupBy("doc_id", "item_id", "is", "ds").agg(F.count(F.lit(1)).alias("any"), F.count_if("whole").alias("whole"))
+    # windows that match by their names' words were counted already if they match by the template too
+    most = lambda n: F.struct(F.max(F.struct(F.col(n).alias("n"), "ds")).alias("best"), F.sum(n).alias("all"))
+    chosen = votes.groupBy("doc_id", "item_id", "is").agg(most("whole").alias("w"), most("any").alias("a")).select("doc_id", "item_id", "is", F.when(F.col("w.all") > 0, F.col("w")).otherwise(F.col("a")).alias("v")).select("doc_id", "item_id", "is", "v.best", "v.all")
     per = chosen.groupBy("doc_id", "item_id").agg(
         F.map_from_entries(F.collect_list(F.struct("is", F.col("best.ds").alias("ds")))).alias("mapping"),
         (F.sum("best.n") / F.sum("all")).alias("consistency"), F.count(F.lit(1)).alias("slots"),

@@ -144,6 +144,15 @@ def test_other_occurrences_veto_no_copy(spark):
     assert set(found) == {1, 2, 3, 5, 6} and found[1] == found[2] == found[3] == found[6] == 17
 
 
+def test_case_of_names_does_not_count(spark):
+    item = "Yesterday afternoon old Marta walked slowly down to the harbour and bought 12 fresh herrings for her cat."
+    bench = spark.createDataFrame([(1, item), (2, item.lower().replace("herrings", "mackerels"))], "item_id long, text string")
+    docs = [(1, item.lower()), (2, item.upper()), (3, item.lower().replace("12", "15")), (4, item.replace("herrings", "mackerels"))]
+    docs += [(5, item.replace("Marta", "Berta")), (6, "the old harbour master walked slowly home")]
+    found = {(r.doc_id, r.item_id): r.coverage for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert all(found[d, 1] == 1.0 for d in (1, 2, 3, 5)) and found[4, 2] == 1.0 and 6 not in {d for d, _ in found}
+
+
 def test_no_items_or_documents(spark, empty):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
