@@ -202,6 +202,21 @@ def pdf_roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("conv_id", F.array_join(F.filter(F.split("text", "\n"), lambda x: x != ""), "\n").alias("lines"))
 
 
+#: A turn's lines of up to 60 characters, broken at spaces; a longer word has a line of its own.
+_WRAPPED = r"(\S{61,}|\S.{0,59})(?: |$)"
+
+
+@query(rf"SELECT conv_id, string_agg(array_to_string(regexp_extract_all(line, '{_WRAPPED}', 1), chr(10)), chr(10) ORDER BY turn) AS lines FROM (SELECT conv_id, turn, regexp_replace('T' || turn || ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || 'z', '[^ -~]', 'x', 'g') AS line FROM conversations) GROUP BY conv_id")
+def pdf_roundtrip_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("T"), F.col("turn").cast("string"), F.lit(" "), F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("z"))
+    turns = table(spark, sf_dir, "conversations").withColumn("wrapped", F.regexp_extract_all(F.regexp_replace(line, "[^ -~]", "x"), F.lit(_WRAPPED), 1))
+    files = turns.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "wrapped"))), lambda t: t["wrapped"])).alias("lines"))
+    pages = tables.document_pages(files.select("conv_id", synthetic.pdf_pages(F.col("lines")).alias("content")), keep=["conv_id"])
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"])
+    whole = pages.groupBy("conv_id").agg(F.array_join(texts, "\n").alias("text"))
+    return whole.select("conv_id", F.array_join(F.filter(F.split("text", "\n"), lambda x: x != ""), "\n").alias("lines"))
+
+
 def _walked_as(spark: SparkSession, sf_dir: str, make, name: str) -> DataFrame:
     files = _grouped(spark, sf_dir).select("source", F.lit(name).alias("name"), make(F.col("members")).alias("content"))
     return _walked(files).select("source", "member_path", "markdown")

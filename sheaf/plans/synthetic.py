@@ -172,6 +172,27 @@ def pdf(lines: Column) -> Column:
     return _made(build, lines)
 
 
+def pdf_pages(lines: Column, per_page: int = 40) -> Column:
+    """As many pages as the lines need, with a line of text for each entry."""
+    def build(texts: list[str]) -> bytes:
+        show = lambda t: t.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+        parts = [texts[a : a + per_page] for a in range(0, len(texts), per_page)] or [[]]
+        kids = b" ".join(b"%d 0 R" % (4 + 2 * n) for n in range(len(parts)))
+        objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (kids, len(parts)), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+        for n, part in enumerate(parts):
+            content = b"BT /F1 12 Tf 72 720 Td 14 TL\n" + b"".join(b"(" + show(t) + b") Tj T*\n" for t in part) + b"ET"
+            objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents %d 0 R /Resources << /Font << /F1 3 0 R >> >> >>" % (5 + 2 * n))
+            objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(content), content))
+        out, at = b"%PDF-1.4\n", []
+        for n, o in enumerate(objects, 1):
+            at.append(len(out))
+            out += b"%d 0 obj\n%s\nendobj\n" % (n, o)
+        table = b"".join(b"%010d 00000 n \n" % a for a in at)
+        return out + b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + table + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, len(out))
+
+    return _made(build, lines)
+
+
 def _deflated(data: bytes) -> bytes:
     c = zlib.compressobj(6, zlib.DEFLATED, -15)
     return c.compress(data) + c.flush()

@@ -175,3 +175,11 @@ def test_images_are_written(spark, tmp_path, folder):
     (tmp_path / "i" / "page1_img0.png").write_bytes(b"taken")
     assert api.convert(str(tmp_path / "p.html"), image_dir=str(tmp_path / "i")) == "![image](page1_img0_1.png)"
     assert (tmp_path / "i" / "page1_img0_1.png").read_bytes() == png
+
+
+def test_pdf_round_trip_of_whole_turns(spark):
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s", ""), "[^ -~]", "x")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.concat(F.lit("T"), t["turn"].cast("string"), t["text"], F.lit("z")))
+    want = spark.read.parquet(f"{SF}/conversations.parquet").groupBy("conv_id").agg(bare(F.array_join(turns, "")).alias("t"))
+    got = entry.queries()["pdf_roundtrip_whole_text"](spark, SF).select("conv_id", bare("lines").alias("t"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
