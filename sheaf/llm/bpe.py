@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 from itertools import batched
@@ -19,40 +20,51 @@ from pyspark.sql import DataFrame
 from .common import pieces, ranges, texts
 from .words import Kept
 
-#: Distinct words encoded by one recursive query; bounds its memory.
-WORDS_AT_ONCE = 20_000
+#: Words, and bytes, that one recursive query contracts; both bound its memory.
+WORDS_AT_ONCE, BYTES_AT_ONCE = 20_000, 200_000
 
-#: Longer words, in bytes, are merged by a heap: a recursive query makes one merge of a word in each round.
-LONGEST = 400
+#: Longer words, in bytes, come in stretches of STRETCH bytes that share LAP bytes with the one before, so that the rounds of
+#: a query don't grow with a word.
+LONGEST, STRETCH, LAP = 400, 96, 32
 #: Pieces of a text coded at a time.
 PIECES = 400_000
+#: Tokens that one query decodes.
+DECODED = 100_000
 
 #: Words whose tokens a worker keeps from earlier slices.
 KEPT = 600_000
 
-#: One row a token, that also holds the token behind it and the rank at which the two would merge. Each round contracts the
-#: leftmost pair of least rank of every word, joins the two new pairs to the merge table, and lets words without a pair go.
+#: One row a token, that also holds the token behind it and the rank at which the two would merge. Each round finds the least
+#: rank of every word, contracts its pairs of that rank from the left (of pairs that share a token every second one), joins
+#: the new pairs to the merge table, and lets words without a pair go. That is the same as one leftmost pair at a time where
+#: a merge only makes pairs of higher ranks. Of ranks whose token may be part of a lower one only the leftmost pair is
+#: contracted. Ranks are doubled, and odd for those.
 ENCODE = """
-WITH RECURSIVE step(word, pos, next_pos, token, next_token, key, fixed) AS (
-    SELECT word, pos, next_pos, token, next_token, (rank::BIGINT << 32) + pos, false
+WITH RECURSIVE step(word, pos, next_pos, token, next_token, rank, fixed) AS (
+    SELECT word, pos, next_pos, token, next_token, rank, false
     FROM (SELECT word, pos, token, lead(pos) OVER w AS next_pos, lead(token) OVER w AS next_token FROM symbols WINDOW w AS (PARTITION BY word ORDER BY pos)) AS s
     LEFT JOIN merges ON merges.pair = (s.token::BIGINT << 20) + s.next_token
   UNION ALL (
     WITH best AS (
-        SELECT word, min(key) AS least FROM step WHERE NOT fixed GROUP BY word
+        SELECT word, min(rank) AS least FROM step WHERE NOT fixed GROUP BY word
+    ), met AS (
+        SELECT a.word, a.pos, a.next_pos, a.rank, row_number() OVER w AS n, lag(a.next_pos) OVER w IS NOT DISTINCT FROM a.pos AS follows
+        FROM best JOIN step AS a ON a.word = best.word AND a.rank = best.least WINDOW w AS (PARTITION BY a.word ORDER BY a.pos)
     ), chosen AS (
-        SELECT a.word, a.pos, a.next_pos, (best.least >> 32)::INTEGER AS rank, b.next_pos AS after_pos, b.next_token AS after_token
-        FROM best JOIN step AS a ON a.word = best.word AND a.key = best.least JOIN step AS b ON b.word = a.word AND b.pos = a.next_pos
+        SELECT m.word, m.pos, m.next_pos, m.rank, b.next_pos AS after_pos, b.next_token AS after_token
+        FROM (SELECT * FROM met QUALIFY n = 1 OR rank % 2 = 0 AND (n - max(CASE WHEN NOT follows THEN n END) OVER (PARTITION BY word ORDER BY n)) % 2 = 0) AS m
+        JOIN step AS b ON b.word = m.word AND b.pos = m.next_pos
     ), moved AS (
-        SELECT s.word, s.pos,
-            CASE WHEN s.pos = c.pos THEN c.after_pos ELSE s.next_pos END AS next_pos,
-            CASE WHEN s.pos = c.pos THEN c.rank ELSE s.token END AS token,
-            CASE WHEN s.pos = c.pos THEN c.after_token WHEN s.next_pos = c.pos THEN c.rank ELSE s.next_token END AS next_token,
-            c.word IS NULL AS fixed
-        FROM step AS s LEFT JOIN chosen AS c ON c.word = s.word WHERE NOT s.fixed AND (c.word IS NULL OR s.pos <> c.next_pos)
+        SELECT s.word, s.pos, CASE WHEN c.word IS NULL THEN s.next_pos ELSE c.after_pos END AS next_pos, coalesce(c.rank >> 1, s.token) AS token,
+            CASE WHEN c.word IS NULL THEN s.next_token ELSE c.after_token END AS next_token
+        FROM step AS s LEFT JOIN chosen AS c ON c.word = s.word AND c.pos = s.pos
+        WHERE NOT s.fixed AND NOT EXISTS (FROM chosen AS g WHERE g.word = s.word AND g.next_pos = s.pos)
+    ), linked AS (
+        SELECT m.word, m.pos, m.next_pos, m.token, coalesce(d.rank >> 1, m.next_token) AS next_token
+        FROM moved AS m LEFT JOIN chosen AS d ON d.word = m.word AND d.pos = m.next_pos
     )
-    SELECT m.word, m.pos, m.next_pos, m.token, m.next_token, (merges.rank::BIGINT << 32) + m.pos, m.fixed
-    FROM moved AS m LEFT JOIN merges ON merges.pair = (m.token::BIGINT << 20) + m.next_token
+    SELECT l.word, l.pos, l.next_pos, l.token, l.next_token, merges.rank, best.least IS NULL
+    FROM linked AS l JOIN best ON best.word = l.word LEFT JOIN merges ON merges.pair = (l.token::BIGINT << 20) + l.next_token
   )
 )
 SELECT word, token FROM step WHERE fixed ORDER BY word, pos
@@ -60,7 +72,7 @@ SELECT word, token FROM step WHERE fixed ORDER BY word, pos
 
 DECODE = """
 SELECT codes.doc AS doc, string_agg(vocabulary.hex, '' ORDER BY codes.pos) AS hex
-FROM codes JOIN vocabulary ON vocabulary.token = codes.token GROUP BY codes.doc
+FROM codes JOIN vocabulary ON vocabulary.token = codes.token GROUP BY codes.doc ORDER BY codes.doc
 """
 
 
@@ -80,13 +92,16 @@ class DuckBpe:
 
     def __init__(self, path: str, pattern: str, memory: str = "160MB"):
         ranks = read_ranks(path)
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.pattern = regex.compile(pattern)
         self.bytes = np.array([ranks[bytes([n])] for n in range(256)], np.int32)
         self.kept = Kept("<i4", KEPT, {k.decode(): np.array(r, "<i4").tobytes() for k, r in ranks.items() if _is_text(k)})
         # in-memory: what would not fit is an error of the task, never a file on a local disk
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = [len(k) for k in ranks]
         rows = [(ranks[k[:n]], ranks[k[n:]], r) for k, r in ranks.items() for n in range(1, len(k)) if k[:n] in ranks and k[n:] in ranks]
-        self._put("merges", {"pair": pa.array([(x[0] << 20) + x[1] for x in rows], pa.int64()), "rank": pa.array([x[2] for x in rows], pa.int32())})
+        early = {x for a, b, r in rows for x in (a, b) if r < x}
+        self._put("merges", {"pair": pa.array([(x[0] << 20) + x[1] for x in rows], pa.int64()), "rank": pa.array([2 * x[2] + (x[2] in early) for x in rows], pa.int32())})
         self._put("vocabulary", {"token": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([k.hex() for k in ranks])})
 
     def _put(self, name: str, columns: dict[str, pa.Array]) -> None:
@@ -99,41 +114,52 @@ class DuckBpe:
         return self.kept.of(words, self._new)
 
     def _new(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
         raw = [w.encode() for w in words]
-        if any(len(x) > LONGEST for x in raw):
-            short = iter(self._new([w for w, x in zip(words, raw, strict=True) if len(x) <= LONGEST]))
-            return [next(short) if len(x) <= LONGEST else self._heaped(x) for x in raw]
-        for part in _parts(words):
-            counts, tokens = self._contracted([w.encode() for w in part])
-            raw, ends = tokens.astype("<i4").tobytes(), 4 * np.cumsum(counts)
-            out += [raw[b - 4 * n : b] for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+        short = iter(self._queried([x for x in raw if len(x) <= LONGEST]))
+        return [next(short) if len(x) <= LONGEST else self._stretched(x) for x in raw]
+
+    def _queried(self, raw: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for part in _parts(raw):
+            counts, tokens = self._contracted(part)
+            all_, ends = tokens.astype("<i4").tobytes(), 4 * np.cumsum(counts)
+            out += [all_[b - 4 * n : b] for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
         return out
 
-    def _heaped(self, word: bytes) -> bytes:
-        """The same contraction for a long word: pairs on a heap by rank, then place; stale ones are passed over."""
-        parts, after, before = [word[i : i + 1] for i in range(len(word))], [*range(1, len(word)), -1], [*range(-1, len(word) - 1)]
-        ranks, heap = self.ranks, []
-
-        def offer(i: int) -> None:
-            j = after[i] if i >= 0 else -1
-            if j >= 0 and (rank := ranks.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (rank, i, len(parts[i]), len(parts[j])))
-
-        for i in range(len(word)):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if j < 0 or len(parts[i]) != a or len(parts[j]) != b:
-                continue
-            parts[i], parts[j] = parts[i] + parts[j], b""
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            offer(i)
-            offer(before[i])
-        return np.array([ranks[x] for x in parts if x], "<i4").tobytes()
+    def _stretched(self, word: bytes) -> bytes:
+        """The tokens of a long word from those of its stretches.
+
+        Tokens are what contraction gives if and only if each two neighbours are what it gives for the two of them. So two
+        overlapping parts that have a token in common join there. Where they have none (long tokens, or text that repeats,
+        out of step), longer stretches go on from a token further back; from the word's start on one is right by itself.
+        """
+        ids, begins, end, size = array("i"), array("q"), 0, STRETCH
+        while end < len(word):
+            lap, joined = LAP * size // STRETCH, True
+            first = begins[max(0, bisect_right(begins, end - lap) - 1)] if end else 0
+            starts = range(first, max(first + 1, len(word) - lap), size - lap)[: max(1, 2 * BYTES_AT_ONCE // size)]
+            for start, found in zip(starts, self._queried([word[s : s + size] for s in starts]), strict=True):
+                joined = self._joined(ids, begins, start, np.frombuffer(found, "<i4"))
+                if not joined:
+                    break
+                end = min(start + size, len(word))
+            size = max(STRETCH, size // 4) if joined else 4 * size
+        return np.array(ids, "<i4").tobytes()
+
+    def _joined(self, ids: array, begins: array, start: int, found: np.ndarray) -> bool:
+        """Whether the tokens from `start` on could be joined to those before, which then hold them."""
+        places = start + np.cumsum(self.lengths[found]) - self.lengths[found]
+        at, k = 0, 0
+        if start:
+            known = {(begins[n], ids[n]): n for n in range(bisect_left(begins, start), len(begins))}
+            k = next((k for k, x in enumerate(zip(places.tolist(), found.tolist(), strict=True)) if x in known), -1)
+            if k < 0:
+                return False
+            at = known[int(places[k]), int(found[k])]
+        del ids[at:], begins[at:]
+        ids.extend(found[k:].tolist())
+        begins.extend(places[k:].tolist())
+        return True
 
     def _contracted(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(x) for x in raw], np.int64)
@@ -174,19 +200,29 @@ class DuckBpe:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each document's ids, in order."""
-        self._put("codes", {"doc": pa.array(np.repeat(np.arange(len(counts), dtype=np.int32), counts)), "pos": pa.array(np.arange(len(ids), dtype=np.int64)), "token": pa.array(ids.astype(np.int32))})
-        out = [b""] * len(counts)
-        found = self.db.sql(DECODE).to_arrow_table()
-        for doc, text in zip(found["doc"].to_pylist(), found["hex"].to_pylist(), strict=True):
-            out[doc] = bytes.fromhex(text)
-        return out
-
-
-def _parts(words: list[str]) -> Iterator[list[str]]:
-    """At most WORDS_AT_ONCE words a query, and no more than as many times eight characters, or one longer word."""
+        out: list[list[bytes]] = [[] for _ in counts]
+        for doc, raw in self.decoded(ids, counts):
+            out[doc].append(raw)
+        return [b"".join(x) for x in out]
+
+    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """The bytes of each document's ids in order, those of a long one in several parts: (document, bytes)."""
+        ends = np.cumsum(counts)
+        for a in range(0, len(ids), DECODED):
+            b = min(a + DECODED, len(ids))
+            first, last = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left")
+            cuts = np.concatenate([[a], ends[first:last], [b]])
+            docs = np.repeat(np.arange(first, last + 1, dtype=np.int32), np.diff(cuts))
+            self._put("codes", {"doc": pa.array(docs), "pos": pa.array(np.arange(b - a, dtype=np.int64)), "token": pa.array(ids[a:b].astype(np.int32))})
+            found = self.db.sql(DECODE).to_arrow_table()
+            yield from zip(found["doc"].to_pylist(), map(bytes.fromhex, found["hex"].to_pylist()), strict=True)
+
+
+def _parts(raw: list[bytes]) -> Iterator[list[bytes]]:
+    """At most WORDS_AT_ONCE words and BYTES_AT_ONCE bytes a query, or one longer word."""
     part, size = [], 0
-    for w in words:
-        if part and (len(part) >= WORDS_AT_ONCE or size >= 8 * WORDS_AT_ONCE):
+    for w in raw:
+        if part and (len(part) >= WORDS_AT_ONCE or size + len(w) > BYTES_AT_ONCE):
             yield part
             part, size = [], 0
         part.append(w)
@@ -240,11 +276,14 @@ def round_trip_digest(docs: DataFrame, ranks: str, pattern: str, *, id_col: str
         for batch in pieces(batches, limit=3 << 20):
             ids, counts = db.encode(batch.column(1).to_pylist())
             raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+            decoded = [hashlib.sha256() for _ in counts]
+            for doc, text in db.decoded(ids, counts):
+                decoded[doc].update(text)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0),
                 "n_tokens": pa.array(counts, pa.int64()),
                 "ids_sha256": [hashlib.sha256(raw[b - 4 * n : b]).hexdigest() for b, n in zip(ends.tolist(), counts.tolist(), strict=True)],
-                "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in db.decode(ids, counts)],
+                "decoded_sha256": [x.hexdigest() for x in decoded],
             })
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import zlib
@@ -148,6 +149,32 @@ def test_same_ids_over_any_partitions(spark):
     assert one == several
 
 
+def test_long_words_in_stretches(tiktoken_encoding):
+    """Random, repeating (in step with stretches or not) and mixed words of any length, against the library."""
+    rnd = random.Random(1)
+    texts = [
+        base64.b64encode(rnd.randbytes(9000)).decode(), "".join(rnd.choice("abcdefghijklmnop") for _ in range(20000)), "a" * 30000, "abc" * 9000, "abcdefg" * 3000,
+        "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(9000)), "=" * 5001, " " * 7000 + "x", "thequickbrownfox" * 900, "".join(rnd.choice(["the", "of", "ing", "abc", "aaaa", "xyz"]) for _ in range(9000)),
+    ]
+    db = bpe.engine(tokenizer("byte_bpe_50k.tiktoken"), split_pattern())
+    for text in texts:
+        ids, counts = db.encode([text])
+        assert ids.tolist() == tiktoken_encoding.encode_ordinary(text)
+        assert db.decode(ids, counts) == [text.encode()]
+
+
+def test_dense_texts_of_a_slice_and_a_long_text(spark, tiktoken_encoding):
+    """More tokens in one slice than one query decodes, in many texts and in one."""
+    rnd = random.Random(2)
+    texts = ["".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(1400)) for _ in range(700)]
+    texts.append(" ".join(rnd.choice(["plain", "words", "of", "a", "very", "long", "text"]) for _ in range(1_500_000)))
+    got = by_id(bpe.round_trip_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), tokenizer("byte_bpe_50k.tiktoken"), split_pattern()))
+    assert [r[3] for r in got] == [hashlib.sha256(x.encode()).hexdigest() for x in texts]
+    for n in (0, 699, 700):
+        ids = tiktoken_encoding.encode_ordinary(texts[n])
+        assert got[n][1:3] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+
+
 def test_long_words_and_texts(monkeypatch, tiktoken_encoding):
     random.seed(3)
     texts = ["ab" * 3000, "".join(random.choice("abcde") for _ in range(5000)), "x  " * 30, "日本" * 700 + " and words, " * 50]
