@@ -7,25 +7,35 @@ from pyspark.sql import functions as F
 
 from .common import discard, written
 
+#: Rows of two longs up to which a side is broadcast (8 MB of values); beyond it is written, so that its join is a plain one
+#: of two shuffles, of which skewed partitions (a hub's rows) are split when they are read.
+BROADCAST_ROWS = 1 << 19
+
+
+def joined(rows: DataFrame, per_key: DataFrame, key: str, at_most: int) -> DataFrame:
+    """rows with what per_key, one row a key and no more than `at_most`, has for the key. A frequent key is no one task's."""
+    return rows.join(F.broadcast(per_key) if at_most <= BROADCAST_ROWS else written(per_key, "per-key"), key)
+
 
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) of longs: node, root (the least node reachable) for every node that has a link.
 
     Each round joins every node's larger neighbours to the least of its neighbours, then its smaller ones; both only
     group and join by node, and rows never outnumber the links. Rounds grow with the logarithm of the longest chain.
-    Self links and repeated links don't matter; no links give no rows.
+    Minima are taken before they are shuffled, and joined so that a node with many links is split. Self links and
+    repeated links don't matter; no links give no rows.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
+    count, seen = edges.count(), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = joined(both.where("v > u"), least, "u", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = joined(large, low, "u", count).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         last, edges = edges, written(small.where("u <> v").distinct(), "stars")
         discard(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        seen = now
+        seen, count = now, now[0]

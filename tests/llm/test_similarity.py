@@ -50,13 +50,16 @@ def test_anchors_cover(x, bits):
     y = x
     for b in bits:
         y ^= 1 << b
-    rows, at, spent = simhash.anchors(np.array([x, y], np.uint64), 2)
-    home = at[(rows == 0) & (spent == 0)]
-    assert len(home) == 1 and home[0] in at[rows == 1]
-    assert len(set(at[rows == 1].tolist())) == (rows == 1).sum()
+    for parts in (simhash.PARTS, simhash.MORE_PARTS):
+        rows, at, spent = simhash.anchors(np.array([x, y], np.uint64), 2, parts)
+        home = at[(rows == 0) & (spent == 0)]
+        assert len(home) == 1 and home[0] in at[rows == 1]
+        assert home.tolist() == simhash.anchors(np.array([x], np.uint64), 0, parts)[1].tolist()
+        assert len(set(at[rows == 1].tolist())) == (rows == 1).sum()
 
 
-def test_near_links_by_brute_force(spark):
+@pytest.mark.parametrize("many", [simhash.MANY, 1])
+def test_near_links_by_brute_force(spark, many):
     rng = random.Random(3)
     values = {rng.getrandbits(64) for _ in range(150)}
     for v in list(values)[:60]:
@@ -64,7 +67,7 @@ def test_near_links_by_brute_force(spark):
         values.add(v ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
         values.add(v ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    got = {tuple(r) for r in simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()}
+    got = {tuple(r) for r in simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp long"), many=many).collect()}
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
     assert got == want and want
 
@@ -83,9 +86,11 @@ def roots(nodes, links):
     return {n: top(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("broadcast", [1 << 19, 0])
+def test_components(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("sheaf.llm.components.BROADCAST_ROWS", broadcast)
     rng = random.Random(5)
-    links = [(n, n + 1) for n in range(40)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)] + [(7, 7), (300, 301), (301, 300)]
+    links = [(500, n) for n in range(501, 700)] + [(n, n + 1) for n in range(40)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)] + [(7, 7), (300, 301), (301, 300)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
     linked = {n for a, b in links if a != b for n in (a, b)}
     assert got == {n: r for n, r in roots(linked, [x for x in links if x[0] != x[1]]).items()}
