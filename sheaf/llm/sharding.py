@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import written
 
-#: Items packed on the driver, at most about twice this many: the groups that are large against a shard, and parcels of
-#: smaller groups. It bounds the driver's and the broadcast tables' size whatever the input's.
+#: Texts of so large a part of all rows (one in ITEMS) that their shard is broadcast; they are at most as many.
 ITEMS = 1 << 14
-#: Parcels and divisible groups are smaller than or about this part of a fixed capacity.
-PART = 64
 
 
 class _Node:
@@ -104,60 +104,91 @@ def _even(node: _Node) -> _Node:
     return node
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item: largest first, each into the tightest bin that holds it, else a new one.
+Classes = list[tuple[int, int]]  # sizes, the largest first, and how many items have each
+
 
-    An item larger than the capacity has a bin of its own, as it can't be divided. Equal sizes go in the given order.
+def best_fit_classes(classes: Classes, capacity: int) -> list[tuple[int, int]]:
+    """Best-fit-decreasing of items by classes of one size: (bin, number of items) for each run of items, in their order.
+
+    After an item the bin it went to is the tightest still, so it takes as many of that size as it holds: the same as one
+    item at a time. An item larger than the capacity has a bin of its own, as it can't be divided.
     """
-    bins, tree, out = 0, CapacityTree(), [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        found = tree.tightest(sizes[i])
-        if found:
-            tree.remove(found)
-            left, at = found
-        else:
-            left, at = capacity, bins
-            bins += 1
-        out[i] = at
-        if left - sizes[i] > 0:
-            tree.add((left - sizes[i], at))
+    bins, tree, out = 0, CapacityTree(), []
+    for size, count in classes:
+        while count:
+            found = tree.tightest(size)
+            if found:
+                tree.remove(found)
+                left, at = found
+            else:
+                left, at = capacity, bins
+                bins += 1
+            n = min(count, max(1, left // size))
+            out.append((at, n))
+            count -= n
+            if left - n * size > 0:
+                tree.add((left - n * size, at))
     return out
 
 
-def into_shards(sizes: list[int], shards: int) -> list[int]:
+def shard_classes(classes: Classes, shards: int) -> list[tuple[int, int]]:
     """A shard for each item that exceeds the mean of what is left, then the others packed into the remaining shards."""
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    out, left, alone = [0] * len(sizes), sum(sizes), 0
-    while alone < len(order) and sizes[order[alone]] * (shards - alone) > left:
-        out[order[alone]] = alone
-        left -= sizes[order[alone]]
-        alone += 1
-    rest = sorted(order[alone:])
-    for i, at in zip(rest, _at_least_capacity([sizes[i] for i in rest], shards - alone), strict=True):
-        out[i] = alone + at
-    return out
+    left, alone, rest, out = sum(s * n for s, n in classes), 0, list(classes), []
+    while rest and rest[0][0] * (shards - alone) > left:
+        size, n = rest[0]
+        out.append((alone, 1))
+        alone, left = alone + 1, left - size
+        rest[:1] = [(size, n - 1)] if n > 1 else []
+    return out + [(alone + at, n) for at, n in _at_least_capacity(rest, shards - alone)]
 
 
-def _at_least_capacity(sizes: list[int], shards: int) -> list[int]:
+def _at_least_capacity(classes: Classes, shards: int) -> list[tuple[int, int]]:
     """Best-fit-decreasing at the least capacity (to a 65536th) that needs no more than `shards` bins."""
-    if not sizes:
+    if not classes:
         return []
-    low = max(max(sizes), math.ceil(sum(sizes) / shards))
-    high = low + max(sizes)  # with that much to spare, an item that opens bin shards + 1 would find all others over their share
-    best = best_fit_decreasing(sizes, high)
+    largest = classes[0][0]
+    low = max(largest, math.ceil(sum(s * n for s, n in classes) / shards))
+    high = low + largest  # with that much to spare, an item that opens bin shards + 1 would find all others over their share
+    best, step = None, max(1, low >> 16)
+    while best is None:  # small items mostly need little more than the least
+        tried = best_fit_classes(classes, min(low + step, high))
+        if max(at for at, _ in tried) < shards or low + step >= high:
+            best, high = tried, min(low + step, high)
+        else:
+            low, step = low + step + 1, 8 * step
     while high - low > low >> 16:
         mid = (low + high) // 2
-        tried = best_fit_decreasing(sizes, mid)
-        if max(tried) < shards:
+        tried = best_fit_classes(classes, mid)
+        if max(at for at, _ in tried) < shards:
             best, high = tried, mid
         else:
             low = mid + 1
     return best
 
 
+def _each(sizes: list[int], pack, limit: int) -> list[int]:
+    """What pack says of classes, for each item; equal sizes go in the given order."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    runs = pack(sorted(Counter(sizes).items(), reverse=True), limit)
+    out = [0] * len(sizes)
+    for i, at in zip(order, (at for at, n in runs for _ in range(n)), strict=True):
+        out[i] = at
+    return out
+
+
+def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
+    """The bin of each item: largest first, each into the tightest bin that holds it, else a new one."""
+    return _each(sizes, best_fit_classes, capacity)
+
+
+def into_shards(sizes: list[int], shards: int) -> list[int]:
+    """The shard of each item, by `shard_classes`."""
+    return _each(sizes, shard_classes, shards)
+
+
 @dataclass
 class Packing:
-    """Which shard each group has: by its digest if it was large, else by its parcel."""
+    """doc_id, size, text_crc32 and shard of every document, and the number of shards."""
 
     rows: DataFrame
     shards: int
@@ -169,87 +200,74 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.md5(text.cast("binary")).alias("digest"))
 
 
-def _parcel(parcels: int):
-    return F.pmod(F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"), F.lit(parcels))
-
-
 def pack(docs: DataFrame, *, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> Packing:
     """Puts all documents into shards: as many as `shards`, near equal in bytes, or as few of `capacity` bytes as can be.
 
-    Groups are documents of equal text and stay together. Those of at least a hundredth part or so of a shard are items
-    of their own; smaller ones are joined by digest to parcels, which are items too. For `shards` the driver packs at
-    most about twice ITEMS of them; for a capacity tasks do, each a range of about ITEMS. Sizes are summed before
+    Groups are documents of equal text and stay together; every group is packed by its size. The driver packs classes of
+    groups of one size: D different sizes add up to D * D / 2 bytes at least, so it sees at most the square root of twice
+    all bytes (245,000 numbers for 30 GB; texts of up to a megabyte have a million sizes at most, whatever their number).
+    Then groups are numbered within their size and take the runs of their class in that order. Sizes are summed before
     they are shuffled, so a group with a third of all rows costs no more than another. Null texts count as empty, equal
     rows each count, an empty table has no rows; other columns are not read. A group over the capacity has its own shard.
     """
-    spark = docs.sparkSession
     base = written(sized(docs, id_col, text_col), "sizes")
-    total = base.agg(F.sum("size")).first()[0] or 0
-    if not shards:
-        return _of_capacity(base, total, capacity)
-    groups = base.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    large = max(1, math.ceil(total / ITEMS))
-    key = F.when(F.col("bytes") >= large, F.col("digest"))
-    items = groups.select(key.alias("digest"), F.when(key.isNull(), _parcel(ITEMS)).alias("parcel"), "bytes").groupBy("digest", "parcel").agg(F.sum("bytes").alias("bytes")).collect()
-    items.sort(key=lambda x: (x.digest or "", x.parcel if x.parcel is not None else -1))
-    sizes = [x.bytes for x in items]
-    placed = into_shards(sizes, shards)
-    whole = spark.createDataFrame([(x.digest, n) for x, n in zip(items, placed, strict=True) if x.digest is not None], T.StructType([T.StructField("digest", T.StringType()), T.StructField("large_shard", T.IntegerType())]))
-    joined = spark.createDataFrame([(x.parcel, n) for x, n in zip(items, placed, strict=True) if x.digest is None], "parcel long, parcel_shard int")
-    # both have at most ITEMS rows, by the threshold and the modulus
-    rows = base.withColumn("parcel", _parcel(ITEMS)).join(F.broadcast(whole), "digest", "left").join(F.broadcast(joined), "parcel", "left")
-    return Packing(rows.select("doc_id", "size", "text_crc32", F.coalesce("large_shard", "parcel_shard").alias("shard")), shards)
-
-
-def _pack_range(items: pa.Table) -> pa.Table:
-    """The bin of each item of one range, numbered from 0."""
-    items = items.sort_by([("digest", "ascending"), ("parcel", "ascending")])
-    capacity = items.column("capacity")[0].as_py() if items.num_rows else 0
-    placed = best_fit_decreasing(items.column("bytes").to_pylist(), capacity)
-    return items.select(["range", "digest", "parcel"]).append_column("bin", pa.array(placed, pa.int32()))
-
-
-def _of_capacity(base: DataFrame, total: int, capacity: int) -> Packing:
-    """Packs into shards of a fixed capacity, by ranges of items in tasks.
-
-    Parcels have a PARTth of the capacity on average, of groups smaller than that. Only one number a range (of about ITEMS
-    items) reaches the driver: how many shards it needs.
-    """
-    spark = base.sparkSession
-    groups = written(base.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).withColumn("parcel", _parcel(max(1, math.ceil(total * PART / capacity)))), "groups")
-    large = F.when(F.col("bytes") * PART >= capacity, F.col("digest"))
-    items = written(groups.groupBy(large.alias("digest"), "parcel").agg(F.sum("bytes").alias("bytes")), "items")
-    ranges = max(1, math.ceil(items.count() / ITEMS))
-    ranged = items.withColumn("range", F.pmod("parcel", F.lit(ranges)).cast("int")).withColumn("capacity", F.lit(capacity).cast("long"))
-    placed = written(ranged.groupBy("range").applyInArrow(_pack_range, "range int, digest string, parcel long, bin int"), "bins")
-    firsts, shards = [], 0
-    for r in placed.groupBy("range").agg((F.max("bin") + 1).alias("n")).orderBy("range").collect():
-        firsts.append((r.range, shards))
-        shards += r.n
-    first = F.broadcast(spark.createDataFrame(firsts, "range int, first int"))
-    of = placed.join(first, "range").select(F.col("digest").alias("own"), F.col("parcel").alias("at"), (F.col("first") + F.col("bin")).alias("shard"))
-    of = written(groups.join(of, (F.col("parcel") == F.col("at")) & large.eqNullSafe(F.col("own"))).select("digest", "n", "shard"), "placed")
-    # texts of so many rows are at most ITEMS; they are broadcast, so that none of them goes to one task
-    common = F.col("n") * ITEMS >= max(1, base.count())
+    rows = base.count()
+    groups = written(base.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
+    classes = sorted(((r.bytes, r.n) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    runs = shard_classes(classes, shards) if shards else best_fit_classes(classes, capacity)
+    of = written(_dealt(_numbered(groups), classes, runs), "placed")
+    common = F.col("n") * ITEMS >= max(1, rows)
     often, others = (of.where(c).select("digest", "shard") for c in (common, ~common))
-    rows = base.join(F.broadcast(often), "digest").unionByName(base.join(F.broadcast(often.select("digest")), "digest", "left_anti").join(others, "digest"))
-    return Packing(rows.select("doc_id", "size", "text_crc32", "shard"), max(1, shards))
+    placed = base.join(F.broadcast(often), "digest").unionByName(base.join(F.broadcast(often.select("digest")), "digest", "left_anti").join(others, "digest"))
+    return Packing(placed.select("doc_id", "size", "text_crc32", "shard"), shards or max(1, 1 + max((at for at, _ in runs), default=0)))
+
+
+def _numbered(groups: DataFrame, per_task: int = 4096) -> DataFrame:
+    """Adds `place`: gapless from 0 within the groups of one size, without bringing those into one task."""
+    blocks = max(1, math.ceil(groups.count() / per_task))
+    dealt = groups.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(blocks)))
+    before = Window.partitionBy("bytes").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("bytes", "block").agg(F.count(F.lit(1)).alias("of")).select("bytes", "block", F.coalesce(F.sum("of").over(before), F.lit(0)).alias("first"))
+    own = Window.partitionBy("bytes", "block").orderBy("digest")
+    return dealt.withColumn("own", F.row_number().over(own) - 1).join(starts, ["bytes", "block"]).select("digest", "bytes", "n", (F.col("first") + F.col("own")).alias("place"))
+
+
+def _dealt(groups: DataFrame, classes: Classes, runs: list[tuple[int, int]]) -> DataFrame:
+    """digest, n, shard: the group at a place of its class has the run that holds this place among all groups."""
+    counts = np.array([n for _, n in classes], np.int64)
+    sizes, firsts = np.array([s for s, _ in classes], np.int64)[::-1], (np.cumsum(counts) - counts)[::-1]
+    shared = groups.sparkSession.sparkContext.broadcast((sizes, firsts, np.cumsum([n for _, n in runs], dtype=np.int64), np.array([at for at, _ in runs], np.int32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, firsts, ends, shards = shared.value
+        for batch in batches:
+            at = firsts[np.searchsorted(sizes, np.asarray(batch.column(1)))] + np.asarray(batch.column(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shards[np.searchsorted(ends, at, "right")])], ["digest", "n", "shard"])
+
+    return groups.mapInArrow(run, "digest string, n long, shard int")
 
 
 def slots(rows: DataFrame, per_task: int = 4096) -> DataFrame:
     """Adds `slot`: within each shard gapless from 0, without bringing a shard's rows into one task.
 
     Rows of a shard are numbered within blocks by hash of doc_id, of about `per_task` rows; blocks start after those before.
+    A row that is repeated over `per_task` times is dealt over several blocks; its repetitions can't be told apart.
     """
     n = rows.count()
-    blocks = max(1, math.ceil(n / max(1, per_task)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)))
+    blocks, key = max(1, math.ceil(n / max(1, per_task))), ["doc_id", "size", "text_crc32"]
+    rows = rows.withColumn("deal", F.lit(0).cast("long"))
+    repeated = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > per_task).select(key), "repeated")
+    if not repeated.isEmpty():  # n / per_task rows at most
+        same = reduce(Column.__and__, (F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key))
+        marked = rows.alias("r").join(F.broadcast(repeated.withColumn("many", F.lit(True))).alias("s"), same, "left").select("r.*", "s.many")
+        rows = written(marked.withColumn("deal", F.when(F.col("many"), F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).otherwise(0)).drop("many"), "dealt")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "deal"), F.lit(blocks)))
     counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("shard", "block").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
     numbered = rows.withColumn("place", F.row_number().over(own) - 1)
-    return numbered.join(starts, ["shard", "block"]).withColumn("slot", (F.col("first") + F.col("place")).cast("long")).drop("first", "place", "block")
+    return numbered.join(starts, ["shard", "block"]).withColumn("slot", (F.col("first") + F.col("place")).cast("long")).drop("first", "place", "block", "deal")
 
 
 def sharded(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

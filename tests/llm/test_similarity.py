@@ -268,5 +268,20 @@ def test_fixed_capacity_below_a_parcel(spark, monkeypatch):
     assert packed.shards <= 1.05 * sum(loads.values()) / 900 + 2
 
 
+def test_every_group_is_packed_by_its_size(spark):
+    """Any number of groups is packed as one list of items would be; results don't depend on the partitions."""
+    text = F.concat(F.col("id").cast("string"), F.repeat(F.lit("y"), (F.col("id") % 37).cast("int")))
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    found = [sorted((r.shard, r["size"]) for r in sharding.pack(df.repartition(n), shards=7).rows.collect()) for n in (1, 5)]
+    sizes = sorted((s for _, s in found[0]), reverse=True)
+    assert found[0] == found[1] == sorted(zip(sharding.into_shards(sizes, 7), sizes, strict=True))
+
+
+def test_slots_of_a_row_repeated_often(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit(2).alias("size"), F.lit(5).alias("text_crc32"), (F.col("id") % 2).alias("shard"))
+    found = sharding.slots(df, per_task=100).groupBy("shard").agg(F.sort_array(F.collect_list("slot")).alias("s"), F.count_if(F.col("doc_id") == 7).alias("n")).collect()
+    assert [r.s for r in found] == [list(range(1500))] * 2 and [r.n for r in found] == [500 + (r.shard == 1) for r in found]
+
+
 def test_fixed_capacity_of_nothing(empty):
     assert sharding.pack(empty, capacity=10).rows.count() == 0
