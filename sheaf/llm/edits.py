@@ -3,7 +3,8 @@
 A text's paragraphs are the parts between line feeds, cut at sentence ends. Its sketch has three tables; each paragraph
 digest is in one cell of each table, and a cell holds the number, the sum by XOR, and the sum of checks of its digests.
 Subtracting two sketches cell by cell leaves what differs, and peeling recovers it: a cell with one digest left gives that
-digest away, which then goes from its other cells. What a sketch is too small for is tried again with a larger one.
+digest away, which then goes from its other cells. The fingerprint is the sketch of the least size, and two fingerprints
+are compared by subtracting and peeling them. What they are too small for is tried again with larger sketches.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ SWEEPS, GROWTH = 3, 8
 BUCKET_ROWS, MOST_BUCKETS = 2000, 1 << 16
 #: Seeds of the cell in each table and of the check.
 SEEDS, CHECK = (11, 12, 13), 29
-#: Cells in each table of the sketch that the fingerprint shows.
-SHOWN = 4
+#: Cells in each table of the fingerprint's sketch: enough for about 18 differing paragraphs.
+SHOWN = 8
 
 
 def paragraphs(text: Column) -> Column:
@@ -32,17 +33,30 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_remove(F.split(text, r"[.!?]\s+|\n+"), ""), lambda p: F.xxhash64(p)))
 
 
-def _in_cell(table: int, cell: int):
-    return lambda k: F.shiftright(k, 8 * table).bitwiseAND(F.lit(SHOWN - 1).cast("long")) == cell
+def _placed(digests: Column) -> Column:
+    """Each digest with its check and its cell in each table of the fingerprint's sketch."""
+    return F.transform(digests, lambda d: F.struct(d.alias("digest"), _check(d).alias("check"), *(_place(t, d, F.lit(SHOWN)).alias(f"t{t}") for t in range(len(SEEDS)))))
 
 
-def shown(text: Column, digests: Column) -> Column:
-    """The fingerprint: number of paragraphs, a digest of the whole text, and the sketch's cells at its least size."""
-    cells = [
-        F.aggregate(F.filter(digests, _in_cell(t, c)), F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(k))
-        for t in range(len(SEEDS)) for c in range(SHOWN)
-    ]
-    return F.concat_ws(":", F.size(digests).cast("string"), F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.concat(*(F.lpad(F.hex(c), 16, "0") for c in cells)))
+def _sketch(placed: Column) -> Column:
+    """The cells of the fingerprint's sketch, table after table: number, sum by XOR and sum of checks of their digests."""
+    cell = lambda left, digest, checks: F.struct(left.alias("left"), digest.alias("digest"), checks.alias("checks"))
+    none = cell(*(F.lit(0).cast("long"),) * 3)
+    put = lambda t, c: lambda x, k: F.when(k[f"t{t}"] == c, cell(x["left"] + 1, x["digest"].bitwiseXOR(k["digest"]), x["checks"].bitwiseXOR(k["check"]))).otherwise(x)
+    return F.array(*(F.aggregate(placed, none, put(t, c)) for t in range(len(SEEDS)) for c in range(SHOWN)))
+
+
+def _less(a: str, b: str) -> Column:
+    """One sketch less another of the same size."""
+    return F.zip_with(a, b, lambda x, y: F.struct((x["left"] - y["left"]).alias("left"), x["digest"].bitwiseXOR(y["digest"]).alias("digest"), x["checks"].bitwiseXOR(y["checks"]).alias("checks")))
+
+
+def _shown(count: Column, whole: Column, sketch: Column) -> Column:
+    """The fingerprint as text: number of paragraphs, digest of the whole text, cells of each table, and the cells, each
+    its number (8 hex digits), sum by XOR and sum of checks (16 each)."""
+    padded = lambda x, n: F.lpad(F.hex(x), n, "0")
+    cells = F.array_join(F.transform(sketch, lambda x: F.concat(padded(x["left"], 8), padded(x["digest"], 16), padded(x["checks"], 16))), "")
+    return F.lower(F.concat_ws(":", count.cast("string"), padded(whole, 16), F.lit(str(SHOWN)), cells))
 
 
 def _with_next(rows: DataFrame) -> DataFrame:
@@ -72,19 +86,37 @@ def _with_next(rows: DataFrame) -> DataFrame:
 
 
 def _size(a: str, b: str, attempt: int) -> Column:
-    """Cells of each table: a power of two over half the digests, eight at least, larger with each attempt."""
-    wanted = F.greatest((F.col(a) + F.col(b)) * 0.55, F.lit(8.0))
-    return F.pow(F.lit(2), F.ceil(F.log2(wanted))).cast("int") * GROWTH**attempt
+    """Cells of each table in the attempts after the fingerprints: a power of two over half the digests, larger each time."""
+    wanted = F.greatest((F.col(a) + F.col(b)) * 0.55, F.lit(2.0 * SHOWN))
+    return F.pow(F.lit(2), F.ceil(F.log2(wanted))).cast("int") * GROWTH ** (attempt - 1)
+
+
+def _place(table: int, digest: Column, cells: Column) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit(SEEDS[table])), cells).cast("int")
 
 
 def _cell(table: int, digest: Column) -> Column:
-    return F.lit(table) * F.col("cells") + F.pmod(F.xxhash64(digest, F.lit(SEEDS[table])), F.col("cells"))
+    return F.lit(table) * F.col("cells") + _place(table, digest, F.col("cells"))
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(CHECK))
 
 
+def _versions_of(rows: DataFrame) -> DataFrame:
+    """Adds sa, se and sn, the sketches that the fingerprints of the text, the edited text and the next text are."""
+    at = {"a": (F.lit(1), F.col("na")), "e": (F.col("na") + 1, F.col("ne")), "n": (F.col("na") + F.col("ne") + 1, F.col("nn"))}
+    placed = rows.select("*", *(_placed(F.slice("digests", *at[v])).alias(f"p{v}") for v in at))
+    return placed.select(*rows.columns, *(_sketch(F.col(f"p{v}")).alias(f"s{v}") for v in at))
+
+
+def _subtracted(rows: DataFrame) -> DataFrame:
+    """The fingerprints' sketches of text and edited text, and of text and next text, subtracted: one row a cell that isn't empty."""
+    pairs = F.array(*(F.struct(F.lit(pair).alias("pair"), _less("sa", other).alias("left")) for pair, other in enumerate(("se", "sn"))))
+    each = _versions_of(rows).select("rid", F.inline(pairs)).select("rid", "pair", F.posexplode("left").alias("cell", "x"))
+    return each.select("rid", "pair", F.lit(SHOWN).alias("cells"), F.col("cell").cast("long").alias("cell"), F.lit(0).cast("long").alias("found"), "x.left", "x.digest", "x.checks").where("left <> 0 OR digest <> 0 OR checks <> 0")
+
+
 def _sketched(rows: DataFrame, attempt: int) -> DataFrame:
     """The subtracted sketches of (text, edited) and (text, next) for rows(rid, digests, na, ne, nn): one row a cell."""
     sized = rows.select("rid", "na", "ne", "digests", _size("na", "ne", attempt).alias("s0"), _size("na", "nn", attempt).alias("s1"))
@@ -130,7 +162,8 @@ def _differences(rows: DataFrame, keep: bool = False) -> DataFrame:
     spark, done, attempt, rest = rows.sparkSession, [], 0, rows
     while True:
         count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rest.count() / 1500))
-        peel = _peel(_sketched(rest.repartition(count, "rid"), attempt), keep)
+        dealt = rest.repartition(count, "rid")
+        peel = _peel(_sketched(dealt, attempt) if attempt else _subtracted(dealt), keep)
         if keep:
             state = written(peel.select("rid", "pair", "cell", "found", "left"), f"peeled-{attempt}")
             stuck = written(state.where("cell <> -1").select("rid").distinct(), "stuck")
@@ -142,7 +175,7 @@ def _differences(rows: DataFrame, keep: bool = False) -> DataFrame:
             done.append(tally.join(stuck, "rid", "left_anti").select("rid", "pair", "differing"))
         if stuck.isEmpty():
             return reduce(DataFrame.union, done)
-        rest, attempt = written(rest.join(stuck, "rid", "left_semi"), "again"), attempt + 1
+        rest, attempt = rows.join(stuck, "rid", "left_semi"), attempt + 1
 
 
 def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -154,7 +187,7 @@ def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sets = edited.select("rid", "doc_id", "n_chars", "text", "edited", paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("e"), paragraphs(F.col("next_text")).alias("n"))
     return sets.select(
         "rid", "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        shown(F.col("text"), F.col("a")).alias("fingerprint"), shown(F.col("edited"), F.col("e")).alias("edited_fingerprint"),
+        F.xxhash64("text").alias("whole"), F.xxhash64("edited").alias("edited_whole"),
         F.size("a").alias("na"), F.size("e").alias("ne"), F.size("n").alias("nn"), F.concat("a", "e", "n").alias("digests"),
     )
 
@@ -171,8 +204,9 @@ def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every whole text.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    document by ascending doc_id, after the last the first. `near_*` is 1 less the differing paragraph digests over the
-    paragraphs of both: 1 for equal sets, and for two texts without a paragraph.
+    document by ascending doc_id, after the last the first. A fingerprint is a sketch (see `_shown`). `near_*` is 1 less
+    the differing paragraph digests, recovered by subtracting and peeling two fingerprints (larger sketches where they are
+    too small), over the paragraphs of both: 1 for equal sets, and for two texts without a paragraph.
 
     A null text is the empty one; a null doc_id sorts first; rows of one id are ordered by their text and each have a
     result; a single document is its own next; an empty table gives no rows; other columns are not read.
@@ -181,4 +215,8 @@ def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = _differences(table.select("rid", "na", "ne", "nn", "digests"))
     wide = found.groupBy("rid").agg(F.max(F.when(F.col("pair") == 0, F.col("differing"))).alias("d0"), F.max(F.when(F.col("pair") == 1, F.col("differing"))).alias("d1"))
     near = lambda d, n: F.when(F.col("na") + F.col(n) == 0, 1.0).otherwise(1 - F.coalesce(F.col(d), F.lit(0)) / (F.col("na") + F.col(n)))
-    return table.drop("digests").join(wide, "rid", "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("d0", "ne").alias("near_edited"), near("d1", "nn").alias("near_next"))
+    both = _versions_of(table.join(wide, "rid", "left"))
+    return both.select(
+        "doc_id", "n_chars", "edited_sha256", _shown(F.col("na"), F.col("whole"), F.col("sa")).alias("fingerprint"), _shown(F.col("ne"), F.col("edited_whole"), F.col("se")).alias("edited_fingerprint"),
+        near("d0", "ne").alias("near_edited"), near("d1", "nn").alias("near_next"),
+    )

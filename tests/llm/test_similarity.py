@@ -143,6 +143,43 @@ def test_edit_fingerprints(spark, docs, rows, empty):
     assert edits.edit_fingerprints(empty).count() == 0
 
 
+def peeled(a: str, b: str, cell_of, check_of) -> set[int] | None:
+    """What two fingerprints differ in, by subtracting and peeling their cells; None if they are too small."""
+    cells = lambda x: [(int(x[i : i + 8], 16), int(x[i + 8 : i + 24], 16), int(x[i + 24 : i + 40], 16)) for i in range(0, len(x), 40)]
+    left = [[n - m, x ^ y, c ^ d] for (n, x, c), (m, y, d) in zip(cells(a.split(":")[3]), cells(b.split(":")[3]), strict=True)]
+    found: set[int] = set()
+    while pure := [(k, x) for k, (n, x, c) in enumerate(left) if abs(n) == 1 and check_of.get(x) == c]:
+        k, x = pure[0]
+        sign, c = left[k][0], left[k][2]
+        found ^= {x}
+        for t in range(3):
+            at = left[8 * t + cell_of[x][t]]
+            at[0], at[1], at[2] = at[0] - sign, at[1] ^ x, at[2] ^ c
+    return found if all(cell == [0, 0, 0] for cell in left) else None
+
+
+def test_likeness_is_that_of_the_fingerprints(spark):
+    """near_next can be had from the two returned fingerprints alone, where these are large enough."""
+    rng = random.Random(6)
+    texts = [". ".join(f"s{rng.randrange(300)} w" for _ in range(rng.choice([0, 1, 4, 8, 60]))) for _ in range(60)]
+    rows = sorted(edits.edit_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    every = sorted({p for t in texts for p in paragraphs(t)})
+    table = spark.createDataFrame([(p,) for p in every], "p string").select("p", F.xxhash64("p").alias("h"))
+    unsigned = lambda x: x % (1 << 64)
+    known = table.select("p", "h", F.xxhash64("h", F.lit(29)).alias("check"), *(F.pmod(F.xxhash64("h", F.lit(s)), F.lit(8)).alias(f"t{n}") for n, s in enumerate((11, 12, 13)))).collect()
+    check_of, cell_of = {unsigned(r.h): unsigned(r.check) for r in known}, {unsigned(r.h): (r.t0, r.t1, r.t2) for r in known}
+    digest = {r.p: unsigned(r.h) for r in known}
+    enough = 0
+    for n, r in enumerate(rows):
+        a, b = paragraphs(texts[n]), paragraphs(texts[(n + 1) % len(texts)])
+        found = peeled(r.fingerprint, rows[(n + 1) % len(rows)].fingerprint, cell_of, check_of)
+        assert found is None or found == {digest[p] for p in a ^ b}
+        enough += found is not None
+        assert r.near_next == pytest.approx(1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0)
+        assert r.fingerprint.startswith(f"{len(a)}:")
+    assert enough > 20
+
+
 def test_next_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(edits, "BUCKET_ROWS", 7)
     ids = random.Random(2).sample(range(10_000), 100)
