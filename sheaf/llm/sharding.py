@@ -247,7 +247,7 @@ def _dealt(groups: DataFrame, classes: Classes, runs: list[tuple[int, int]]) ->
     return groups.mapInArrow(run, "digest string, n long, shard int")
 
 
-def slots(rows: DataFrame, per_task: int = 4096) -> DataFrame:
+def slots(rows: DataFrame, per_task: int = 1024) -> DataFrame:
     """Adds `slot`: within each shard gapless from 0, without bringing a shard's rows into one task.
 
     Rows of a shard are numbered within blocks by hash of doc_id, of about `per_task` rows; blocks start after those before.
