@@ -55,14 +55,17 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def word_vectors(column: pa.Array) -> np.ndarray:
-    """Random indexing over the texts: each row's context is the sum of its neighbours' index vectors, at unit length,
-    and its own index vector is added, so that words without a context differ too."""
-    index, context = index_vectors(), np.zeros((ROWS, DIM), np.float32)
-    counts, codes, names = coded(column)
+def _flat(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the words of each run one run after the other, and their number."""
     parts = [[_row(w) for w in _parts(x)] for x in names]
-    lengths = np.array([len(x) for x in parts], np.int64)
-    flat = np.array([r for x in parts for r in x], np.int64)
+    return np.array([r for x in parts for r in x], np.int64), np.array([len(x) for x in parts], np.int64)
+
+
+def contexts(column: pa.Array, context: np.ndarray) -> None:
+    """Adds to each row's context the index vectors of its neighbours in the texts, as whole numbers, whose sums are exact."""
+    index = index_vectors().astype(np.int64)
+    counts, codes, names = coded(column)
+    flat, lengths = _flat(names)
     each = lengths[codes]
     rows = flat[ranges((np.cumsum(lengths) - lengths)[codes], each)]
     doc = np.repeat(np.repeat(np.arange(len(counts)), counts), each)
@@ -76,18 +79,45 @@ def word_vectors(column: pa.Array) -> np.ndarray:
             for lo in range(0, len(starts), 512):
                 hi = min(lo + 512, len(starts))
                 part = order[starts[lo] : starts[hi] if hi < len(starts) else len(order)]
-                context[x[order[starts[lo:hi]]]] += np.add.reduceat(index[y[part]] * times[part, None].astype(np.float32), starts[lo:hi] - starts[lo])
-    norm = np.linalg.norm(context, axis=1, keepdims=True)
-    return index / np.sqrt(NONZERO) + context / np.maximum(norm, 1e-9)
+                context[x[order[starts[lo:hi]]]] += np.add.reduceat(index[y[part]] * times[part, None], starts[lo:hi] - starts[lo])
+
+
+def vectors_of(context: np.ndarray) -> np.ndarray:
+    """Word vectors: each row's context at unit length, and its own index vector, so that words without a context differ too."""
+    norm = np.linalg.norm(context.astype(np.float64), axis=1, keepdims=True)
+    return (index_vectors() / np.sqrt(NONZERO) + context / np.maximum(norm, 1e-9)).astype(np.float32)
+
+
+def word_vectors(column: pa.Array) -> np.ndarray:
+    """Random indexing over the texts of one column."""
+    context = np.zeros((ROWS, DIM), np.int64)
+    contexts(column, context)
+    return vectors_of(context)
+
+
+def corpus_vectors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Random indexing over all texts: every task sums the contexts of its documents, then they are summed by row. What
+    reaches the driver has the size of the table of vectors."""
+    columns = [f"c{k}" for k in range(DIM)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = np.zeros((ROWS, DIM), np.int64)
+        for batch in pieces(batches, limit=2 << 20):
+            contexts(batch.column(1), context)
+        met = np.flatnonzero(context.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), *(pa.array(context[met, k]) for k in range(DIM))], ["row", *columns])
+
+    summed = texts(docs, id_col, text_col).mapInArrow(run, "row int, " + ", ".join(f"{c} long" for c in columns)).groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+    context = np.zeros((ROWS, DIM), np.int64)
+    context[summed["row"].to_numpy()] = summed[columns].to_numpy(np.int64)
+    return vectors_of(context)
 
 
 def run_vectors(names: list[str], vectors: np.ndarray) -> np.ndarray:
     """The mean vector of the words of each run."""
     if not names:
         return np.zeros((0, DIM), np.float32)
-    parts = [[_row(w) for w in _parts(x)] for x in names]
-    lengths = np.array([len(x) for x in parts], np.int64)
-    flat = np.array([r for x in parts for r in x], np.int64)
+    flat, lengths = _flat(names)
     table = np.empty((len(names), DIM), np.float32)
     starts = np.cumsum(lengths) - lengths
     for a in range(0, len(names), 1 << 14):
@@ -176,19 +206,25 @@ class Model:
     network: Network
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, longest: int = 16384, target: str = "quality") -> Model:
-    """Fits on labelled documents whose crc32(doc_id as text) mod 4 is not 2: on the `sample` whose ids hash lowest, of
-    up to `longest` bytes each, so at most their product reaches the driver. Labels that are null or not 0 or 1, and
-    labels whose document is missing, don't count; of an id's repeated rows, one counts."""
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, target: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Word vectors from all documents, and a network fitted on labelled ones whose crc32(doc_id as text) mod 4 is not 2: on
+    the `sample` whose ids hash lowest, of any length. Tasks pool their features, so `sample` rows of FEATURES numbers reach
+    the driver. Labels that are null or not 0 or 1, and labels whose document is missing, don't count; of an id's repeated
+    rows, one counts."""
+    vectors = corpus_vectors(docs, id_col=id_col, text_col=text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).where("label IN (0, 1)")
     known = known.where(id_remainder(F.col("doc_id"), 4) != 2)
-    own = texts(docs)
-    size = F.octet_length("text")
-    picked = own.where(size <= longest).select("doc_id").join(known, "doc_id").groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = own.where(size <= longest).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).orderBy("doc_id").collect()
-    column = pa.array([r.text for r in rows], pa.string())
-    vectors = word_vectors(column).astype(np.float32)
-    return Model(vectors, fit(pooled(column, vectors), np.array([r.label for r in rows], np.float64)))
+    own = texts(docs, id_col, text_col)
+    picked = own.select("doc_id").join(known, "doc_id").groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pooled(batch.column(2), shared.value).tolist(), pa.list_(pa.float32()))], ["doc_id", "label", "x"])
+
+    one = own.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+    rows = one.mapInArrow(run, "doc_id long, label int, x array<float>").orderBy("doc_id").collect()
+    return Model(vectors, fit(np.array([r.x for r in rows], np.float32).reshape(-1, FEATURES), np.array([r.label for r in rows], np.float64)))
 
 
 def scored(docs: DataFrame, model: Model, *, accept: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

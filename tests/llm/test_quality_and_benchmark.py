@@ -74,6 +74,30 @@ def test_word_vectors_by_brute_force():
     assert np.allclose(got, index / np.sqrt(quality.NONZERO) + context / np.maximum(norm, 1e-9), atol=1e-5)
 
 
+def test_vectors_of_all_documents(spark, docs, rows, empty):
+    """Over any partitions those of one column of all texts; a fit leaves out no labelled text for its length."""
+    want = quality.word_vectors(pa.array([t or "" for _, t in rows]))
+    for n in (1, 5):
+        assert np.array_equal(quality.corpus_vectors(docs.repartition(n)), want)
+    assert np.array_equal(quality.corpus_vectors(empty), quality.vectors_of(np.zeros((quality.ROWS, quality.DIM), np.int64)))
+    many = spark.createDataFrame([(n, ("good words of a text " if n % 2 else "x9 %% x9 ") * 4000) for n in range(40)], "doc_id long, text string")
+    model = quality.train(many, many.selectExpr("doc_id", "cast(doc_id % 2 AS int) quality"))
+    assert all(r.predicted == r.doc_id % 2 for r in quality.scored(many, model).collect())
+
+
+def test_score_by_brute_force(spark, model):
+    """Scores from the features and the network's numbers by the definition."""
+    net, rows = model.network, table(spark, "/root/testdata/sf0.001", "documents").collect()
+    found = {r.doc_id: r.score for r in quality.scored(table(spark, "/root/testdata/sf0.001", "documents"), model).collect()}
+    for r in rows[:60]:
+        v = np.array([model.vectors[[quality._row(w) for w in quality._parts(x)]].astype(np.float64).mean(0) for x in (r.text or "").split()]).reshape(-1, quality.DIM)
+        gap = ((v[1:] - v[:-1]) ** 2).sum(1)
+        x = [*v.mean(0), *v.std(0), gap.mean() if len(gap) else 0, (gap == 0).mean() if len(gap) else 0] if len(v) else [0] * quality.FEATURES
+        hidden = [np.tanh(sum((x[k] - net.centre[k]) / net.spread[k] * net.w1[k, j] for k in range(quality.FEATURES)) + net.b1[j]) for j in range(len(net.b1))]
+        logit = (sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2) / net.temperature
+        assert found[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(logit, -30, 30))), abs=1e-3)
+
+
 def test_pooled_by_brute_force():
     vectors = quality.word_vectors(pa.array(["x y z"]))
     texts = ["x y. z x", "", "solo", "r r r"]
