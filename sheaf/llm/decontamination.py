@@ -20,8 +20,10 @@ from .common import coded, pieces, texts, written
 WORDS = 5
 #: Share of an item's windows that a document must hold.
 SHARE = 0.8
-#: Benchmark windows up to this number are broadcast (about 20 MB); more are shuffled.
-BROADCAST_WINDOWS = 100_000
+#: Literal words that a window needs for its placeholders to be placeholders; others are compared by all their words.
+LITERAL = 2
+#: Benchmark windows up to this number and these bytes of slot values are broadcast; more are shuffled.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 100_000, 16 << 20
 #: Bits of the filter by which documents drop windows that no item has; its size is fixed between these powers of two.
 FILTER_BITS = (16, 27)
 
@@ -38,19 +40,19 @@ _EDGE = r"[^\p{L}\p{N}]"
 _TRIM = regex.compile(rf"^{_EDGE}+|{_EDGE}+$")
 
 
-def _kind(run: str) -> tuple[int, int, str]:
-    """Hash of the canonical word (0: nothing to compare), flags, and the word. Flags: 1 number, 2 can be a unit, 4 can be
-    a name (a capital, then small letters), 8 ends a sentence."""
+def _kind(run: str) -> tuple[int, int, str, int]:
+    """Hash of the canonical word (0: nothing to compare), flags, the word, and its own hash. Flags: 1 number, 2 can be a
+    unit, 4 can be a name (a capital, then small letters), 8 ends a sentence."""
     word = _TRIM.sub("", run)
     ends = 8 if run.rstrip("\"')]}»”")[-1:] in ".!?:" else 0
     if not word:
-        return 0, ends | (2 if run.strip(".,;") in UNITS else 0), run
+        return 0, ends | (2 if run.strip(".,;") in UNITS else 0), run, 0
     low = word.lower()
+    digest = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 5) or 1
     if (m := _NUMBER.fullmatch(word)) and (not m[1] or m[1].lower() in UNITS):
-        return int(NUMBER), ends | 1, low
+        return int(NUMBER), ends | 1, low, digest
     name = 4 if len(word) > 1 and word[0].isupper() and word[1:].islower() else 0
-    digest = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 5)
-    return digest or 1, ends | (2 if low in UNITS else 0) | name, low
+    return digest, ends | (2 if low in UNITS else 0) | name, low, digest
 
 
 class Templates:
@@ -61,6 +63,7 @@ class Templates:
         kinds = [_kind(x) for x in runs]
         hashes = np.array([k[0] for k in kinds], np.uint64)[codes] if runs else np.zeros(0, np.uint64)
         flags = np.array([k[1] for k in kinds], np.uint8)[codes] if runs else np.zeros(0, np.uint8)
+        exact = np.array([k[3] for k in kinds], np.uint64)[codes] if runs else np.zeros(0, np.uint64)
         doc = np.repeat(np.arange(len(counts)), counts)
         first = np.diff(doc, prepend=-1) > 0
         before = np.where(first, np.uint8(8), np.roll(flags, 1))  # a text begins like a sentence
@@ -70,30 +73,39 @@ class Templates:
         hashes = np.where(name, NAME, plain)
         kept = np.flatnonzero(hashes)
         self.words, self.codes = [k[2] for k in kinds], codes[kept]
-        self.hashes, self.plain, self.doc = hashes[kept], plain[kept], doc[kept]
+        self.hashes, self.plain, self.exact, self.doc = hashes[kept], plain[kept], exact[kept], doc[kept]
         self.slot, self.value = np.isin(self.hashes, (NUMBER, UNIT, NAME)), np.isin(self.plain, (NUMBER, UNIT))
         self.named = np.concatenate([[0], np.cumsum(self.hashes == NAME)])
+        self.literal, self.literal_plain = (np.concatenate([[0], np.cumsum(~x)]) for x in (self.slot, self.value))
         self.counts = np.bincount(self.doc, minlength=len(counts))
         self.starts = np.cumsum(self.counts) - self.counts
 
-    def windows(self, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the first word, and hash, of every window of so many words within one text."""
+    def windows(self, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the first word, hash, and whether it is a template, of every window of so many words within one text.
+
+        Windows of fewer than LITERAL literal words say too little as templates: their hash is that of their words.
+        """
         n = len(self.hashes) - words + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
         places = np.flatnonzero(self.doc[:n] == self.doc[words - 1 :])
-        return places, _hashed(self.hashes, None, words, n)[places]
+        strong = (self.literal[words:] - self.literal[:n])[places] >= LITERAL
+        found = _hashed(self.hashes, None, words, n)[places]
+        found[~strong] = ~_hashed(self.exact, places[~strong], words, int((~strong).sum()))
+        return places, found, strong
 
     def plain_windows(self, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same of windows with a name, whose names are taken as lower-cased words."""
+        """Places and hashes of templates with a name, whose names are taken as lower-cased words."""
         n = len(self.hashes) - words + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        places = np.flatnonzero((self.doc[:n] == self.doc[words - 1 :]) & (self.named[words:] > self.named[:n]))
+        places = np.flatnonzero((self.doc[:n] == self.doc[words - 1 :]) & (self.named[words:] > self.named[:n]) & (self.literal_plain[words:] - self.literal_plain[:n] >= LITERAL))
         return places, _hashed(self.plain, places, words, len(places))
 
     def slots(self, place: int, words: int, plain: bool = False) -> list[str]:
-        """The values that placeholders of a window stand for, in order."""
+        """The values that placeholders of a window stand for, in order; none where it isn't a template."""
+        if not plain and self.literal[place + words] - self.literal[place] < LITERAL:
+            return []
         slot = self.value if plain else self.slot
         return [self.words[self.codes[k]] for k in range(place, place + words) if slot[k]]
 
@@ -113,9 +125,12 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for n, words in enumerate(np.minimum(found.counts, WORDS).tolist()):
             if words:
                 own = Templates(batch.column(1).slice(n, 1))
-                template = dict(zip(*(x.tolist() for x in own.windows(words)), strict=True))
-                for plain, (places, hashes) in enumerate((own.windows(words), own.plain_windows(words))):
-                    rows += [(batch.column(0)[n].as_py(), words, h, template[p], own.slots(p, words, bool(plain)), p) for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
+                places, hashes, strong = own.windows(words)
+                if 2 * strong.sum() >= len(places):  # else all count, and those that aren't templates only match as they are
+                    places, hashes = places[strong], hashes[strong]
+                template = dict(zip(places.tolist(), hashes.tolist(), strict=True))
+                for plain, found_ in enumerate((template.items(), zip(*(x.tolist() for x in own.plain_windows(words)), strict=True))):
+                    rows += [(batch.column(0)[n].as_py(), words, h, template[p], own.slots(p, words, bool(plain)), p) for p, h in found_ if p in template]
         signed = lambda k: pa.array(np.array([r[k] for r in rows], np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays([
             pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), signed(2), signed(3),
@@ -158,18 +173,28 @@ def _best_occurrence(rows: pa.Table) -> pa.Table:
         if len({h[0] for n in near for h in offsets[n]}) <= best:
             continue
         own, around = _votes(offsets[k]), _votes(h for n in near for h in offsets[n])
-        mapping = {i: max((n, d) for d, n in votes.items())[1] for i, votes in (around | own).items()}
+        mapping = _one_to_one({i: max((n, d) for d, n in votes.items()) for i, votes in (around | own).items()})
         agreed = {o for n in near for o, pairs in offsets[n] if all(mapping[i] == d for i, d in pairs)}
         if len(agreed) > best:
             every = sum(sum(v.values()) for v in own.values())
             best, slots = len(agreed), len(mapping)
-            consistency = sum(v[mapping[i]] for i, v in own.items()) / every if every else 1.0
+            consistency = sum(v.get(mapping[i], 0) for i, v in own.items()) / every if every else 1.0
     return pa.table({
         "d": rows.column("doc_id").slice(0, 1), "i": rows.column("item_id").slice(0, 1), "best_windows": pa.array([best], pa.int32()),
         "best_slots": pa.array([slots], pa.int32()), "best_consistency": pa.array([consistency], pa.float64()),
     })
 
 
+def _one_to_one(best: dict[str, tuple[int, str]]) -> dict[str, str | None]:
+    """The value each item value goes with: of several that would share one the most voted has it, the others none."""
+    out: dict[str, str | None] = {}
+    taken: set[str] = set()
+    for i, (_, d) in sorted(best.items(), key=lambda x: (-x[1][0], x[0])):
+        out[i] = None if d in taken else d
+        taken.add(d)
+    return out
+
+
 def _votes(hits: Iterable[tuple]) -> dict[str, Counter]:
     out: dict[str, Counter] = {}
     for _, pairs in hits:
@@ -184,7 +209,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE,
     Numbers, units after them and names (a capital within a sentence) are placeholders, so a question asked again with
     other ones still matches; punctuation and case don't count: windows with names also match by the names' lower-cased
     words. A window counts as matched if each of its slot values goes with the value that the item's value most often has
-    in this document, or in one occurrence of the item there if more windows count so. `coverage` is matched over all
+    in this document, or in one occurrence of the item there if more windows count so; two values never go with the same
+    one. Windows of fewer than two literal words aren't templates and don't count; where most of an item's are such, they
+    do, and match by all their words. `coverage` is matched over all
     distinct windows of the item and at least `share`; `consistency` the share of slots that agree.
 
     Items shorter than a window are one window; items without a word match nothing. Null texts are empty; null ids are
@@ -196,7 +223,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE,
     items = texts(benchmark, item_col, item_text_col).withColumnRenamed("doc_id", "item_id")
     windows = items.mapInArrow(_item_windows, "item_id long, words int, window long, own long, item_slots array<string>, item_place int")
     windows = written(windows.groupBy("item_id", "words", "window", "own", "item_slots").agg(F.collect_set("item_place").alias("item_places")), "item-windows")
-    known, lengths = windows.count(), sorted(r.words for r in windows.select("words").distinct().collect())
+    known, weight = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("item_slots", ""))), F.lit(0))).first()
+    lengths = sorted(r.words for r in windows.select("words").distinct().collect())
     bits = min(max(FILTER_BITS[0], math.ceil(math.log2(max(1, known) * 16))), FILTER_BITS[1])
     shared = spark.sparkContext.broadcast(_bitmap(windows, bits))
 
@@ -206,7 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE,
             found = Templates(batch.column(1))
             rows: dict[tuple, list[int]] = {}
             for words in lengths:
-                for plain, (places, hashes) in enumerate((found.windows(words), found.plain_windows(words))):
+                for plain, (places, hashes) in enumerate((found.windows(words)[:2], found.plain_windows(words))):
                     low = (hashes & mask).astype(np.int64)
                     hit = np.flatnonzero(bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1)
                     for p, h in zip(places[hit].tolist(), hashes[hit].tolist(), strict=True):
@@ -221,16 +249,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE,
 
     seen = texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, window long, doc_slots array<string>, copy long, doc_places array<int>")
     side = windows.select("item_id", "window", "own", "item_slots", "item_places")
-    pairs = written(seen.join(F.broadcast(side) if known <= BROADCAST_WINDOWS else side, "window"), "window-pairs")
+    pairs = written(seen.join(F.broadcast(side) if known <= BROADCAST_WINDOWS and weight <= BROADCAST_BYTES else side, "window"), "window-pairs")
     slot = pairs.select("doc_id", "item_id", (F.col("window") == F.col("own")).alias("whole"), F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select("doc_id", "item_id", "whole", F.col("s.item_slots").alias("is"), F.col("s.doc_slots").alias("ds"))
     votes = slot.groupBy("doc_id", "item_id", "is", "ds").agg(F.count(F.lit(1)).alias("any"), F.count_if("whole").alias("whole"))
     # windows that match by their names' words were counted already if they match by the template too
     most = lambda n: F.struct(F.max(F.struct(F.col(n).alias("n"), "ds")).alias("best"), F.sum(n).alias("all"))
     chosen = votes.groupBy("doc_id", "item_id", "is").agg(most("whole").alias("w"), most("any").alias("a")).select("doc_id", "item_id", "is", F.when(F.col("w.all") > 0, F.col("w")).otherwise(F.col("a")).alias("v")).select("doc_id", "item_id", "is", "v.best", "v.all")
     per = chosen.groupBy("doc_id", "item_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("is", F.col("best.ds").alias("ds")))).alias("mapping"),
+        F.collect_list(F.struct("is", F.col("best.ds").alias("ds"), F.col("best.n").alias("n"))).alias("all"),  # an item's slot values
         (F.sum("best.n") / F.sum("all")).alias("consistency"), F.count(F.lit(1)).alias("slots"),
     )
+    # one to one: of item values that would go with one value the most voted does; no value of a document is "\0"
+    ahead = lambda x: lambda y: (y["ds"] == x["ds"]) & ((y["n"] > x["n"]) | (y["n"] == x["n"]) & (y["is"] < x["is"]))
+    per = per.withColumn("mapping", F.map_from_entries(F.transform("all", lambda x: F.struct(x["is"], F.when(F.exists("all", ahead(x)), "\0").otherwise(x["ds"]))))).drop("all")
     p, q = pairs.alias("p"), per.alias("q")
     agreed = F.coalesce(F.forall(F.arrays_zip("item_slots", "doc_slots"), lambda s: F.element_at("mapping", s["item_slots"]) == s["doc_slots"]), F.lit(True))
     joined = p.join(q, F.expr("p.doc_id <=> q.doc_id AND p.item_id <=> q.item_id"), "left").select("p.doc_id", "p.item_id", "p.own", agreed.alias("agreed"), F.coalesce("q.slots", F.lit(0)).alias("slots"), F.coalesce("q.consistency", F.lit(1.0)).alias("consistency"))

@@ -168,6 +168,29 @@ def test_other_occurrences_veto_no_copy(spark):
     assert set(found) == {1, 2, 3, 5, 6} and found[1] == found[2] == found[3] == found[6] == 17
 
 
+def test_windows_need_literal_words(spark):
+    numbers, question = "12 15 18 21 24", "12 15 18 21 24 which number comes next in this series of sums"
+    bench = spark.createDataFrame([(1, numbers), (2, question)], "item_id long, text string")
+    docs = [(1, "the years 1 2 3 4 5 6 7 8 9 of it"), (2, "as in 12 15 18 21 24, and so on"), (3, "say 2 5 8 11 14 which number comes next in this series of sums"), (4, "11 11 11 11 11 which number comes first")]
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert found == {(2, 1), (3, 2)}
+
+
+def test_values_go_one_to_one(spark):
+    item = "first we give 3 coins to the baker and then 7 coins to the smith who owes 3 coins to the miller"
+    docs = [(1, item.replace("3", "8").replace("7", "9")), (2, item.replace("3", "8").replace("7", "8"))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: r.matched_windows for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, share=0.3).collect()}
+    assert found[1] == 18 and found[2] < 18
+
+
+def test_repeated_and_null_items_and_long_texts(spark):
+    item = "please move 3 of the 5 red boxes from shelf 8 to shelf 2 before noon because the truck leaves early"
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item), (4, None), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "some other words " * 100_000 + item + " and more" * 50_000), (2, "of the 5 red boxes from shelf 8 " * 20_000)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.coverage) for r in decontamination.contaminated(docs, bench).collect()} == {(1, 1, 1.0), (1, None, 1.0)}
+
+
 def test_case_of_names_does_not_count(spark):
     item = "Yesterday afternoon old Marta walked slowly down to the harbour and bought 12 fresh herrings for her cat."
     bench = spark.createDataFrame([(1, item), (2, item.lower().replace("herrings", "mackerels"))], "item_id long, text string")
