@@ -107,9 +107,10 @@ def corpus_vectors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         met = np.flatnonzero(context.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), *(pa.array(context[met, k]) for k in range(DIM))], ["row", *columns])
 
-    summed = texts(docs, id_col, text_col).mapInArrow(run, "row int, " + ", ".join(f"{c} long" for c in columns)).groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
-    context = np.zeros((ROWS, DIM), np.int64)
-    context[summed["row"].to_numpy()] = summed[columns].to_numpy(np.int64)
+    summed = texts(docs, id_col, text_col).mapInArrow(run, "row int, " + ", ".join(f"{c} long" for c in columns)).groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    context, at = np.zeros((ROWS, DIM), np.int64), np.asarray(summed["row"])
+    for k, c in enumerate(columns):
+        context[at, k] = np.asarray(summed[c])
     return vectors_of(context)
 
 
