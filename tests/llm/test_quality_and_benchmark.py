@@ -280,6 +280,22 @@ def test_licenses(spark, docs, empty):
     assert licenses.licenses(empty).count() == 0
 
 
+def test_whole_texts_and_repeated_notices(spark):
+    """Whole texts of licences, also with some words changed, are found as such; many notices take no square of their number."""
+    import time
+
+    every = licenses.templates()
+    rng = random.Random(9)
+    changed = " ".join(w if rng.random() > 0.02 else "word" for w in every["GPL-3.0-text"].split())
+    docs = [(1, "About. " + every["Apache-2.0-text"] + " The end."), (2, changed), (3, every["MPL-2.0-text"] + "\n\n" + every["LGPL-2.1-text"])]
+    found = {(r.doc_id, r.license) for r in licenses.licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {(1, "Apache-2.0-text"), (2, "GPL-3.0-text"), (3, "MPL-2.0-text"), (3, "LGPL-2.1-text")}
+    scanner = licenses.Scanner(every, 0.8)
+    start = time.time()
+    assert len(scanner.scan(pa.array(["All rights reserved. " * 50_000]))) == 50_000
+    assert time.time() - start < 5
+
+
 def test_size_bounds():
     low, high = licenses.size_bounds(10, 0.8)
     assert 2 * low / (10 + low) >= 0.8 > 2 * (low - 1) / (10 + low - 1)
