@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
+from .components import joined
 
 #: Texts of so large a part of all rows (one in ITEMS) that their shard is broadcast; they are at most as many.
 ITEMS = 1 << 14
@@ -215,11 +216,11 @@ def pack(docs: DataFrame, *, shards: int | None = None, capacity: int | None = N
     groups = written(base.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
     classes = sorted(((r.bytes, r.n) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     runs = shard_classes(classes, shards) if shards else best_fit_classes(classes, capacity)
-    of = written(_dealt(_numbered(groups), classes, runs), "placed")
+    of = written((_in_shards if shards else _in_bins)(_numbered(groups), classes, runs), "placed")
     common = F.col("n") * ITEMS >= max(1, rows)
     often, others = (of.where(c).select("digest", "shard") for c in (common, ~common))
     placed = base.join(F.broadcast(often), "digest").unionByName(base.join(F.broadcast(often.select("digest")), "digest", "left_anti").join(others, "digest"))
-    return Packing(placed.select("doc_id", "size", "text_crc32", "shard"), shards or max(1, 1 + max((at for at, _ in runs), default=0)))
+    return Packing(written(placed.select("doc_id", "size", "text_crc32", "shard"), "shards"), shards or max(1, 1 + max((at for at, _ in runs), default=0)))
 
 
 def _numbered(groups: DataFrame, per_task: int = 4096) -> DataFrame:
@@ -232,8 +233,27 @@ def _numbered(groups: DataFrame, per_task: int = 4096) -> DataFrame:
     return dealt.withColumn("own", F.row_number().over(own) - 1).join(starts, ["bytes", "block"]).select("digest", "bytes", "n", (F.col("first") + F.col("own")).alias("place"))
 
 
-def _dealt(groups: DataFrame, classes: Classes, runs: list[tuple[int, int]]) -> DataFrame:
-    """digest, n, shard: the group at a place of its class has the run that holds this place among all groups."""
+def _in_shards(groups: DataFrame, classes: Classes, runs: list[tuple[int, int]]) -> DataFrame:
+    """digest, n, shard: the group at a place of its class has the run of the class that holds this place. A class has few
+    runs, as there are few shards."""
+    left, starts, shards = iter(runs), [], []
+    for _, count in classes:
+        starts.append([])
+        shards.append([])
+        done = 0
+        while done < count:
+            shard, n = next(left)
+            starts[-1].append(done)
+            shards[-1].append(shard)
+            done += n
+    table = pa.table({"bytes": pa.array([s for s, _ in classes], pa.int64()), "starts": pa.array(starts, pa.list_(pa.int64())), "shards": pa.array(shards, pa.list_(pa.int32()))})
+    per_size = groups.sparkSession.createDataFrame(table)
+    at = F.size(F.filter("starts", lambda x: x <= F.col("place")))
+    return joined(groups, per_size, "bytes", len(classes)).select("digest", "n", F.element_at("shards", at).alias("shard"))
+
+
+def _in_bins(groups: DataFrame, classes: Classes, runs: list[tuple[int, int]]) -> DataFrame:
+    """The same for any number of bins: the run that holds the group's place among all groups."""
     counts = np.array([n for _, n in classes], np.int64)
     sizes, firsts = np.array([s for s, _ in classes], np.int64)[::-1], (np.cumsum(counts) - counts)[::-1]
     shared = groups.sparkSession.sparkContext.broadcast((sizes, firsts, np.cumsum([n for _, n in runs], dtype=np.int64), np.array([at for at, _ in runs], np.int32)))
@@ -247,22 +267,28 @@ def _dealt(groups: DataFrame, classes: Classes, runs: list[tuple[int, int]]) ->
     return groups.mapInArrow(run, "digest string, n long, shard int")
 
 
+def _blocked(rows: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """rows with their block, and the rows of each shard and block."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "deal"), F.lit(blocks)))
+    return rows, written(rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n")), "blocks")
+
+
 def slots(rows: DataFrame, per_task: int = 1024) -> DataFrame:
     """Adds `slot`: within each shard gapless from 0, without bringing a shard's rows into one task.
 
     Rows of a shard are numbered within blocks by hash of doc_id, of about `per_task` rows; blocks start after those before.
     A row that is repeated over `per_task` times is dealt over several blocks; its repetitions can't be told apart.
     """
-    n = rows.count()
-    blocks, key = max(1, math.ceil(n / max(1, per_task))), ["doc_id", "size", "text_crc32"]
-    rows = rows.withColumn("deal", F.lit(0).cast("long"))
-    repeated = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > per_task).select(key), "repeated")
-    if not repeated.isEmpty():  # n / per_task rows at most
+    blocks = max(1, math.ceil(rows.count() / max(1, per_task)))
+    rows, counts = _blocked(rows.withColumn("deal", F.lit(0).cast("long")), blocks)
+    if (counts.agg(F.max("n")).first()[0] or 0) > 4 * per_task:
+        key = ["doc_id", "size", "text_crc32"]
+        # at most as many as blocks
+        repeated = rows.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > per_task).select(*key, F.lit(True).alias("many"))
         same = reduce(Column.__and__, (F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key))
-        marked = rows.alias("r").join(F.broadcast(repeated.withColumn("many", F.lit(True))).alias("s"), same, "left").select("r.*", "s.many")
-        rows = written(marked.withColumn("deal", F.when(F.col("many"), F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).otherwise(0)).drop("many"), "dealt")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "deal"), F.lit(blocks)))
-    counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+        marked = rows.alias("r").join(F.broadcast(repeated).alias("s"), same, "left").select("r.*", "s.many")
+        dealt = marked.withColumn("deal", F.when(F.col("many"), F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).otherwise(0)).drop("many", "block")
+        rows, counts = _blocked(written(dealt, "dealt"), blocks)
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("shard", "block").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
