@@ -33,24 +33,29 @@ def _table(df: DataFrame, content: str, name: str | None, keep: Sequence[str], d
         raise ValueError(f"columns to keep are named as results: {sorted(clash)}")
     source = df.select(*(F.col(k) for k in keep), F.col(content).cast("binary").alias("__content"), (F.col(name).cast("string") if name else F.lit("")).alias("__name"))
     shape = StructType([*(df.select(*keep).schema if keep else []), *own])
-    arrow = to_arrow_schema(shape)
+    arrow, given = to_arrow_schema(shape), to_arrow_schema(own)
+
+    def made(batch: pa.RecordBatch, at: list[int], out: list[Row]) -> pa.RecordBatch:
+        """Rows of results beside what is kept of the files they are from, taken as Arrow columns."""
+        kept = [batch.column(n).take(pa.array(at, pa.int64())).cast(arrow.field(n).type) for n in range(len(keep))]
+        return pa.RecordBatch.from_arrays([*kept, *pa.RecordBatch.from_pylist(out, schema=given).columns], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
         for batch in batches:
+            at, out, size = [], [], 0
             for i in range(batch.num_rows):
                 data, label = batch.column(len(keep))[i].as_py(), batch.column(len(keep) + 1)[i].as_py()
                 if data is None:
                     continue
-                kept = {k: batch.column(n)[i].as_py() for n, k in enumerate(keep)}
                 for row in rows(data, label or ""):
-                    out.append(kept | row)
+                    at.append(i)
+                    out.append(row)
                     size += sum(len(v) for v in row.values() if isinstance(v, (str, bytes)))
                     if len(out) >= ROWS or size >= BYTES:
-                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
-                        out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        yield made(batch, at, out)
+                        at, out, size = [], [], 0
+            if out:
+                yield made(batch, at, out)
 
     return source.mapInArrow(run, shape)
 

@@ -15,7 +15,7 @@ _BIN, _CHAR_SHAPE, _PARA_SHAPE = 0x12, 0x15, 0x19
 _PARA, _TEXT, _SHAPES, _CONTROL, _LIST, _TABLE, _PICTURE = 0x42, 0x43, 0x44, 0x47, 0x48, 0x4D, 0x55
 #: Controls that take eight characters; the others below 32 take one.
 _WIDE = frozenset({1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23})
-MOST, DEPTH = 256 << 20, 64
+MOST, DEPTH, MOST_CELLS = 256 << 20, 64, 1 << 20
 BODY = 1000  # hundredths of a point
 
 
@@ -162,7 +162,9 @@ class Hwp:
     def _table(self, r: Record, page: Page, edges: list[str]) -> str:
         own = next((x for x in r.below if x.tag == _TABLE), None)
         rows, columns = struct.unpack_from("<HH", own.data, 4) if own and len(own.data) >= 8 else (0, 0)
-        grid = [[""] * min(columns, 1024) for _ in range(min(rows, 65535))]
+        if rows * columns > MOST_CELLS:
+            raise ConversionError(f"a table of {rows} x {columns} cells")
+        grid = [[""] * columns for _ in range(rows)]
         place, cells = None, {}
         for x in r.below:
             if x.tag == _LIST:

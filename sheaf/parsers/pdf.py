@@ -16,10 +16,17 @@ from .pdf_text import Interpreter, Line, Table, aligned_tables, lines_of, ruled_
 
 _NUMBER = re.compile(r"^(?:[-–—]\s*)?(?:\d{1,4}|[ivxlcdmIVXLCDM]{1,8}|[ⅰ-ⅿⅠ-Ⅿ]{1,6})(?:\s*[-–—])?$")
 _SECTION = re.compile(r"^(\d+(?:\.\d+)*)\.?\s+\S")
-PAGES_DEEP, OUTLINE_DEEP, MOST_NODES = 256, 20, 4096
+PAGES_DEEP, OUTLINE_DEEP, MOST_NODES = 256, 20, 65536
 _CODED = {"DCTDecode": "jpeg", "DCT": "jpeg", "JPXDecode": "jp2", "CCITTFaxDecode": "ccitt", "JBIG2Decode": "jbig2"}
 
 
+def _few(items, what: str):
+    """The items; an error if a file has more of them than it may."""
+    if len(items) > MOST_NODES:
+        raise ConversionError(f"more than {MOST_NODES} {what}")
+    return items
+
+
 @dataclass
 class Laid:
     """A page before it is rendered."""
@@ -141,7 +148,7 @@ class Pdf:
         return {"DeviceGray": 1, "G": 1, "DeviceRGB": 3, "RGB": 3, "DeviceCMYK": 4, "CMYK": 4, "None": 1}.get(str(space), 0)
 
     def _annotations(self, node: dict, page: Laid) -> None:
-        for ref in self.doc.list(node.get("Annots"))[:MOST_NODES]:
+        for ref in _few(self.doc.list(node.get("Annots")), "annotations"):
             a = self.doc.dict(ref)
             kind, text = str(self.doc.get(a.get("Subtype"))), pdf_string(self.doc.get(a.get("Contents")))
             uri = self.doc.get(self.doc.dict(a.get("A")).get("URI"))
@@ -158,11 +165,12 @@ class Pdf:
         out, seen = [], set()
 
         def walk(ref, depth: int) -> None:
-            while ref is not None and depth <= OUTLINE_DEEP and len(out) < MOST_NODES:
+            while ref is not None and depth <= OUTLINE_DEEP:
                 node, key = self.doc.dict(ref), ref.number if isinstance(ref, Ref) else id(ref)
                 if not node or key in seen:
                     return
                 seen.add(key)
+                _few(seen, "bookmarks")
                 target = self.doc.get(node.get("Dest")) or self.doc.get(self.doc.dict(node.get("A")).get("D"))
                 first = target[0] if isinstance(target, list) and target else None
                 title = single_line(pdf_string(self.doc.get(node.get("Title"))))
@@ -178,7 +186,8 @@ class Pdf:
         """(name, size, description) of embedded files, each once."""
         root = self.doc.dict(self.doc.dict(self.doc.trailer.get("Root")).get("Names")).get("EmbeddedFiles")
         out, seen, todo = [], set(), [root]
-        while todo and len(seen) < MOST_NODES:
+        while todo:
+            _few(seen, "attachments")
             ref = todo.pop(0)
             node, key = self.doc.dict(ref), ref.number if isinstance(ref, Ref) else id(ref)
             if not node or key in seen:

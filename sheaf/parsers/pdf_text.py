@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 from statistics import median_high
 
+from .base import ConversionError
 from .pdf_core import Document, Name, Reader, Ref, Stream, Word
 
 #: Glyph names that aren't their letter.
@@ -178,7 +180,9 @@ class Interpreter:
         s = {"ctm": ctm, "font": None, "size": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "lead": 0.0, "rise": 0.0, "mode": 0}
         stack, args, tm, line, path, at = [], [], IDENTITY, IDENTITY, [], (0.0, 0.0)
         r = Reader(raw)
-        while (x := r.next()) is not None and len(self.out.chars) < MOST_CHARS:
+        while (x := r.next()) is not None:
+            if len(self.out.chars) > MOST_CHARS:
+                raise ConversionError(f"a page has more than {MOST_CHARS} characters")
             if not isinstance(x, Word):
                 args.append(x)
                 if len(args) > 4096:
@@ -254,7 +258,7 @@ class Interpreter:
         return self.fonts[key]
 
     def _rules(self, path: list, ctm: Matrix) -> None:
-        for x0, y0, x1, y1 in path[:20000]:
+        for x0, y0, x1, y1 in path:
             a, b = (x0 * ctm[0] + y0 * ctm[2] + ctm[4], x0 * ctm[1] + y0 * ctm[3] + ctm[5]), (x1 * ctm[0] + y1 * ctm[2] + ctm[4], x1 * ctm[1] + y1 * ctm[3] + ctm[5])
             if abs(a[0] - b[0]) < 1.5 or abs(a[1] - b[1]) < 1.5:
                 self.out.rules.append((min(a[0], b[0]), min(a[1], b[1]), max(a[0], b[0]), max(a[1], b[1])))
@@ -462,9 +466,11 @@ def _touching(flat: list, tall: list) -> list[tuple[list, list]]:
             i = root[i]
         return i
 
+    order = sorted(range(len(tall)), key=lambda j: tall[j][0])
+    places = [tall[j][0] for j in order]
     for i, h in enumerate(flat):
-        for j, v in enumerate(tall):
-            if h[0] - 2 <= v[0] <= h[2] + 2 and v[1] - 2 <= h[1] <= v[3] + 2:
+        for j in order[bisect_left(places, h[0] - 2) : bisect_right(places, h[2] + 2)]:
+            if tall[j][1] - 2 <= h[1] <= tall[j][3] + 2:
                 root[top(i)] = top(len(flat) + j)
     groups: dict[int, tuple[list, list]] = {}
     for i, r in enumerate([*flat, *tall]):

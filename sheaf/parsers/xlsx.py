@@ -58,7 +58,7 @@ class Workbook:
             raw = self.z.read(part, most=16 << 30)
         except MemberError as e:
             raise ConversionError(f"cannot read {part}") from e
-        if b"<!ENTITY" in raw[:65536]:
+        if xml.declares_entities(raw):
             return
         try:
             for _, node in ET.iterparse(io.BytesIO(raw)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+import xml.parsers.expat as expat
 from collections.abc import Iterator
 
 from ..containers.base import MemberError
@@ -33,9 +34,33 @@ class _Bounded(ET.TreeBuilder):
             super().data(data)
 
 
+class _Seen(Exception):
+    """What ends a look at the prolog."""
+
+
+def declares_entities(data: bytes) -> bool:
+    """Whether an entity is declared, which only what comes before the root element can do, however long that is."""
+    parser, found = expat.ParserCreate(), []
+
+    def entity(*_) -> None:
+        found.append(True)
+        raise _Seen
+
+    def element(*_) -> None:
+        raise _Seen
+
+    parser.EntityDeclHandler, parser.StartElementHandler = entity, element
+    try:
+        for at in range(0, len(data), 1 << 16):
+            parser.Parse(data[at : at + (1 << 16)], False)
+    except (_Seen, expat.ExpatError):
+        pass
+    return bool(found)
+
+
 def parse(data: bytes) -> Node | None:
-    """The root of an XML part; None if it is empty or not well-formed."""
-    if not data or b"<!ENTITY" in data[:65536]:
+    """The root of an XML part; None if it is empty, not well-formed or declares entities."""
+    if not data or declares_entities(data):
         return None
     try:
         return ET.fromstring(data, ET.XMLParser(target=_Bounded()))

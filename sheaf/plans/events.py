@@ -11,9 +11,12 @@ from ..streaming import landing
 from .registry import query, table
 
 
-def _checkpoint(spark: SparkSession) -> str:
+def _folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, one of this machine, which only a local master shares."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="sheaf-stream-")
@@ -32,9 +35,8 @@ def events_tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n_events FROM events GROUP BY 1, 2")
 def events_tumbling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = f"tumbling_{uuid.uuid4().hex[:8]}"
-    landing.run_available(landing.windowed(_stream(spark, sf_dir), "1 hour"), name, _checkpoint(spark))
-    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events")
+    found = landing.run_available(landing.windowed(_stream(spark, sf_dir), "1 hour"), _folder(spark))
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events")
 
 
 @query("SELECT time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes' * k AS window_start, event_type, count(*) AS n_events FROM events, range(2) r(k) GROUP BY 1, 2")
@@ -51,10 +53,8 @@ def events_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_type FROM events GROUP BY 1, 2")
 def events_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = f"dedup_{uuid.uuid4().hex[:8]}"
     once = _stream(spark, sf_dir).withWatermark("ts", "10000 days").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
-    landing.run_available(once, name, _checkpoint(spark), mode="append")
-    return spark.table(name)
+    return landing.run_available(once, _folder(spark), mode="append")
 
 
 @query("SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n, sum(n_chars)::BIGINT AS chars, grouping_id(lang, source) AS level FROM documents GROUP BY CUBE (lang, source)")

@@ -71,7 +71,7 @@ def nested_zip_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zip_metadata_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix = F.element_at(F.array(F.lit(""), F.lit("__MACOSX/"), F.lit("x/._"), F.lit("../dir\\")), (F.col("doc_id") % 4 + 1).cast("int"))
     member = F.struct(F.concat(prefix, F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
-    files = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_list(member).alias("members")).select("source", F.lit("a.zip").alias("name"), synthetic.zip_file(F.col("members")).alias("content"))
+    files = table(spark, sf_dir, "documents").groupBy("source", F.floor(F.col("doc_id") / 400)).agg(F.collect_list(member).alias("members")).select("source", F.lit("a.zip").alias("name"), synthetic.zip_file(F.col("members")).alias("content"))
     return _walked(files).select("source", "member_path")
 
 

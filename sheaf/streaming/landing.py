@@ -29,6 +29,13 @@ def sessions(events: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
     return known.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n_events")).select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_events")
 
 
-def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> None:
-    """Runs a stream over what there is and ends; the result is the in-memory table."""
-    stream.writeStream.format("memory").queryName(table).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def run_available(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what there is and ends; the result is written below the folder, which executors share.
+
+    A batch that is tried again overwrites what it wrote. In complete mode the last batch has the whole result.
+    """
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result" if mode == "complete" else f"{folder}/result/batch={n}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/result")

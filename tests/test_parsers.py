@@ -502,3 +502,20 @@ def test_pictures_of_old_office():
     document = rec(0x03E8, rec(0x040B, rec(0xF000, rec(0xF001, rec(0xF007, b"\0" * 36, 2), 15), 15), 15), 15)
     (page,) = list(convert.pages(compound({"PowerPoint Document": document + slide, "Pictures": one, "Current User": b"\0" * 20}), "a.ppt"))
     assert page.images[0].data[: len(picture)] == picture and "![page1_img0](page1_img0.png)" in page.text
+
+
+def test_entities_after_a_long_prolog():
+    from sheaf.parsers import xml
+
+    plain = b"<?xml version='1.0'?><!-- " + b"x" * 200_000 + b" --><!DOCTYPE r [<!ELEMENT r ANY>]><r>&lt;!ENTITY</r>"
+    declared = plain.replace(b"<!ELEMENT r ANY>", b"<!ENTITY a 'aaaa'>")
+    assert xml.parse(plain).text == "<!ENTITY" and xml.parse(declared) is None
+    assert xml.declares_entities(declared.decode().encode("utf-16")) and not xml.declares_entities(b"")
+
+
+def test_text_is_strict_utf8_up_to_a_cut():
+    from sheaf.formats import looks_like_text
+
+    for whole in ("é".encode(), "€".encode(), "😀".encode()):
+        assert all(looks_like_text(b"a" + whole[:n]) for n in range(1, len(whole) + 1))
+    assert not any(map(looks_like_text, (b"a\0", b"\xc0\x80", b"\xed\xa0\x80", b"\xe0\x80", b"\x80", b"a\xff")))

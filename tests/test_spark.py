@@ -112,8 +112,8 @@ def test_documents_stream(spark, folder, tmp_path):
 
 def test_landing_stream_as_batch(spark, folder, tmp_path):
     (folder / "copy.html").write_text("<h1>A</h1>")
-    landing.run_available(landing.landed_documents(spark, str(folder)), "landed_files", str(tmp_path), mode="append")
-    rows = spark.table("landed_files").collect()
+    streamed = landing.run_available(landing.landed_documents(spark, str(folder)), f"file://{tmp_path}/run", mode="append")
+    rows = streamed.collect()
     os.remove(folder / "copy.html")
     assert len(rows) == len({r.digest for r in rows}) and "# A\n\n" in {r.converted.markdown for r in rows}
 
