@@ -52,7 +52,7 @@ def declares_entities(data: bytes) -> bool:
     parser.EntityDeclHandler, parser.StartElementHandler = entity, element
     try:
         for at in range(0, len(data), 1 << 16):
-            parser.Parse(data[at : at + (1 << 16)], False)
+            parser.Parse(data[at : at + (1 << 16)], at + (1 << 16) >= len(data))
     except (_Seen, expat.ExpatError):
         pass
     return bool(found)
