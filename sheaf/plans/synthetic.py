@@ -101,6 +101,32 @@ def xlsx(rows: Column) -> Column:
     return _made(build, rows)
 
 
+def typed_xlsx(rows: list[list]) -> bytes:
+    """One sheet of inline texts, numbers, truth values, ("date", serial) with a date's style, and None for no cell."""
+    def cell(ref: str, v) -> str:
+        if v is None:
+            return ""
+        if isinstance(v, bool):
+            return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, str):
+            return f'<c r="{ref}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+        return f'<c r="{ref}" s="1"><v>{v[1]}</v></c>' if isinstance(v, tuple) else f'<c r="{ref}"><v>{v}</v></c>'
+
+    body = "".join(f'<row r="{n}">' + "".join(cell(f"{chr(65 + c)}{n}", v) for c, v in enumerate(r)) + "</row>" for n, r in enumerate(rows, 1))
+    return zipped(sheet_parts(body) + [("xl/styles.xml", f'<styleSheet {_SHEET}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'.encode())])
+
+
+_SHEET = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def sheet_parts(body: str) -> list[tuple[str, bytes]]:
+    """A workbook of one sheet with these rows."""
+    return [
+        ("[Content_Types].xml", b"<Types>spreadsheetml</Types>"), ("xl/workbook.xml", f'<workbook {_SHEET}><sheets><sheet name="Data" sheetId="1" r:id="rId1"/></sheets></workbook>'.encode()),
+        ("xl/_rels/workbook.xml.rels", b'<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>'), ("xl/worksheets/sheet1.xml", f"<worksheet {_SHEET}><sheetData>{body}</sheetData></worksheet>".encode()),
+    ]
+
+
 def pptx(slides: Column) -> Column:
     """Of an array of struct(title, body)."""
     def build(rows: list[dict]) -> bytes:

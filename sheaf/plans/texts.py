@@ -155,18 +155,6 @@ def cli_page_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.page_header(F.col("doc_id") % 50, F.lit(612.0), F.lit(792.0), (F.col("doc_id") % 30) / 2).alias("header"))
 
 
-@query("SELECT vec_id, vec_id % 200 AS width, vec_id % 90 AS height FROM embeddings WHERE NOT ((vec_id % 200 BETWEEN 1 AND 49) OR (vec_id % 90 BETWEEN 1 AND 49))")
-def min_image_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 200).alias("width"), (F.col("vec_id") % 90).alias("height"))
-    small = lambda c: F.col(c).between(1, 49)
-    return sized.where(~(small("width") | small("height")))
-
-
-@query("SELECT conv_id, turn, text FROM conversations WHERE turn IN (0, 2)")
-def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(F.col("turn").isin(0, 2)).select("conv_id", "turn", "text")
-
-
 @query("SELECT doc_id, n, CASE WHEN n / 10.0 >= 1.8 THEN 1 WHEN n / 10.0 >= 1.5 THEN 2 WHEN n / 10.0 >= 1.3 THEN 3 WHEN doc_id % 2 = 0 AND n / 10.0 >= 1.1 THEN 3 ELSE 0 END AS level FROM (SELECT doc_id, doc_id % 25 AS n FROM documents)")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id") % 25
@@ -219,12 +207,6 @@ def cell_ref_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", excel.cell_column(ref).alias("column_no"), excel.cell_row(ref).alias("row_no"))
 
 
-@query("SELECT p_brand, p_size AS modal_size, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) AS k FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2)) WHERE k = 1")
-def modal_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("p_brand").agg(F.max(F.struct("n", (-F.col("p_size")).alias("less"))).alias("best")).select("p_brand", (-F.col("best.less")).alias("modal_size"), F.col("best.n").alias("n"))
-
-
 @query("SELECT conv_id, island::BIGINT AS island, min(turn) AS first_turn, count(*) AS n, string_agg(text, '' ORDER BY turn) AS merged FROM (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT *, CASE WHEN style IS DISTINCT FROM lag(style) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS fresh FROM (SELECT conv_id, turn, text, turn // 2 % 2 AS style FROM conversations))) GROUP BY conv_id, island")
 def run_merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
@@ -263,14 +245,6 @@ def comment_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(notes, "k", "full").select("k", shown.alias("cell"))
 
 
-@query("SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = e.user_id % 25 AND e.value BETWEEN s.s_acctbal / 100 AND s.s_acctbal / 100 + 20)")
-def bbox_range_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25).cast("int").alias("page"), "value").alias("e")
-    boxes = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("box_page"), (F.col("s_acctbal") / 100).alias("low")).alias("s")
-    within = (F.col("page") == F.col("box_page")) & F.col("value").between(F.col("low"), F.col("low") + 20)
-    return lines.join(boxes, within, "left_anti").select("event_id")
-
-
 @query("SELECT g.r AS row_no, g.c AS column_no, coalesce(n.n_name, '') AS value FROM (SELECT r, c FROM range(5) a(r), range(7) b(c)) g LEFT JOIN (SELECT n_nationkey // 7 AS r, n_nationkey % 7 AS c, n_name FROM nation WHERE n_nationkey % 4 <> 1) n ON n.r = g.r AND n.c = g.c")
 def dense_grid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the grid has 35 cells: rows from one sequence, columns from another
