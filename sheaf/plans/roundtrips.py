@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..containers.walk import Limits
 from ..functions import udf
 from ..operators import tables
-from ..parsers.base import Options
+from ..sources.sinks import exit_code
 from . import synthetic
 from .registry import query, table
 
@@ -188,11 +188,6 @@ def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", udf.to_markdown(hostile, F.lit("a.bin")).getField("error").alias("error"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: x), lambda x: true), chr(10)) AS plain FROM documents")
-def plain_text_option(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", udf.to_markdown(F.col("text").cast("binary"), F.lit("a.txt"), Options("text")).getField("markdown").alias("plain"))
-
-
 @query(r"SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS lines FROM (SELECT conv_id, turn, rtrim(substr(regexp_replace(line, '[^ -~]', 'x', 'g'), 1, 60)) AS line FROM (SELECT conv_id, turn, 'T' || turn || ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || 'z' AS line FROM conversations)) GROUP BY conv_id")
 def pdf_roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("T"), F.col("turn").cast("string"), F.lit(" "), F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("z"))
@@ -255,4 +250,4 @@ def html_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _grouped(spark, sf_dir).select("source", F.lit("a.zip").alias("name"), synthetic.zip_file(F.col("members")).alias("content"))
     found = _walked(files, Limits(max_member_bytes=2000))
-    return found.groupBy("source").agg(F.when(F.count_if(F.col("error") != "") > 0, 2).otherwise(0).alias("exit_code"))
+    return exit_code(found, "source")

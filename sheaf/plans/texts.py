@@ -207,52 +207,6 @@ def cell_ref_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", excel.cell_column(ref).alias("column_no"), excel.cell_row(ref).alias("row_no"))
 
 
-@query("SELECT conv_id, island::BIGINT AS island, min(turn) AS first_turn, count(*) AS n, string_agg(text, '' ORDER BY turn) AS merged FROM (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT *, CASE WHEN style IS DISTINCT FROM lag(style) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS fresh FROM (SELECT conv_id, turn, text, turn // 2 % 2 AS style FROM conversations))) GROUP BY conv_id, island")
-def run_merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    runs = table(spark, sf_dir, "conversations").withColumn("style", F.floor(F.col("turn") / 2) % 2)
-    marked = runs.withColumn("fresh", F.when(F.col("style").eqNullSafe(F.lag("style").over(order)), 0).otherwise(1)).withColumn("island", F.sum("fresh").over(order))
-    return marked.groupBy("conv_id", "island").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "").alias("merged"))
-
-
-@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, reset ORDER BY turn) AS number FROM (SELECT conv_id, turn, sum(CASE WHEN role = 'user' AND turn % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS reset FROM conversations)")
-def ordered_list_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    reset = table(spark, sf_dir, "conversations").withColumn("reset", F.sum(F.when((F.col("role") == "user") & (F.col("turn") % 4 == 0), 1).otherwise(0)).over(order))
-    return reset.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id", "reset").orderBy("turn")).cast("long").alias("number"))
-
-
-@query("SELECT conv_id, turn, (1 + sum(CASE WHEN turn > 0 AND turn % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS page FROM conversations")
-def page_index_from_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = F.when((F.col("turn") > 0) & (F.col("turn") % 3 == 0), 1).otherwise(0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (1 + F.sum(flag).over(Window.partitionBy("conv_id").orderBy("turn"))).cast("long").alias("page"))
-
-
-@query("SELECT DISTINCT h.conv_id, h.line FROM (SELECT conv_id, regexp_extract(text, '^[^ ]+') AS line FROM conversations WHERE turn = 0) h WHERE h.line <> '' AND NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = h.conv_id AND b.turn > 0 AND contains(b.text, h.line))")
-def header_dedupe_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    heads = turns.where("turn = 0").select("conv_id", F.regexp_extract("text", "^[^ ]+", 0).alias("line")).where("line <> ''").alias("h")
-    body = turns.where("turn > 0").alias("b")
-    return heads.join(body, (F.col("h.conv_id") == F.col("b.conv_id")) & F.contains(F.col("b.text"), F.col("h.line")), "left_anti").distinct()
-
-
-@query("SELECT coalesce(c.k, n.k) AS k, CASE WHEN c.v IS NULL THEN '[' || n.v || ']' WHEN n.v IS NULL THEN c.v ELSE c.v || ' [' || n.v || ']' END AS cell FROM (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey % 3 <> 0) c FULL JOIN (SELECT n_nationkey AS k, 'note ' || n_regionkey AS v FROM nation WHERE n_nationkey % 2 = 0) n ON c.k = n.k")
-def comment_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation")
-    cells = nation.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
-    notes = nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("note "), F.col("n_regionkey").cast("string")).alias("note"))
-    shown = F.when(F.col("v").isNull(), F.concat(F.lit("["), "note", F.lit("]"))).when(F.col("note").isNull(), F.col("v")).otherwise(F.concat("v", F.lit(" ["), "note", F.lit("]")))
-    return cells.join(notes, "k", "full").select("k", shown.alias("cell"))
-
-
-@query("SELECT g.r AS row_no, g.c AS column_no, coalesce(n.n_name, '') AS value FROM (SELECT r, c FROM range(5) a(r), range(7) b(c)) g LEFT JOIN (SELECT n_nationkey // 7 AS r, n_nationkey % 7 AS c, n_name FROM nation WHERE n_nationkey % 4 <> 1) n ON n.r = g.r AND n.c = g.c")
-def dense_grid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the grid has 35 cells: rows from one sequence, columns from another
-    grid = spark.range(5).select(F.col("id").alias("row_no"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("column_no"))
-    cells = table(spark, sf_dir, "nation").where("n_nationkey % 4 <> 1").select(F.floor(F.col("n_nationkey") / 7).alias("row_no"), (F.col("n_nationkey") % 7).cast("long").alias("column_no"), "n_name")
-    return grid.join(cells, ["row_no", "column_no"], "left").select("row_no", "column_no", F.coalesce("n_name", F.lit("")).alias("value"))
-
-
 @query("SELECT p_type, count(DISTINCT p_brand) AS brands, min(p_size) AS least, list_sort(list(p_size))[(count(*) // 2 + 1)::INTEGER] AS middle FROM part GROUP BY p_type")
 def median_element(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = F.array_sort(F.collect_list("p_size"))

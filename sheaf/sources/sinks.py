@@ -22,9 +22,9 @@ def member_text(path: Column, markdown: Column, error: Column) -> Column:
     return F.when(F.coalesce(error, F.lit("")) != "", failed).otherwise(F.concat(F.lit("=== "), path, F.lit(" ===\n"), markdown, F.lit("\n\n")))
 
 
-def exit_code(members: DataFrame) -> DataFrame:
-    """2 if a member failed, else 0."""
-    return members.agg(F.when(F.count_if(F.coalesce("error", F.lit("")) != "") > 0, 2).otherwise(0).alias("exit_code"))
+def exit_code(members: DataFrame, *by: str) -> DataFrame:
+    """2 if a member failed, else 0; for each value of the columns `by`, if any are given."""
+    return members.groupBy(*by).agg(F.when(F.count_if(F.coalesce("error", F.lit("")) != "") > 0, 2).otherwise(0).alias("exit_code"))
 
 
 def named_images(images: DataFrame, folder: str = "folder", name: str = "name", kind: str = "format") -> DataFrame:
