@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ def _flat(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(column: pa.Array, context: np.ndarray) -> None:
     """Adds to each row's context the index vectors of its neighbours in the texts, as whole numbers, whose sums are exact."""
-    index = index_vectors().astype(np.int64)
+    places, signs = _sparse_index()
     counts, codes, names = coded(column)
     flat, lengths = _flat(names)
     each = lengths[codes]
@@ -71,15 +72,19 @@ def contexts(column: pa.Array, context: np.ndarray) -> None:
     doc = np.repeat(np.repeat(np.arange(len(counts)), counts), each)
     for step in range(1, WINDOW + 1):
         same = doc[step:] == doc[:-step]
-        pair, times = np.unique((rows[step:][same] << 20) | rows[:-step][same], return_counts=True)
-        a, b = pair >> 20, pair & ((1 << 20) - 1)
+        a, b = rows[step:][same], rows[:-step][same]
         for x, y in ((a, b), (b, a)):
-            order = np.argsort(x, kind="stable")
-            starts = np.flatnonzero(np.diff(x[order], prepend=-1))
-            for lo in range(0, len(starts), 512):
-                hi = min(lo + 512, len(starts))
-                part = order[starts[lo] : starts[hi] if hi < len(starts) else len(order)]
-                context[x[order[starts[lo:hi]]]] += np.add.reduceat(index[y[part]] * times[part, None], starts[lo:hi] - starts[lo])
+            for lo in range(0, len(x), 1 << 18):
+                at = x[lo : lo + (1 << 18), None] * DIM + places[y[lo : lo + (1 << 18)]]
+                context += np.bincount(at.ravel(), signs[y[lo : lo + (1 << 18)]].ravel(), ROWS * DIM).astype(np.int64).reshape(ROWS, DIM)
+
+
+@cache
+def _sparse_index() -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of what isn't zero in each index vector."""
+    index = index_vectors()
+    places = np.nonzero(index)[1].reshape(ROWS, NONZERO)
+    return places, np.take_along_axis(index, places, 1).astype(np.float64)
 
 
 def vectors_of(context: np.ndarray) -> np.ndarray:
@@ -102,7 +107,7 @@ def corpus_vectors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = np.zeros((ROWS, DIM), np.int64)
-        for batch in pieces(batches, limit=2 << 20):
+        for batch in pieces(batches):
             contexts(batch.column(1), context)
         met = np.flatnonzero(context.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), *(pa.array(context[met, k]) for k in range(DIM))], ["row", *columns])

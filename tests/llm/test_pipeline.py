@@ -67,5 +67,5 @@ def test_awkward_rows(spark, docs, empty):
 
 def test_all_registered():
     names = queries.queries()
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names if n.startswith("op")] == list(range(1, 11))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
