@@ -7,17 +7,18 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from . import images, png
+from . import ccitt, images, png
 from .base import ConversionError, Image, Options, Page, Pages
 from .markdown import padded_table
 from .package import human_bytes, single_line
 from .pdf_core import Document, Ref, Stream
+from .pdf_images import Placed, stitched
 from .pdf_text import Interpreter, Line, Table, aligned_tables, lines_of, ruled_tables
 
 _NUMBER = re.compile(r"^(?:[-–—]\s*)?(?:\d{1,4}|[ivxlcdmIVXLCDM]{1,8}|[ⅰ-ⅿⅠ-Ⅿ]{1,6})(?:\s*[-–—])?$")
 _SECTION = re.compile(r"^(\d+(?:\.\d+)*)\.?\s+\S")
 PAGES_DEEP, OUTLINE_DEEP, MOST_NODES = 256, 20, 65536
-_CODED = {"DCTDecode": "jpeg", "DCT": "jpeg", "JPXDecode": "jp2", "CCITTFaxDecode": "ccitt", "JBIG2Decode": "jbig2"}
+_CODED = {"DCTDecode": "jpeg", "DCT": "jpeg", "JPXDecode": "jp2", "CCITTFaxDecode": "ccitt", "CCF": "ccitt", "JBIG2Decode": "jbig2"}
 
 
 def _few(items, what: str):
@@ -91,7 +92,7 @@ class Pdf:
         return page
 
     def _images(self, found: list, page: Laid) -> None:
-        seen = set()
+        seen, read = set(), []
         for info, stream, ctm in found:
             if id(stream) in seen:
                 continue
@@ -99,19 +100,35 @@ class Pdf:
             wide, high = int(self.doc.number(info.get("Width"))), int(self.doc.number(info.get("Height")))
             names = self.doc.get(info.get("Filter"))
             last = str(self.doc.get((names if isinstance(names, list) else [names])[-1])) if names else ""
-            image = Image(page.number - 1, f"page{page.number}_img{len(page.images)}", _CODED.get(last, "bin"), b"", wide, high)
+            data, kind = self.doc.decoded(stream), _CODED.get(last, "bin")
+            if kind == "ccitt":
+                data, kind = self._unfaxed(info, data, wide, high), "bin"
+            samples = self._samples(info, data, wide, high) if kind == "bin" else None
+            read.append((Placed(ctm, wide, high, *samples) if samples else None, Image(0, "", kind, data, wide, high), ctm))
+        for picture, image, ctm in stitched(read):
+            image.page_number, image.name = page.number - 1, f"page{page.number}_img{len(page.images)}"
             if not images.wanted(image, self.options):
                 continue
-            image.data = self.doc.decoded(stream)
-            if last not in _CODED and (picture := self._pixels(info, image.data, wide, high)):
-                image.data, image.format = picture, "png"
-            page.degraded += image.format in ("bin", "ccitt", "jbig2")
+            if picture and (made := png.encoded(picture.wide, picture.high, picture.channels, picture.samples)):
+                image.data, image.format = made, "png"
+            page.degraded += image.format in ("bin", "jbig2")
             if image.data:
                 page.images.append(image)
                 page.places.append(ctm[5])
 
-    def _pixels(self, info: dict, data: bytes, wide: int, high: int) -> bytes:
-        """A PNG of samples in grey, colours, print colours or a palette; empty for others."""
+    def _unfaxed(self, info: dict, data: bytes, wide: int, high: int) -> bytes:
+        parms = self.doc.get(info.get("DecodeParms"))
+        own = self.doc.dict(parms[-1] if isinstance(parms, list) and parms else parms)
+        columns, truth = int(self.doc.number(own.get("Columns"), 1728)), lambda name: self.doc.get(own.get(name)) is True
+        if not 0 < columns <= 1 << 16 or columns * high > png.MOST_PIXELS:
+            return b""
+        rows, n = ccitt.decoded(data, columns, high, int(self.doc.number(own.get("K"), 0)), truth("EncodedByteAlign"), truth("BlackIs1"))
+        white = (b"\0" if truth("BlackIs1") else b"\xff") * ((columns + 7) // 8)
+        return rows + white * (high - n)  # a damaged picture is white from there on
+
+    def _samples(self, info: dict, data: bytes, wide: int, high: int) -> tuple[int, bytes] | None:
+        """Channels (1 grey, 3 colours, 4 colours and alpha) and samples of a picture in grey, colours, print colours or a
+        palette, with its soft mask; None for others."""
         bits = int(self.doc.number(info.get("BitsPerComponent"), 1 if self.doc.get(info.get("ImageMask")) else 8))
         space, palette = self.doc.get(info.get("ColorSpace")), b""
         if isinstance(space, list) and space and str(self.doc.get(space[0])) in ("Indexed", "I") and len(space) > 3:
@@ -121,22 +138,44 @@ class Pdf:
             channels = 1
         else:
             channels = self._channels(space)
-        if wide <= 0 or high <= 0 or wide * high > png.MOST_PIXELS or bits not in (1, 2, 4, 8) or not channels:
-            return b""
-        samples = png.unpacked(data, wide * channels, high, bits)
+        if wide <= 0 or high <= 0 or wide * high > png.MOST_PIXELS or bits not in (1, 2, 4, 8, 16) or not channels:
+            return None
+        samples = data[::2] if bits == 16 else png.unpacked(data, wide * channels, high, bits)  # of 16 bits the upper ones
         if len(samples) < wide * high * channels:
-            return b""
+            return None
+        samples = samples[: wide * high * channels]
+        flip = [self.doc.number(v) for v in self.doc.list(info.get("Decode"))][:2] == [1, 0]
         if palette:
             colours = self._channels(space)
             one = [_rgb(palette[colours * n : colours * (n + 1)].ljust(colours, b"\0")) for n in range(256)]
-            return png.encoded(wide, high, 3, b"".join(map(one.__getitem__, samples)))
-        if bits < 8:
+            channels, samples = 3, b"".join(map(one.__getitem__, samples))
+        elif bits < 8:
             full = (1 << bits) - 1
-            flip = [self.doc.number(v) for v in self.doc.list(info.get("Decode"))][:2] == [1, 0]
             samples = samples.translate(bytes((255 * (full - v if flip else v) // full) & 255 for v in range(full + 1)) + bytes(255 - full))
+        elif flip:
+            samples = samples.translate(bytes(range(255, -1, -1)))
         if channels == 4:
-            return png.encoded(wide, high, 3, b"".join(_rgb(samples[a : a + 4]) for a in range(0, 4 * wide * high, 4)))
-        return png.encoded(wide, high, channels, samples)
+            channels, samples = 3, b"".join(_rgb(samples[a : a + 4]) for a in range(0, 4 * wide * high, 4))
+        elif isinstance(space, list) and str(self.doc.get(space[0])) == "Lab":
+            samples = b"".join(_lab(*samples[a : a + 3]) for a in range(0, 3 * wide * high, 3))
+        mask = self.doc.get(info.get("SMask"))
+        return self._masked(mask, wide, high, channels, samples) if isinstance(mask, Stream) and "SMask" not in mask.info else (channels, samples)
+
+    def _masked(self, mask: Stream, wide: int, high: int, channels: int, samples: bytes) -> tuple[int, bytes]:
+        """With the soft mask as alpha, its pixels taken from the nearest place where sizes differ."""
+        across, down = int(self.doc.number(mask.info.get("Width"))), int(self.doc.number(mask.info.get("Height")))
+        found = self._samples(mask.info, self.doc.decoded(mask), across, down)
+        if not found or found[0] != 1:
+            return channels, samples
+        alpha = found[1]
+        if (across, down) != (wide, high):
+            columns = [x * across // wide for x in range(wide)]
+            alpha = b"".join(bytes(row[x] for x in columns) for row in (alpha[(y * down // high) * across :][:across] for y in range(high)))
+        out = bytearray(4 * wide * high)
+        for c in range(3):
+            out[c::4] = samples[c::3] if channels == 3 else samples
+        out[3::4] = alpha
+        return 4, bytes(out)
 
     def _channels(self, space) -> int:
         """Samples a pixel of a colour space; 0 if it isn't known."""
@@ -209,6 +248,15 @@ def _inside(c, t: Table) -> bool:
     return t.box[0] - 1 <= (c.x + c.right) / 2 <= t.box[2] + 1 and t.box[1] - 1 <= c.y + c.size * 0.3 <= t.box[3] + 1
 
 
+def _lab(light: int, a: int, b: int) -> bytes:
+    """Of CIE L*a*b* (scaled to bytes, a and b around 128) the sRGB colour."""
+    y = (light / 2.55 + 16) / 116
+    x, z = y + (a - 128) / 500, y - (b - 128) / 200
+    x, y, z = (w * (t**3 if t > 6 / 29 else (t - 4 / 29) * 108 / 841) for t, w in ((x, 0.9505), (y, 1.0), (z, 1.089)))
+    linear = (3.2406 * x - 1.5372 * y - 0.4986 * z, -0.9689 * x + 1.8758 * y + 0.0415 * z, 0.0557 * x - 0.204 * y + 1.057 * z)
+    return bytes(min(255, max(0, round(255 * (12.92 * v if v <= 0.0031308 else 1.055 * v ** (1 / 2.4) - 0.055)))) for v in linear)
+
+
 def _rgb(sample: bytes) -> bytes:
     """Grey, colours or print colours as three bytes."""
     if len(sample) == 4:

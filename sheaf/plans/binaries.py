@@ -336,3 +336,52 @@ def png_rows(data: bytes) -> bytes:
     """The rows of a PNG of one IDAT chunk, each after its filter's byte."""
     (size,) = struct.unpack_from(">I", data, 33)
     return zlib.decompress(data[41 : 41 + size])
+
+
+def fax(rows: list[bytes], columns: int, k: int = -1) -> bytes:
+    """Rows of one byte a pixel, 1 for black, coded against the row above (k below 0) or alone (0, without marks)."""
+    from ..parsers import ccitt
+
+    mode = {v: w for w, v in ccitt.MODES.items()}
+    out: list[str] = []
+
+    def run(n: int, colour: int) -> str:
+        words, text = ccitt.BLACK if colour else ccitt.WHITE, ""
+        while n >= 2560:
+            text, n = text + ccitt.LONG[-1], n - 2560
+        if n >= 1792:
+            text, n = text + ccitt.LONG[(n - 1792) // 64], n % 64
+        elif n >= 64:
+            text, n = text + words[63 + n // 64], n % 64
+        return text + words[n]
+
+    def change(row: bytes, at: int, colour: int) -> int:
+        """The first place from `at` on whose pixel has another colour."""
+        place = row.find(1 - colour, max(at, 0))
+        return place if place >= 0 else columns
+
+    above = bytes(columns)
+    for row in rows:
+        at, colour = (-1 if k < 0 else 0), 0
+        while at < columns and k >= 0:
+            end = change(row, at, colour)
+            out.append(run(end - at, colour))
+            at, colour = end, colour ^ 1
+        while at < columns and k < 0:
+            own = change(row, at, colour) if at >= 0 else change(row, 0, 0)
+            b1 = next((x for x in range(at + 1, columns) if above[x] != colour and (above[x - 1] if x else 0) == colour), columns)
+            b2 = change(above, b1, colour ^ 1)
+            if b2 < own:
+                out.append(mode["pass"])
+                at = b2
+            elif abs(own - b1) <= 3:
+                out.append(mode[own - b1])
+                at, colour = own, colour ^ 1
+            else:
+                second = change(row, own, colour ^ 1)
+                out.append(mode["across"] + run(own - max(at, 0), colour) + run(second - own, colour ^ 1))
+                at = second
+        above = row
+    text = "".join(out) + (2 * ccitt.EOL if k < 0 else "")
+    text += "0" * (-len(text) % 8)
+    return int(text or "0", 2).to_bytes(len(text) // 8, "big")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -280,8 +281,6 @@ def pdf_unicode_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey, 'png' AS format, (20 + n_nationkey)::BIGINT AS width, (30 + n_nationkey)::BIGINT AS height, md5(n_name || n_nationkey) AS pixels FROM nation WHERE n_nationkey >= 20")
 def min_image_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of PDF pages as PNG, the small ones left out; the first bytes of the pixels carry a digest."""
-    import hashlib
-
     def build(key: int, name: str) -> bytes:
         wide, high = 20 + key, 30 + key
         pixels = hashlib.md5(f"{name}{key}".encode()).digest().ljust(wide * high, b"\7")
@@ -294,3 +293,66 @@ def min_image_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "nation").select("n_nationkey", _made(build, F.col("n_nationkey"), F.col("n_name")).alias("content"))
     found = tables.document_images(files, keep=["n_nationkey"], options=Options(min_image_size=40))
     return found.select("n_nationkey", "format", "width", "height", F.lower(F.hex(_made(first, F.col("data")))).alias("pixels"))
+
+
+def _pictures(spark: SparkSession, sf_dir: str, build, shown) -> DataFrame:
+    """What shown(PNG, width) gives of the one picture in each nation's file."""
+    files = table(spark, sf_dir, "nation").select("n_nationkey", _made(build, F.col("n_name")).alias("content"))
+    found = tables.document_images(files, keep=["n_nationkey"], options=Options(min_image_size=1))
+    return found.select("n_nationkey", "format", "width", "height", F.decode(_made(shown, F.col("data"), F.col("width")), "UTF-8").alias("pixels"))
+
+
+def _rows(data: bytes, row: int) -> list[bytes]:
+    raw = binaries.png_rows(data)
+    return [raw[a + 1 : a + 1 + row] for a in range(0, len(raw), row + 1)]
+
+
+def _digests(name: str, n: int) -> list[bytes]:
+    return [hashlib.md5(f"{name}{r}".encode()).digest() for r in range(n)]
+
+
+def _image(n: int, data: bytes, extra: bytes) -> dict[int, bytes]:
+    return {n: binaries.stream(data, b"/Subtype /Image " + extra)}
+
+
+_ROWS = "(SELECT n_nationkey, string_agg(md5(n_name || r), '' ORDER BY r) AS pixels FROM nation, range(12) t(r) GROUP BY n_nationkey)"
+
+
+@query(f"SELECT n_nationkey, 'png' AS format, 128::BIGINT AS width, 12::BIGINT AS height, pixels FROM {_ROWS}")
+def pdf_ccitt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fax coded pictures: rows against the row above, or alone."""
+    def build(name: str) -> bytes:
+        digests, k = _digests(name, 12), -1 if len(name) % 2 else 0
+        rows = [bytes(b >> (7 - i) & 1 for b in d for i in range(8)) for d in digests]
+        own = b"/Width 128 /Height 12 /BitsPerComponent 1 /ColorSpace /DeviceGray /Filter /CCITTFaxDecode /DecodeParms << /K %d /Columns 128 /Rows 12 >>" % k
+        return binaries.pdf(binaries.page(_BODY + b"q 100 0 0 100 72 100 cm /I Do Q", resources=b"/XObject << /I 7 0 R >> ") | _image(7, binaries.fax(rows, 128, k), own))
+
+    def shown(data: bytes, wide: int) -> bytes:
+        bits = "".join("0" if v else "1" for row in _rows(data, wide) for v in row)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").hex().encode()
+
+    return _pictures(spark, sf_dir, build, shown)
+
+
+@query(f"SELECT n_nationkey, 'png' AS format, 16::BIGINT AS width, 12::BIGINT AS height, pixels FROM {_ROWS}")
+def pdf_strips_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture in three strips, drawn in another order, is one picture again."""
+    def build(name: str) -> bytes:
+        digests, objects, draw = _digests(name, 12), {}, b""
+        for s in (1, 0, 2):
+            objects |= _image(7 + s, zlib.compress(b"".join(digests[4 * s : 4 * s + 4])), b"/Width 16 /Height 4 /BitsPerComponent 8 /ColorSpace /DeviceGray /Filter /FlateDecode")
+            draw += b"q 160 0 0 40 72 %d cm /I%d Do Q " % (500 - 40 * s, s)
+        return binaries.pdf(binaries.page(_BODY + draw, resources=b"/XObject << /I0 7 0 R /I1 8 0 R /I2 9 0 R >> ") | objects)
+
+    return _pictures(spark, sf_dir, build, lambda data, wide: b"".join(_rows(data, wide)).hex().encode())
+
+
+@query(f"SELECT n_nationkey, 'png' AS format, 16::BIGINT AS width, 12::BIGINT AS height, pixels FROM {_ROWS}")
+def pdf_soft_mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alpha of a picture is its soft mask."""
+    def build(name: str) -> bytes:
+        shape = b"/Width 16 /Height 12 /BitsPerComponent 8 /ColorSpace /DeviceGray "
+        objects = _image(7, bytes(192), shape + b"/SMask 8 0 R") | _image(8, b"".join(_digests(name, 12)), shape)
+        return binaries.pdf(binaries.page(_BODY + b"q 100 0 0 100 72 100 cm /I Do Q", resources=b"/XObject << /I 7 0 R >> ") | objects)
+
+    return _pictures(spark, sf_dir, build, lambda data, wide: b"".join(row[3::4] for row in _rows(data, 4 * wide)).hex().encode())
