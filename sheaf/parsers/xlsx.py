@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator
-
-from ..containers.base import MemberError
 from . import xml
 from .base import ConversionError, Options, Page, Pages
 from .numbers import cell_reference, formatted
@@ -23,7 +18,7 @@ class Workbook:
             raise ConversionError("no workbook")
         rels = xml.relationships(self.z, "xl/_rels/workbook.xml.rels")
         self.sheets = [(xml.attribute(s, "name"), xml.resolved("xl", rels.get(xml.attribute(s, "id"), f"worksheets/sheet{n}.xml"))) for n, s in enumerate(xml.every(root, "sheet"), 1)]
-        self.strings = [_string(si) for si in xml.every(xml.part(self.z, "xl/sharedStrings.xml"), "si")]
+        self.strings = [_string(si) for si in xml.streamed(self.z, "xl/sharedStrings.xml", "si")]
         self.media = Media(self.z, options)
         self._styles()
 
@@ -53,27 +48,10 @@ class Workbook:
             return text
         return formatted(text, *self.formats[style][:2])
 
-    def _cells(self, part: str) -> Iterator[Node]:
-        try:
-            raw = self.z.read(part, most=16 << 30)
-        except MemberError as e:
-            raise ConversionError(f"cannot read {part}") from e
-        if xml.declares_entities(raw):
-            return
-        try:
-            for _, node in ET.iterparse(io.BytesIO(raw)):
-                kind = xml.local(node)
-                if kind == "c":
-                    yield node
-                elif kind == "row":
-                    node.clear()
-        except ET.ParseError:
-            return
-
     def sheet(self, n: int) -> Sheet:
         name, part = self.sheets[n - 1]
         sheet, notes = Sheet(name or f"Sheet {n}"), self.comments(part)
-        for cell in self._cells(part):
+        for cell in xml.streamed(self.z, part, "c"):
             ref, style = xml.attribute(cell, "r"), xml.number(xml.attribute(cell, "s"), -1)
             column, row = cell_reference(ref)
             value, note = self._value(cell, style), notes.pop(ref, "")

@@ -38,24 +38,68 @@ class _Seen(Exception):
     """What ends a look at the prolog."""
 
 
-def declares_entities(data: bytes) -> bool:
-    """Whether an entity is declared, which only what comes before the root element can do, however long that is."""
-    parser, found = expat.ParserCreate(), []
+class Prolog:
+    """Looks at what comes before the root element, which is where entities can be declared, however long that is."""
+
+    def __init__(self):
+        self.parser, self.declares, self.done = expat.ParserCreate(), False, False
+        self.parser.EntityDeclHandler, self.parser.StartElementHandler = self._entity, self._element
 
-    def entity(*_) -> None:
-        found.append(True)
+    def _entity(self, *_) -> None:
+        self.declares = True
         raise _Seen
 
-    def element(*_) -> None:
+    def _element(self, *_) -> None:
         raise _Seen
 
-    parser.EntityDeclHandler, parser.StartElementHandler = entity, element
+    def feed(self, data: bytes, last: bool = False) -> bool:
+        """Whether an entity has been declared up to the end of data."""
+        if not self.done:
+            try:
+                self.parser.Parse(data, last)
+            except (_Seen, expat.ExpatError):
+                self.done = True
+        return self.declares
+
+
+def declares_entities(data: bytes) -> bool:
+    prolog = Prolog()
+    for at in range(0, len(data), 1 << 16):
+        prolog.feed(data[at : at + (1 << 16)], at + (1 << 16) >= len(data))
+        if prolog.done:
+            break
+    return prolog.declares
+
+
+def streamed(z: ZipFileReader, name: str, tag: str) -> Iterator[Node]:
+    """Elements of one name as they end; what has been read is dropped, so memory doesn't grow with the part. Ends where the
+    part isn't well-formed, declares entities or is nested too deeply; a part that can't be unpacked is an error."""
+    entry = z.by_name.get(name)
+    if not entry:
+        return
+    parser, prolog, path, inside = ET.XMLPullParser(("start", "end")), Prolog(), [], 0
     try:
-        for at in range(0, len(data), 1 << 16):
-            parser.Parse(data[at : at + (1 << 16)], at + (1 << 16) >= len(data))
-    except (_Seen, expat.ExpatError):
-        pass
-    return bool(found)
+        for data in z.parts(entry):
+            if prolog.feed(data):
+                return
+            parser.feed(data)
+            for event, node in parser.read_events():
+                if event == "start":
+                    path.append(node)
+                    inside += local(node) == tag
+                    if len(path) > DEPTH:
+                        return
+                    continue
+                path.pop()
+                if local(node) == tag:
+                    inside -= 1
+                    yield node
+                if not inside and path:
+                    path[-1].remove(node)
+    except ET.ParseError:
+        return
+    except MemberError as e:
+        raise ConversionError(f"cannot read {name}") from e
 
 
 def parse(data: bytes) -> Node | None:

@@ -519,3 +519,26 @@ def test_text_is_strict_utf8_up_to_a_cut():
     for whole in ("é".encode(), "€".encode(), "😀".encode()):
         assert all(looks_like_text(b"a" + whole[:n]) for n in range(1, len(whole) + 1))
     assert not any(map(looks_like_text, (b"a\0", b"\xc0\x80", b"\xed\xa0\x80", b"\xe0\x80", b"\x80", b"a\xff")))
+
+
+def test_sheets_are_streamed():
+    """Memory doesn't grow with the rows of a part; entities and deep nesting end it."""
+    import tracemalloc
+
+    from sheaf.containers.zips import ZipFileReader
+    from sheaf.parsers import xml
+
+    def peak(rows: int) -> int:
+        body = "".join(f'<row r="{n}"><c r="A{n}"><v>{n}</v></c></row>' for n in range(1, rows + 1))
+        z = ZipFileReader(zipped([("s.xml", f"<worksheet><sheetData>{body}</sheetData></worksheet>".encode())]))
+        tracemalloc.start()
+        assert sum(1 for _ in xml.streamed(z, "s.xml", "c")) == rows
+        try:
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(200_000) < 2 * peak(20_000) + (4 << 20)
+    made = lambda text: [xml.text_of(v) for v in xml.streamed(ZipFileReader(zipped([("s.xml", text.encode())])), "s.xml", "v")]
+    assert made("<a><v>1</v><b><v>2</v></b></a>") == ["1", "2"] and made("<!DOCTYPE a [<!ENTITY e 'x'>]><a><v>&e;</v></a>") == []
+    assert made("<a><v>1</v>" + "<b>" * 1000 + "<v>2</v>") == ["1"] and made("<a><v>1</v><v>2") == ["1"]
