@@ -114,6 +114,45 @@ def doc(body: str) -> bytes:
     return compound({"WordDocument": (bytes(fib).ljust(0x400, b"\0") + narrow).ljust(second, b"\0") + wide, "0Table": pieces})
 
 
+def _format_pages(ranges: list[tuple[int, int, bytes]], step: int, first: int) -> tuple[bytes, bytes]:
+    """Pages of 512 bytes that hold formats (empty for none) by range of bytes, and the table that leads to them."""
+    pages, bounds = b"", []
+    for a in range(0, len(ranges), 12):
+        some, page, end = ranges[a : a + 12], bytearray(512), 510
+        struct.pack_into(f"<{len(some) + 1}I", page, 0, *(r[0] for r in some), some[-1][1])
+        for k, (_, _, made) in enumerate(some):
+            if made:
+                end -= len(made) + len(made) % 2
+                page[end : end + len(made)] = made
+                page[4 * (len(some) + 1) + step * k] = end // 2
+        page[511] = len(some)
+        bounds.append(some[0][0])
+        pages += bytes(page)
+    bounds.append(ranges[-1][1])
+    return pages, struct.pack(f"<{len(bounds)}I", *bounds) + b"".join(struct.pack("<I", first + n) for n in range(len(bounds) - 1))
+
+
+def marked_doc(runs: list[tuple[str, bool]]) -> bytes:
+    """A Word file of runs, bold or not; a run that is one cell mark in bold ends a row of a table."""
+    place, at, characters, paragraphs = 0x400, 0x400, [], []
+    for text, bold in runs:
+        end, row = at + 2 * len(text), bold and text == "\x07"
+        characters.append((at, end, b"\3" + struct.pack("<HB", 0x0835, 1) if bold and not row else b""))
+        paragraphs.append((at, end, b"\0\4\0\0" + struct.pack("<HBHB", 0x2416, 1, 0x2417, 1) if row else b""))
+        at = end
+    word = b"".join(t.encode("utf-16-le") for t, _ in runs)
+    word += b"\0" * (-len(word) % 512)
+    one, led = _format_pages(characters, 1, (place + len(word)) // 512)
+    two, to = _format_pages(paragraphs, 13, (place + len(word) + len(one)) // 512)
+    plc = struct.pack("<II", 0, (at - place) // 2) + struct.pack("<HIH", 0, place, 0)
+    pieces = b"\2" + struct.pack("<I", len(plc)) + plc
+    fib = bytearray(0x400)
+    struct.pack_into("<HH", fib, 0, 0xA5EC, 0xC1)
+    for where, start, size in ((0xFA, 0, len(led)), (0x102, len(led), len(to)), (0x1A2, len(led + to), len(pieces))):
+        struct.pack_into("<II", fib, where, start, size)
+    return compound({"WordDocument": bytes(fib) + word + one + two, "0Table": led + to + pieces})
+
+
 def ppt(slides: list[tuple[str, str]]) -> bytes:
     rec = lambda kind, body, version=0, instance=0: struct.pack("<HHI", version | instance << 4, kind, len(body)) + body
     text = lambda kind, t: rec(0x0F9F, struct.pack("<I", kind)) + rec(0x0FA0, t.encode("utf-16-le"))

@@ -100,6 +100,18 @@ def doc_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _converted(_sheets(spark, sf_dir), "n_regionkey", "a.doc", _made(build, F.col("n_regionkey"), F.col("rows")))
 
 
+@query("SELECT n_regionkey, '--- Page 1 ---' || chr(10) || chr(10) || 'All **of them** here.' || chr(10) || chr(10) || '| key |  | **name** |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' |  | **' || n_name || '** |' || chr(10), '' ORDER BY n_nationkey) || chr(10) || 'The end.' || chr(10) AS markdown FROM nation GROUP BY n_regionkey")
+def doc_bold_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bold text, and rows with empty cells, by the formats in side tables."""
+    def build(rows: list[list[str]]) -> bytes:
+        runs = [("All ", False), ("of them", True), (" here.\r", False)]
+        for key, name in rows:
+            runs += [(f"{key}\x07\x07", False), (name, True), ("\x07", False), ("\x07", True)]
+        return binaries.marked_doc([*runs, ("The end.\r", False)])
+
+    return _converted(_sheets(spark, sf_dir), "n_regionkey", "a.doc", _made(build, F.col("rows")))
+
+
 _SLIDES = f"SELECT conv_id, (turn + 1)::INTEGER AS page_number, CASE WHEN turn > 0 THEN chr(10) ELSE '' END || '--- Page ' || (turn + 1) || ' ---' || chr(10) || chr(10) || '# ' || 'Turn ' || turn || chr(10) || chr(10) || line || chr(10) || chr(10) AS text FROM {_LINES}"
 
 
