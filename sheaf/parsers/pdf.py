@@ -13,7 +13,7 @@ from .markdown import padded_table
 from .package import human_bytes, single_line
 from .pdf_core import Document, Ref, Stream
 from .pdf_images import Placed, stitched
-from .pdf_text import Interpreter, Line, Table, aligned_tables, lines_of, ruled_tables
+from .pdf_text import Interpreter, Line, Table, aligned_tables, barred_tables, lines_of, ruled_tables
 
 _NUMBER = re.compile(r"^(?:[-–—]\s*)?(?:\d{1,4}|[ivxlcdmIVXLCDM]{1,8}|[ⅰ-ⅿⅠ-Ⅿ]{1,6})(?:\s*[-–—])?$")
 _SECTION = re.compile(r"^(\d+(?:\.\d+)*)\.?\s+\S")
@@ -83,6 +83,7 @@ class Pdf:
         page.undecoded = run.out.undecoded
         if self.options.tables and not self.options.plain:
             page.tables = ruled_tables(run.out.rules, run.out.chars)
+            page.tables += barred_tables(run.out.rules, [c for c in run.out.chars if not any(_inside(c, t) for t in page.tables)])
             page.tables += aligned_tables([c for c in run.out.chars if not any(_inside(c, t) for t in page.tables)] if page.tables else run.out.chars)
         free = [c for c in run.out.chars if not any(_inside(c, t) for t in page.tables)] if page.tables else run.out.chars
         page.lines = lines_of(free)

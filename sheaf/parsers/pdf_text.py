@@ -390,16 +390,21 @@ def ruled_tables(rules: list[tuple[float, float, float, float]], chars: list[Cha
 
 def aligned_tables(chars: list[Char]) -> list[Table]:
     """Tables without rules: at least three rows that follow closely, of short cells whose left edges stand below each other
-    in two columns or more. Pages of two text columns have none."""
+    in two columns or more. Lines that go on below cells, but not below the first, belong to their row. Pages of two text
+    columns have none."""
     marks = [c for c in chars if c.text.strip()]
     if len(marks) < 12:
         return []
     rows = _rows(chars)
-    if _gutter(rows):
-        return []
     split = [_cells(sorted(r, key=lambda c: c.x)) for r in rows]
+    parted = [len(cells) for cells in split if len(cells) >= 2]
+    if _gutter(rows) and (not parted or median_high(parted) == 2):  # rows of three cells aren't two columns of text
+        return []
     out, block = [], []
     for cells in [*split, None]:
+        if cells and block and _goes_on(block[-1], cells):
+            block[-1] = _longer(block[-1], cells)
+            continue
         if cells and len(cells) >= 2 and all(len(c[2]) <= 40 for c in cells) and (not block or _below(block[-1], cells)):
             block.append(cells)
             continue
@@ -432,9 +437,53 @@ def _cells(row: list[Char]) -> list[tuple[float, float, str, list[Char]]]:
     return [(p[0].x, p[-1].right, _line(p).text, p) for p in parts]
 
 
+def _under(above: list, cells: list, factor: float) -> bool:
+    """Whether a line is no further below a row's lowest one than so many sizes."""
+    lowest, second = min((c for a in above for c in a[3]), key=lambda c: c.y), cells[0][3][0]
+    return 0 < lowest.y - second.y <= factor * max(lowest.size, second.size)
+
+
+def _goes_on(above: list, cells: list) -> bool:
+    """Whether a line's cells stand below some of a row's, its first not among them, and close."""
+    return len(cells) < len(above) and _under(above, cells, 1.3) and all(any(abs(a[0] - b[0]) < 4 for a in above[1:]) for b in cells)
+
+
+def _longer(above: list, cells: list) -> list:
+    """A row with a line of cells put to those above them."""
+    out = list(above)
+    for left, right, text, chars in cells:
+        k = next(k for k, a in enumerate(above) if k and abs(a[0] - left) < 4)
+        out[k] = (out[k][0], max(out[k][1], right), f"{out[k][2]} {text}", out[k][3] + chars)
+    return out
+
+
+def barred_tables(rules: list, chars: list[Char]) -> list[Table]:
+    """Tables between rules that only run across: three or more of one left and right edge, none that stand up between them."""
+    bars: dict[tuple, set[float]] = {}
+    for x0, y0, x1, y1 in rules:
+        if y1 - y0 < 1.5 and x1 - x0 > 60:
+            bars.setdefault((round(x0 / 3), round(x1 / 3)), set()).add(round((y0 + y1) / 2, 1))
+    out = []
+    for (left, right), heights in bars.items():
+        low, top = min(heights), max(heights)
+        inside = [c for c in chars if 3 * left - 3 <= c.x <= 3 * right + 3 and low - 1 <= c.y <= top]
+        if len(_clustered(list(heights))) < 3 or len([c for c in inside if c.text.strip()]) < 4:
+            continue
+        if any(x1 - x0 < 1.5 and 3 * left - 3 <= x0 <= 3 * right + 3 and y0 < top and y1 > low for x0, y0, x1, y1 in rules):
+            continue
+        rows: list = []
+        for cells in (_cells(sorted(r, key=lambda c: c.x)) for r in _rows(inside)):
+            if cells and rows and _goes_on(rows[-1], cells):
+                rows[-1] = _longer(rows[-1], cells)
+            elif cells:
+                rows.append(cells)
+        if len(rows) >= 2 and (made := _aligned(rows)):
+            out.append(made)
+    return out
+
+
 def _below(above: list, cells: list) -> bool:
-    first, second = above[0][3][0], cells[0][3][0]
-    near = 0 < first.y - second.y <= 2.2 * max(first.size, second.size)
+    near = _under(above, cells, 2.2)
     return near and sum(any(abs(a[0] - b[0]) < 4 or abs(a[1] - b[1]) < 4 for a in above) for b in cells) >= 2
 
 

@@ -235,6 +235,40 @@ def pdf_ruled_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table_cells(files, keep=["n_regionkey"]).select("n_regionkey", "row_no", "column_no", "value")
 
 
+_NOTED = "WITH r AS (SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INTEGER AS row_no, n_nationkey, n_name FROM nation UNION ALL SELECT DISTINCT n_regionkey, 0, NULL, NULL FROM nation) SELECT n_regionkey, row_no, 0::INTEGER AS column_no, coalesce(n_nationkey::VARCHAR, 'key') AS value FROM r UNION ALL SELECT n_regionkey, row_no, 1, coalesce(n_name, 'name') FROM r UNION ALL SELECT n_regionkey, row_no, 2, coalesce('a note on ' || n_name || ' of two lines', 'note') FROM r"
+
+
+def _noted(rows: list[list[str]]) -> tuple[bytes, int]:
+    """Text of rows whose last cell takes two lines, and where it ends."""
+    out, y = b"", 560
+    for n, (key, name) in enumerate(rows):
+        out += binaries.at(72, y, key) + binaries.at(140, y, name) + binaries.at(300, y, f"a note on {name}" if n else "note")
+        if n:
+            y -= 12
+            out += binaries.at(300, y, "of two lines")
+        y -= 18
+    return out, y + 12
+
+
+@query(_NOTED)
+def pdf_borderless_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns by their edges, cells of several lines, no rules."""
+    build = lambda rows: binaries.pdf(binaries.page(_BODY + _noted(rows)[0]))
+    files = _sheets(spark, sf_dir).select("n_regionkey", _made(build, F.col("rows")).alias("content"))
+    return tables.table_cells(files, keep=["n_regionkey"]).select("n_regionkey", "row_no", "column_no", "value")
+
+
+@query(_NOTED)
+def pdf_barred_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules above, below the head and below the table only."""
+    def build(rows: list[list[str]]) -> bytes:
+        text, low = _noted(rows)
+        return binaries.pdf(binaries.page(_BODY + text + b"".join(b"70 %d m 500 %d l S " % (y, y) for y in (574, 554, low))))
+
+    files = _sheets(spark, sf_dir).select("n_regionkey", _made(build, F.col("rows")).alias("content"))
+    return tables.table_cells(files, keep=["n_regionkey"]).select("n_regionkey", "row_no", "column_no", "value")
+
+
 @query("SELECT n_regionkey, n, lines FROM (SELECT n_regionkey, count(*)::INTEGER + 1 AS n, 'Plain body text goes here for a while' || chr(10) || 'and goes on in a second line of it' AS lines FROM nation GROUP BY 1)")
 def bbox_range_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in a table's box don't also show as text."""
