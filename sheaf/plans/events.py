@@ -53,7 +53,7 @@ def events_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_type FROM events GROUP BY 1, 2")
 def events_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = _stream(spark, sf_dir).withWatermark("ts", "10000 days").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
+    once = _stream(spark, sf_dir).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
     return landing.run_available(once, _folder(spark), mode="append")
 
 
@@ -75,9 +75,9 @@ def longest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("k", F.row_number().over(order)).where("k <= 3").select("doc_id", "n_chars", "source")
 
 
-@query("SELECT lang, 'img' || doc_id % 3 AS name, 'img' || doc_id % 3 || CASE WHEN k > 1 THEN '_' || (k - 1) ELSE '' END || '.png' AS file_name FROM (SELECT *, row_number() OVER (PARTITION BY lang, doc_id % 3 ORDER BY doc_id) AS k FROM documents)")
+@query("SELECT lang, 'img' || doc_id // 10 AS name, 'img' || doc_id // 10 || CASE WHEN k > 1 THEN '_' || (k - 1) ELSE '' END || '.png' AS file_name FROM (SELECT *, row_number() OVER (PARTITION BY lang, doc_id // 10 ORDER BY doc_id) AS k FROM documents)")
 def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.sinks import named_images
 
-    rows = table(spark, sf_dir, "documents").select("lang", F.concat(F.lit("img"), (F.col("doc_id") % 3).cast("string")).alias("name"), F.lit("png").alias("format"), "doc_id")
+    rows = table(spark, sf_dir, "documents").select("lang", F.concat(F.lit("img"), F.floor(F.col("doc_id") / 10).cast("string")).alias("name"), F.lit("png").alias("format"), "doc_id")
     return named_images(rows, folder="lang").select("lang", "name", "file_name")

@@ -209,8 +209,12 @@ def cell_ref_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_type, count(DISTINCT p_brand) AS brands, min(p_size) AS least, list_sort(list(p_size))[(count(*) // 2 + 1)::INTEGER] AS middle FROM part GROUP BY p_type")
 def median_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = F.array_sort(F.collect_list("p_size"))
-    return table(spark, sf_dir, "part").groupBy("p_type").agg(F.countDistinct("p_brand").alias("brands"), F.min("p_size").alias("least"), F.element_at(sizes, (F.floor(F.size(sizes) / 2) + 1).cast("int")).alias("middle"))
+    # sizes are counted first, so that a window sees a type's different sizes, not its rows
+    part, order = table(spark, sf_dir, "part"), Window.partitionBy("p_type").orderBy("p_size")
+    counts = part.groupBy("p_type", "p_size").agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("p_type")))
+    middle = upto.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("p_type").agg(F.min("p_size").alias("middle"))
+    return part.groupBy("p_type").agg(F.countDistinct("p_brand").alias("brands"), F.min("p_size").alias("least")).join(middle, "p_type")
 
 
 @query("SELECT r_regionkey, regexp_matches(name, '^(word|xl|ppt)/embeddings/[^/]+$') AS embedded FROM (SELECT r_regionkey, ['word/embeddings/a.xlsx','xl/embeddings/b/c.bin','ppt/embeddings/d.docx','word/media/e.png','xl/embeddings/'][r_regionkey + 1] AS name FROM region)")
