@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, as in tests, a temporary one,
+    which only a local master shares."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         if not _fallback:
             _fallback.append("file://" + tempfile.mkdtemp(prefix="sheaf-"))
         at = _fallback[0]
