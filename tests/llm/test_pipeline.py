@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from sheaf.llm import quality, queries
+from sheaf.llm import quality, queries, simhash
 from sheaf.llm.common import table
 
-from .test_similarity import plain_fingerprint, roots
+from .test_similarity import roots
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,14 +36,30 @@ def test_rejected_by_the_classifier(spark, stages):
     assert {r.doc_id for r in stages[0].collect()} == {r.doc_id for r in scores.where("predicted = 1").collect()}
 
 
-def test_one_of_each_group(stages):
-    rows = [(r.doc_id, plain_fingerprint(r.text)) for r in stages[0].collect()]
-    distinct = {f for _, f in rows}
-    of = roots(distinct, [(a, b) for a in distinct for b in distinct if a < b and (a ^ b).bit_count() <= 2])
-    least = {}
-    for i, f in rows:
-        least[of[f]] = min(least.get(of[f], i), i)
-    assert {r.doc_id for r in stages[1].collect()} == set(least.values())
+def five_words(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+
+
+def test_one_of_each_group(spark):
+    """Over documents: equal ones are one, of pairs of five-word similarity 0.8 or more one goes, and whatever goes has one
+    left that is linked to it by what the fingerprints of all pairs say."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, SF).collect()}
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    prints = np.array([simhash.wide_fingerprint(t) for _, t in rows], np.uint64)
+    near = [(i, i + 1 + int(j)) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(1) <= simhash.WIDE)]
+    of = roots(range(len(rows)), near)
+    assert {rows[k][0] for k in set(of.values())} <= kept  # the least of each group
+    by_text, sets = {}, [five_words(t) for _, t in rows]
+    for i, t in rows:
+        by_text.setdefault(" ".join(t.lower().split()), []).append(i)
+    assert all(len(kept & set(ids)) <= 1 and (min(ids) in kept or len(kept & set(ids)) == 0) for ids in by_text.values())
+    similar = [(i, j) for i, j in near if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert similar and sum(rows[j][0] not in kept for _, j in similar) >= 0.9 * len(similar)
+    # documents that are like no other by a third stay
+    alone = [i for i in range(len(rows)) if all(len(sets[i] & s) <= len(sets[i] | s) / 3 for k, s in enumerate(sets) if k != i)]
+    assert len(alone) > 500 and all(rows[i][0] in kept for i in alone)
 
 
 def test_no_benchmark_passage_left(spark, stages):
