@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from ..containers.walk import Limits
 from ..functions import udf
 from ..operators import tables
+from ..parsers import png
 from ..parsers.base import Options
 from . import binaries, synthetic
-from .features import _docx, _markdown, _paragraph
+from .features import _A, _W, _docx, _markdown, _paragraph
 from .registry import query, table
 from .roundtrips import _grouped, _sheets, _walked_as
 from .synthetic import _made, zipped
@@ -148,3 +150,66 @@ def hwpx_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = _sheets(spark, sf_dir).select("n_regionkey", _made(build, F.col("rows")).alias("content"), F.lit("a.hwpx").alias("name"))
     return tables.table_cells(files, name="name", keep=["n_regionkey"]).where("row_no > 0").select("n_regionkey", "row_no", "column_no", "value")
+
+
+_REL = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+_BLIP = '<a:blip xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" r:embed="r1"/>'
+
+
+def _picture_file(kind: str, data: bytes) -> bytes:
+    """A file of a kind that holds a PNG picture, DOCX twice."""
+    rels = lambda target: f'<Relationships><Relationship Id="r1" Target="{target}"/></Relationships>'.encode()
+    rec = lambda number, body, version=0, instance=0: struct.pack("<HHI", version | instance << 4, number, len(body)) + body
+    if kind == "docx":
+        drawn = f"<w:p><w:r><w:drawing>{_BLIP}</w:drawing></w:r></w:p>"
+        parts = [("word/_rels/document.xml.rels", rels("media/image1.png")), ("word/media/image1.png", data)]
+        return zipped([("[Content_Types].xml", b"<Types>wordprocessingml</Types>"), ("word/document.xml", f"<w:document {_W}><w:body>{drawn}{_paragraph('t')}{drawn}</w:body></w:document>".encode()), *parts])
+    if kind == "pptx":
+        slide = f'<p:sld {_A} {_REL}><p:cSld><p:spTree><p:pic><p:blipFill><a:blip r:embed="r1"/></p:blipFill></p:pic></p:spTree></p:cSld></p:sld>'
+        parts = [("ppt/slides/slide1.xml", slide.encode()), ("ppt/slides/_rels/slide1.xml.rels", rels("../media/image1.png")), ("ppt/media/image1.png", data)]
+        return zipped([("[Content_Types].xml", b"<Types>presentationml</Types>"), ("ppt/presentation.xml", b"<p/>"), *parts])
+    if kind == "xlsx":
+        parts = [("xl/worksheets/_rels/sheet1.xml.rels", rels("../drawings/drawing1.xml")), ("xl/drawings/drawing1.xml", f"<d {_REL}>{_BLIP}</d>".encode()), ("xl/drawings/_rels/drawing1.xml.rels", rels("../media/image1.png"))]
+        return zipped([*synthetic.sheet_parts('<row r="1"><c r="A1"><v>1</v></c></row>'), *parts, ("xl/media/image1.png", data)])
+    if kind == "ppt":
+        blip = rec(0xF01E, b"\0" * 17 + data, 0, 0x6E0)
+        slide = rec(0x03EE, rec(0x040C, rec(0xF002, rec(0xF004, rec(0xF00B, struct.pack("<HI", 0x4104, 1), 3, 1), 15), 15), 15), 15)
+        document = rec(0x03E8, rec(0x040B, rec(0xF000, rec(0xF001, rec(0xF007, b"\0" * 36, 2), 15), 15), 15), 15)
+        return binaries.compound({"PowerPoint Document": document + slide, "Pictures": blip, "Current User": b"\0" * 20})
+    if kind == "hwpx":
+        listed = b'<opf:package xmlns:opf="o"><opf:manifest><opf:item id="image1" href="BinData/image1.png"/></opf:manifest></opf:package>'
+        body = b'<hs:sec xmlns:hp="p" xmlns:hs="s" xmlns:hc="c"><hp:p><hp:run charPrIDRef="0"><hp:pic><hc:img binaryItemIDRef="image1"/></hp:pic></hp:run></hp:p></hs:sec>'
+        return zipped([("mimetype", b"application/hwp+zip"), ("Contents/header.xml", b'<h><charPr id="0" height="1000"/></h>'), ("Contents/content.hpf", listed), ("Contents/section0.xml", body), ("BinData/image1.png", data)])
+    return b"{\\rtf1 text{\\pict\\pngblip\\picw60\\pich70 " + data.hex().encode() + b"}\\par}"
+
+
+_HOLDERS = ["docx", "pptx", "xlsx", "ppt", "hwpx", "rtf"]
+
+
+@query(f"SELECT n_nationkey, {_HOLDERS}[n_nationkey % {len(_HOLDERS)} + 1] AS kind, 'page1_img0' AS name, 'png' AS format, (60 + n_nationkey)::BIGINT AS width, 70::BIGINT AS height, md5(n_name) AS digest FROM nation")
+def office_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of documents, each once; the first pixels carry a digest."""
+    def build(key: int, name: str) -> bytes:
+        pixels = hashlib.md5(name.encode()).digest().ljust((60 + key) * 70, b"\7")
+        return _picture_file(_HOLDERS[key % len(_HOLDERS)], png.encoded(60 + key, 70, 1, pixels))
+
+    kind = F.element_at(F.array(*map(F.lit, _HOLDERS)), (F.col("n_nationkey") % len(_HOLDERS) + 1).cast("int"))
+    files = table(spark, sf_dir, "nation").select("n_nationkey", kind.alias("kind"), F.concat(F.lit("a."), kind).alias("file"), _made(build, F.col("n_nationkey"), F.col("n_name")).alias("content"))
+    found = tables.document_images(files, name="file", keep=["n_nationkey", "kind"])
+    digest = F.lower(F.hex(_made(lambda d: binaries.png_rows(d)[1:17] if d[:4] == b"\x89PNG" else b"", F.col("data"))))
+    return found.select("n_nationkey", "kind", "name", "format", "width", "height", digest.alias("digest"))
+
+
+@query("SELECT n_nationkey, p.page_number, CASE WHEN p.page_number = 1 THEN '--- Page 1 ---' || chr(10) || chr(10) || '# ' || n_name || chr(10) || chr(10) ELSE chr(10) || '--- Slide Master / Layout ---' || chr(10) || chr(10) || 'master of ' || n_name || chr(10) || 'layout' || chr(10) END AS text FROM nation, (VALUES (1::INTEGER), (2)) AS p(page_number)")
+def pptx_master_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of masters and layouts that no slide has, by their parts' names; a title that a slide has isn't repeated."""
+    def build(name: str) -> bytes:
+        shape = lambda t, ph="": f"<p:sp><p:nvSpPr><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>"
+        tree = lambda tag, *shapes: f"<p:{tag} {_A}><p:cSld><p:spTree>{''.join(shapes)}</p:spTree></p:cSld></p:{tag}>".encode()
+        return zipped([
+            ("[Content_Types].xml", b"<Types>presentationml</Types>"), ("ppt/presentation.xml", b"<p/>"), ("ppt/slides/slide1.xml", tree("sld", shape(name, '<p:ph type="title"/>'))),
+            ("ppt/slideLayouts/slideLayout1.xml", tree("sldLayout", shape("layout"), shape(name))), ("ppt/slideMasters/slideMaster1.xml", tree("sldMaster", shape(f"master of {name}"))),
+        ])
+
+    files = table(spark, sf_dir, "nation").select("n_nationkey", _made(build, F.col("n_name")).alias("content"))
+    return tables.document_pages(files, keep=["n_nationkey"]).select("n_nationkey", "page_number", "text")
