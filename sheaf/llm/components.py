@@ -12,6 +12,12 @@ from .common import discard, written
 BROADCAST_ROWS = 1 << 19
 
 
+def bounded(side: DataFrame, what: str) -> DataFrame:
+    """A side for a join: broadcast where it has turned out to be small."""
+    side = written(side, what)
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def joined(rows: DataFrame, per_key: DataFrame, key: str, at_most: int) -> DataFrame:
     """rows with what per_key, one row a key and no more than `at_most`, has for the key. A frequent key is no one task's."""
     return rows.join(F.broadcast(per_key) if at_most <= BROADCAST_ROWS else written(per_key, "per-key"), key)

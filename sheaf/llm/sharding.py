@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
-from .components import joined
+from .components import bounded, joined
 
 #: Texts of so large a part of all rows (one in ITEMS) that their shard is broadcast; they are at most as many.
 ITEMS = 1 << 14
@@ -283,10 +283,9 @@ def slots(rows: DataFrame, per_task: int = 1024) -> DataFrame:
     rows, counts = _blocked(rows.withColumn("deal", F.lit(0).cast("long")), blocks)
     if (counts.agg(F.max("n")).first()[0] or 0) > 4 * per_task:
         key = ["doc_id", "size", "text_crc32"]
-        # at most as many as blocks
         repeated = rows.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > per_task).select(*key, F.lit(True).alias("many"))
         same = reduce(Column.__and__, (F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key))
-        marked = rows.alias("r").join(F.broadcast(repeated).alias("s"), same, "left").select("r.*", "s.many")
+        marked = rows.alias("r").join(bounded(repeated, "repeated").alias("s"), same, "left").select("r.*", "s.many")
         dealt = marked.withColumn("deal", F.when(F.col("many"), F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).otherwise(0)).drop("many", "block")
         rows, counts = _blocked(written(dealt, "dealt"), blocks)
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
