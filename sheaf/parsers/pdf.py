@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from . import ccitt, images, png
+from . import ccitt, images, jbig2, png
 from .base import ConversionError, Image, Options, Page, Pages
 from .markdown import padded_table
 from .package import human_bytes, single_line
@@ -104,6 +104,8 @@ class Pdf:
             data, kind = self.doc.decoded(stream), _CODED.get(last, "bin")
             if kind == "ccitt":
                 data, kind = self._unfaxed(info, data, wide, high), "bin"
+            elif kind == "jbig2" and (pixels := self._unjbigged(info, data, wide, high)):
+                data, kind = pixels, "bin"
             samples = self._samples(info, data, wide, high) if kind == "bin" else None
             read.append((Placed(ctm, wide, high, *samples) if samples else None, Image(0, "", kind, data, wide, high), ctm))
         for picture, image, ctm in stitched(read):
@@ -117,6 +119,15 @@ class Pdf:
                 page.images.append(image)
                 page.places.append(ctm[5])
 
+    def _unjbigged(self, info: dict, data: bytes, wide: int, high: int) -> bytes:
+        parms = self.doc.get(info.get("DecodeParms"))
+        shared = self.doc.get(self.doc.dict(parms[-1] if isinstance(parms, list) and parms else parms).get("JBIG2Globals"))
+        try:
+            found = jbig2.decoded(data, self.doc.decoded(shared) if isinstance(shared, Stream) else b"", wide, high)
+        except jbig2.Unsupported:
+            return b""
+        return found.translate(bytes(range(255, -1, -1)))  # a bit that is set is white in pictures of PDF files
+
     def _unfaxed(self, info: dict, data: bytes, wide: int, high: int) -> bytes:
         parms = self.doc.get(info.get("DecodeParms"))
         own = self.doc.dict(parms[-1] if isinstance(parms, list) and parms else parms)

@@ -424,3 +424,125 @@ def fax(rows: list[bytes], columns: int, k: int = -1) -> bytes:
     text = "".join(out) + (2 * ccitt.EOL if k < 0 else "")
     text += "0" * (-len(text) % 8)
     return int(text or "0", 2).to_bytes(len(text) // 8, "big")
+
+
+class JbigCoder:
+    """The adaptive binary encoder that parsers.jbig2.Arithmetic undoes, with its whole numbers and symbols."""
+
+    def __init__(self):
+        self.out, self.code, self.left, self.span, self.contexts = bytearray(b"\0"), 0, 12, 0x8000, {}
+
+    def bit(self, kind: str, context: int, value: int) -> None:
+        from ..parsers.jbig2 import STATES
+
+        state, likely = self.contexts.get((kind, context), (0, 0))
+        part, after, unlikely, turned = STATES[state]
+        self.span -= part
+        if value == likely:
+            if self.span & 0x8000:
+                self.code += part
+                return
+            if self.span < part:
+                self.span = part
+            else:
+                self.code += part
+            self.contexts[kind, context] = (after, likely)
+        else:
+            if self.span < part:
+                self.code += part
+            else:
+                self.span = part
+            self.contexts[kind, context] = (unlikely, likely ^ turned)
+        while not self.span & 0x8000:
+            self.span, self.code, self.left = self.span << 1, self.code << 1, self.left - 1
+            if not self.left:
+                self._byte()
+
+    def _byte(self) -> None:
+        if self.out[-1] != 0xFF and self.code >= 0x8000000:
+            self.out[-1] += 1
+            self.code &= 0x7FFFFFF
+        after = 20 if self.out[-1] == 0xFF else 19
+        self.out.append(self.code >> after & 0xFF)
+        self.code, self.left = self.code & (1 << after) - 1, 7 if after == 20 else 8
+
+    def number(self, kind: str, value: int | None) -> None:
+        from ..parsers.jbig2 import CLASSES
+
+        size = abs(value or 0)
+        k = max(n for n, (_, least) in enumerate(CLASSES) if least <= size)
+        bits, least = CLASSES[k]
+        word = [int(value is None or value < 0), *[1] * k, *[0] * (k < 5), *((size - least) >> n & 1 for n in range(bits - 1, -1, -1))]
+        before = 1
+        for b in word:
+            self.bit(kind, before, b)
+            before = before << 1 | b if before < 256 else (before << 1 | b) & 511 | 256
+
+    def symbol(self, length: int, value: int) -> None:
+        at = 1
+        for n in range(length - 1, -1, -1):
+            self.bit("symbol", at, value >> n & 1)
+            at = at << 1 | value >> n & 1
+
+    def picture(self, rows: list[bytes], template: int, adaptive: list[tuple[int, int]]) -> None:
+        from ..parsers.jbig2 import places
+
+        around = places(template, adaptive)
+        pixel = lambda x, y: rows[y][x] if y >= 0 and 0 <= x < len(rows[y]) else 0
+        for y, row in enumerate(rows):
+            for x, value in enumerate(row):
+                context = 0
+                for right, up in around:
+                    context = context << 1 | pixel(x + right, y - up)
+                self.bit("picture", context, value)
+
+    def done(self) -> bytes:
+        top = self.code + self.span
+        self.code |= 0xFFFF
+        if self.code >= top:
+            self.code -= 0x8000
+        for _ in range(2):
+            self.code <<= self.left
+            self._byte()
+        return bytes(self.out[1:]) + b"\xff\xac"
+
+
+#: Where the adaptive pixels of each template mostly are.
+_NEAR = [[(3, -1), (-3, -1), (2, -2), (-2, -2)], [(3, -1)], [(2, -1)], [(2, -1)]]
+
+
+def _segment(number: int, kind: int, data: bytes, referred: bytes = b"") -> bytes:
+    return struct.pack(">IBB", number, kind, len(referred) << 5) + referred + b"\1" + struct.pack(">I", len(data)) + data
+
+
+def jbig2(rows: list[bytes], template: int) -> bytes:
+    """A page and one generic region of rows of one byte a pixel."""
+    coder, size = JbigCoder(), struct.pack(">II", len(rows[0]), len(rows))
+    coder.picture(rows, template, _NEAR[template])
+    pixels = b"".join(struct.pack(">bb", *p) for p in _NEAR[template])
+    return _segment(0, 48, size + b"\0" * 11) + _segment(1, 38, size + b"\0" * 9 + bytes([template << 1]) + pixels + coder.done())
+
+
+def jbig2_text(symbols: list[list[bytes]], placed: list[tuple[int, int]], wide: int, high: int) -> tuple[bytes, bytes]:
+    """A dictionary of symbols of one size, and a page of (symbol, x) side by side at the top, their upper left corners given."""
+    coder = JbigCoder()
+    w, h = len(symbols[0][0]), len(symbols[0])
+    coder.number("height", h)
+    for n, rows in enumerate(symbols):
+        coder.number("width", w if not n else 0)
+        coder.picture(rows, 1, _NEAR[1])
+    coder.number("width", None)
+    coder.number("export", 0)
+    coder.number("export", len(symbols))
+    own = struct.pack(">HbbII", 1 << 10, *_NEAR[1][0], len(symbols), len(symbols)) + coder.done()
+    text, length, end = JbigCoder(), (len(symbols) - 1).bit_length(), 0
+    text.number("strip", 0)
+    text.number("strip", 0)
+    for n, (k, x) in enumerate(placed):
+        text.number("next" if n else "first", x - end)
+        text.symbol(length, k)
+        end = x + w - 1
+    text.number("next", None)
+    size = struct.pack(">II", wide, high)
+    region = size + b"\0" * 9 + struct.pack(">HI", 1 << 4, len(placed)) + text.done()
+    return _segment(0, 0, own), _segment(1, 48, size + b"\0" * 11) + _segment(2, 6, region, b"\0")

@@ -373,11 +373,7 @@ def pdf_ccitt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = b"/Width 128 /Height 12 /BitsPerComponent 1 /ColorSpace /DeviceGray /Filter /CCITTFaxDecode /DecodeParms << /K %d /Columns 128 /Rows 12 >>" % k
         return binaries.pdf(binaries.page(_BODY + b"q 100 0 0 100 72 100 cm /I Do Q", resources=b"/XObject << /I 7 0 R >> ") | _image(7, binaries.fax(rows, 128, k), own))
 
-    def shown(data: bytes, wide: int) -> bytes:
-        bits = "".join("0" if v else "1" for row in _rows(data, wide) for v in row)
-        return int(bits, 2).to_bytes(len(bits) // 8, "big").hex().encode()
-
-    return _pictures(spark, sf_dir, build, shown)
+    return _pictures(spark, sf_dir, build, _black_bits)
 
 
 @query(f"SELECT n_nationkey, 'png' AS format, 16::BIGINT AS width, 12::BIGINT AS height, pixels FROM {_ROWS}")
@@ -402,3 +398,33 @@ def pdf_soft_mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         return binaries.pdf(binaries.page(_BODY + b"q 100 0 0 100 72 100 cm /I Do Q", resources=b"/XObject << /I 7 0 R >> ") | objects)
 
     return _pictures(spark, sf_dir, build, lambda data, wide: b"".join(row[3::4] for row in _rows(data, 4 * wide)).hex().encode())
+
+
+def _black_bits(data: bytes, wide: int) -> bytes:
+    bits = "".join("0" if v else "1" for row in _rows(data, wide) for v in row)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big").hex().encode()
+
+
+@query(f"SELECT n_nationkey, 'png' AS format, 128::BIGINT AS width, 12::BIGINT AS height, pixels FROM {_ROWS}")
+def pdf_jbig2_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arithmetic coding by each of the four templates."""
+    def build(name: str) -> bytes:
+        rows = [bytes(b >> (7 - i) & 1 for b in d for i in range(8)) for d in _digests(name, 12)]
+        own = b"/Width 128 /Height 12 /BitsPerComponent 1 /ColorSpace /DeviceGray /Filter /JBIG2Decode"
+        return binaries.pdf(binaries.page(_BODY + b"q 100 0 0 100 72 100 cm /I Do Q", resources=b"/XObject << /I 7 0 R >> ") | _image(7, binaries.jbig2(rows, zlib.crc32(name.encode()) % 4), own))
+
+    return _pictures(spark, sf_dir, build, _black_bits)
+
+
+@query("SELECT n_nationkey, 'png' AS format, 256::BIGINT AS width, 4::BIGINT AS height, string_agg(substr(md5('glyph' || substr(md5(n_name), i + 1, 1)), 2 * r + 1, 2), '' ORDER BY r, i) AS pixels FROM nation, range(4) a(r), range(32) b(i) GROUP BY n_nationkey")
+def pdf_jbig2_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of symbols, whose dictionary is a stream of its own."""
+    def build(name: str) -> bytes:
+        digits = "0123456789abcdef"
+        glyphs = [[bytes(b >> (7 - i) & 1 for i in range(8)) for b in hashlib.md5(f"glyph{d}".encode()).digest()[:4]] for d in digits]
+        shared, coded = binaries.jbig2_text(glyphs, [(digits.index(d), 8 * n) for n, d in enumerate(hashlib.md5(name.encode()).hexdigest())], 256, 4)
+        own = b"/Width 256 /Height 4 /BitsPerComponent 1 /ColorSpace /DeviceGray /Filter /JBIG2Decode /DecodeParms << /JBIG2Globals 8 0 R >>"
+        objects = _image(7, coded, own) | {8: binaries.stream(shared)}
+        return binaries.pdf(binaries.page(_BODY + b"q 100 0 0 100 72 100 cm /I Do Q", resources=b"/XObject << /I 7 0 R >> ") | objects)
+
+    return _pictures(spark, sf_dir, build, _black_bits)

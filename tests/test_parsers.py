@@ -542,3 +542,54 @@ def test_sheets_are_streamed():
     made = lambda text: [xml.text_of(v) for v in xml.streamed(ZipFileReader(zipped([("s.xml", text.encode())])), "s.xml", "v")]
     assert made("<a><v>1</v><b><v>2</v></b></a>") == ["1", "2"] and made("<!DOCTYPE a [<!ENTITY e 'x'>]><a><v>&e;</v></a>") == []
     assert made("<a><v>1</v>" + "<b>" * 1000 + "<v>2</v>") == ["1"] and made("<a><v>1</v><v>2") == ["1"]
+
+
+def test_jbig2_coder_on_the_published_sequence():
+    from sheaf.parsers.jbig2 import Arithmetic, Unsupported, decoded
+
+    coder, contexts = Arithmetic(bytes.fromhex("84C73BFCE1A1430402200000410DBB86F4317FFF88FF37471ADB6ADFFFAC")), [0]
+    bits = "".join(str(coder.bit(contexts, 0)) for _ in range(256))
+    assert f"{int(bits, 2):064x}" == "00020051000000c00352872aaaaaaaaa82c02000fcd79ef6bf7fed904f46a3bf"
+    for junk in (b"", b"\0" * 40, bytes(range(200)), struct.pack(">IBBBI", 1, 38, 0, 1, 18) + b"\1" * 18, struct.pack(">IBBBI", 1, 0, 0, 1, 30) + b"\0" * 30):
+        try:
+            assert len(decoded(junk, b"", 9, 4)) == 8
+        except Unsupported:
+            pass
+
+
+@pytest.mark.parametrize("template", range(4))
+def test_jbig2_pictures(template):
+    import random
+
+    from sheaf.parsers.jbig2 import decoded
+    from sheaf.plans import binaries
+
+    rnd = random.Random(template)
+    for wide, high in ((1, 1), (17, 9), (64, 40), (130, 5)):
+        rows = [bytes(int(rnd.random() < 0.3) for _ in range(wide)) for _ in range(high)]
+        want = b"".join((int(bytes(b + 48 for b in r), 2) << -wide % 8).to_bytes((wide + 7) // 8, "big") for r in rows)
+        assert decoded(binaries.jbig2(rows, template), b"", wide, high) == want
+
+
+@pytest.mark.parametrize("k", [-1, 0])
+def test_fax_pictures(k):
+    import random
+
+    from sheaf.parsers import ccitt
+    from sheaf.plans import binaries
+
+    for words in (ccitt.WHITE + ccitt.LONG, ccitt.BLACK + ccitt.LONG, list(ccitt.MODES)):
+        assert not any(b.startswith(a) for a, b in zip(sorted(words), sorted(words)[1:], strict=False))
+    rnd = random.Random(k)
+    for _ in range(60):
+        wide, rows = rnd.choice([1, 7, 8, 33, 1728, 3000]), []
+        for _ in range(rnd.choice([1, 2, 9])):
+            row, colour = bytearray(), rnd.randrange(2)
+            while len(row) < wide:
+                row += bytes([colour]) * rnd.choice([1, 2, 3, 10, 70, 700])
+                colour ^= 1
+            rows.append(rows[-1] if rows and rnd.random() < 0.4 else bytes(row[:wide]))
+        want = b"".join((int(bytes(b + 48 for b in r), 2) << -wide % 8).to_bytes((wide + 7) // 8, "big") for r in rows)
+        assert ccitt.decoded(binaries.fax(rows, wide, k), wide, len(rows), k, black_is_1=True) == (want, len(rows))
+    for junk in (b"", b"\0" * 50, bytes(range(256))):
+        assert ccitt.decoded(junk, 100, 10, k)[1] <= 10
