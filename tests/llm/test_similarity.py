@@ -126,20 +126,20 @@ def test_distinct_documents(docs, empty):
 def test_wide_fingerprint():
     words = [f"w{n}" for n in range(400)]
     one, same, near, other = (simhash.wide_fingerprint(" ".join(x)) for x in (words, [*words, *words[:10], *words[5:15]], [*words[:200], "x", *words[200:]], words[::-1]))
-    apart = lambda x, y: (x[0] ^ y[0]).bit_count() + (x[1] ^ y[1]).bit_count()
-    assert simhash.wide_fingerprint("") == simhash.wide_fingerprint(" \n") == (0, 0) and simhash.wide_fingerprint("a B") == simhash.wide_fingerprint("A  b") != (0, 0)
-    assert apart(one, same) <= 12 and apart(one, near) <= 12 and apart(one, other) > 40
+    apart = lambda x, y: sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True))
+    assert simhash.wide_fingerprint("") == simhash.wide_fingerprint(" \n") == (0,) * 4 and simhash.wide_fingerprint("a B") == simhash.wide_fingerprint("A  b") != (0,) * 4
+    assert apart(one, same) <= 24 and apart(one, near) <= 24 and apart(one, other) > 80
 
 
 @pytest.mark.parametrize("size", [1, 40, 600])
 def test_joined_at_anchor_by_brute_force(size):
     """Links join what all links of up to so many bits join, with one of each lot."""
     rng = np.random.default_rng(size)
-    base = rng.integers(0, 1 << 63, (max(1, size // 8), 2), dtype=np.uint64)
+    base = rng.integers(0, 1 << 63, (max(1, size // 8), 4), dtype=np.uint64)
     prints = base[rng.integers(0, len(base), size)]
     for _ in range(9):  # chains of neighbours, too
-        prints[np.arange(size), rng.integers(0, 2, size)] ^= np.uint64(1) << rng.integers(0, 64, size).astype(np.uint64)
-    links, first = simhash.joined_at_anchor(np.arange(100, 100 + size), prints[:, 0].copy(), prints[:, 1].copy(), 12)
+        prints[np.arange(size), rng.integers(0, 4, size)] ^= np.uint64(1) << rng.integers(0, 64, size).astype(np.uint64)
+    links, first = simhash.joined_at_anchor(np.arange(100, 100 + size), prints, 12)
     near = [(i, j) for i in range(size) for j in range(i) if sum(int(a).bit_count() for a in prints[i] ^ prints[j]) <= 12]
     want, got = roots(range(size), near), roots(range(100, 100 + size), links)
     assert {k - 100: v - 100 for k, v in got.items()} == want
@@ -153,11 +153,11 @@ def test_wide_links_at_full_anchors(spark, monkeypatch, at_once):
     rng = random.Random(8)
     rows = []
     for n in range(6):
-        f1, f2 = rng.getrandbits(64), rng.getrandbits(64)
-        rows += [(100 * n + k, f1 ^ (1 << rng.randrange(64)), f2 ^ (1 << rng.randrange(64))) for k in range(60)]
+        own = [rng.getrandbits(64) for _ in range(4)]
+        rows += [(100 * n + k, *(f ^ (1 << rng.randrange(64)) for f in own)) for k in range(60)]
     signed = lambda v: v - (1 << 64) if v >> 63 else v
-    nodes = spark.createDataFrame([(n, signed(a), signed(b)) for n, a, b in rows], "node long, f1 long, f2 long")
-    found = roots([n for n, _, _ in rows], [tuple(r) for r in simhash.wide_links(nodes).collect()])
+    nodes = spark.createDataFrame([(n, *map(signed, prints)) for n, *prints in rows], "node long, f0 long, f1 long, f2 long, f3 long")
+    found = roots([n for n, *_ in rows], [tuple(r) for r in simhash.wide_links(nodes).collect()])
     assert set(found.values()) == {100 * n for n in range(6)}
 
 
