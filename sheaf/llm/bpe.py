@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pieces, ranges, texts
+from .common import holding, pieces, ranges, texts
 from .words import Kept
 
 #: Words, and bytes, that one recursive query contracts; both bound its memory.
@@ -235,6 +235,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
     rows are encoded each; an empty table gives no rows; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("bpe", engine.cache_clear)
         db = engine(ranks, pattern)
         for batch in pieces(batches):
             ids, counts = db.encode(batch.column(1).to_pylist())
@@ -248,6 +249,7 @@ def decode(tokens: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id
     """doc_id and the bytes of `ids` in order; null ids are none. Ids outside the vocabulary stand for nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("bpe", engine.cache_clear)
         db = engine(ranks, pattern)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
@@ -263,6 +265,7 @@ def round_trip_digest(docs: DataFrame, ranks: str, pattern: str, *, id_col: str
     """Encodes every whole text, then decodes the ids: doc_id, n_tokens, ids_sha256, decoded_sha256. Nulls as in `encode`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("bpe", engine.cache_clear)
         db = engine(ranks, pattern)
         for batch in pieces(batches, limit=3 << 20):
             ids, counts = db.encode(batch.column(1).to_pylist())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,18 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holding(operator: str, release: Callable[[], None] | None = None) -> None:
+    """Says whose turn it is in this worker process, which lives on from task to task: what another operator keeps goes, and
+    `release` lets go what this one will keep."""
+    for other in [k for k in _held if k != operator]:
+        _held.pop(other)()
+    if release:
+        _held[operator] = release
+
+
 def pieces(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `limit` bytes of text (or one row that is longer): bounds what is held beside a batch."""
     for batch in batches:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, pieces, texts, written
+from .common import coded, holding, pieces, texts, written
 
 #: Words in a window.
 WORDS = 5
@@ -229,6 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE,
     shared = spark.sparkContext.broadcast(_bitmap(windows, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("decontamination")
         bitmap, mask = shared.value, np.uint64((1 << bits) - 1)
         for batch in pieces(batches):
             found = Templates(batch.column(1))

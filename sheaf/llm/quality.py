@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, id_remainder, pieces, ranges, texts
+from .common import coded, holding, id_remainder, pieces, ranges, texts
 
 DIM = 64
 FEATURES = 2 * DIM + 2
@@ -106,6 +106,7 @@ def corpus_vectors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     columns = [f"c{k}" for k in range(DIM)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("quality")
         context = np.zeros((ROWS, DIM), np.int64)
         for batch in pieces(batches):
             contexts(batch.column(1), context)
@@ -243,6 +244,7 @@ def scored(docs: DataFrame, model: Model, *, accept: float = 0.7, id_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("quality")
         model = shared.value
         for batch in pieces(batches):
             score = model.network.scores(pooled(batch.column(1), model.vectors))
@@ -258,6 +260,7 @@ def accepted(docs: DataFrame, model: Model, *, accept: float = 0.7, id_col: str
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("quality")
         model = shared.value
         for batch in pieces(batches, column=text_col):
             text = pc.fill_null(batch.column(names.index(text_col)), "")
