@@ -43,13 +43,18 @@ _TRIM = regex.compile(rf"^{_EDGE}+|{_EDGE}+$")
 def _kind(run: str) -> tuple[int, int, str, int]:
     """Hash of the canonical word (0: nothing to compare), flags, the word, and its own hash. Flags: 1 number, 2 can be a
     unit, 4 can be a name (a capital, then small letters), 8 ends a sentence."""
-    word = _TRIM.sub("", run)
-    ends = 8 if run.rstrip("\"')]}»”")[-1:] in ".!?:" else 0
+    last = run[-1:]
+    if run.isalnum():  # most are, up to a sign
+        word, ends = run, 0
+    elif last in ".,;" and run[:-1].isalnum():
+        word, ends = run[:-1], 8 if last == "." else 0
+    else:
+        word, ends = _TRIM.sub("", run), 8 if run.rstrip("\"')]}»”")[-1:] in ".!?:" else 0
     if not word:
         return 0, ends | (2 if run.strip(".,;") in UNITS else 0), run, 0
     low = word.lower()
     digest = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 5) or 1
-    if (m := _NUMBER.fullmatch(word)) and (not m[1] or m[1].lower() in UNITS):
+    if not word[0].isalpha() and (m := _NUMBER.fullmatch(word)) and (not m[1] or m[1].lower() in UNITS):
         return int(NUMBER), ends | 1, low, digest
     name = 4 if len(word) > 1 and word[0].isupper() and word[1:].islower() else 0
     return digest, ends | (2 if low in UNITS else 0) | name, low, digest
