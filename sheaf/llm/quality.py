@@ -30,19 +30,25 @@ WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*|\p{N}+|[^\s\p{L}\p{N}]{1,4}")
 
 def _parts(token: str) -> list[str]:
     """The words of a run without white space: letters in lower case followed by how they are written."""
+    if token.isalpha():  # most are, up to a sign
+        return _letters(token)
+    if token[-1:] in ".,;:!?" and token[:-1].isalpha():
+        return [*_letters(token[:-1]), token[-1]]
     out = []
     for x in WORDS.findall(token):
         if x[0].isalpha():
-            out.append(x.lower())
-            if len(x) > 1 and x.isupper():
-                out.append("\0upper")
-            elif x[0].isupper():
-                out.append("\0capital")
+            out += _letters(x)
         else:
             out.append("\0digits" if x[0].isnumeric() else x)
     return out or ["\0none"]
 
 
+def _letters(x: str) -> list[str]:
+    if x[0].isupper():
+        return [x.lower(), "\0upper" if len(x) > 1 and x.isupper() else "\0capital"]
+    return [x.lower(), "\0upper"] if len(x) > 1 and x.isupper() else [x.lower()]
+
+
 def _row(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 3) % ROWS
 
