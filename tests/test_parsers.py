@@ -15,6 +15,7 @@ from sheaf.operators import convert
 from sheaf.parsers import charsets, doc, docx, hwp, hwp3, html, images, mail, metafiles, numbers, pdf, pdf_core, pdf_crypt, rtf, xls, xlsb
 from sheaf.parsers.base import ConversionError, Options
 from sheaf.parsers.markdown import padded_table, strip_markdown, table
+from sheaf.plans import binaries
 from sheaf.plans.synthetic import tarred, zipped
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://r"'
@@ -232,6 +233,12 @@ def test_xls():
     assert xls.rk(0x40590000 | 0) == 100.0 and xls.rk((-5 << 2 & 0xFFFFFFFF) | 2) == -5
 
 
+def test_xls_shows_every_digit():
+    values = [100000.5, 1234567.25, 0.1 + 0.2, -0.0, 1e-10, 20000.5, 1e15]
+    assert [numbers.general(v) for v in values] == ["100000.5", "1234567.25", "0.3", "0", "1e-10", "20000.5", "1e+15"]
+    assert [p.tables[0] for p in xls.pages(binaries.xls([[1100019.5, 7]]), Options(tables=True))] == [[["1100019.5", "7"]]]
+
+
 def test_xlsb():
     rec = lambda kind, body: (bytes([kind]) if kind < 128 else bytes([kind & 0x7F | 0x80, kind >> 7])) + bytes([len(body)]) + body
     wide = lambda s: struct.pack("<I", len(s)) + s.encode("utf-16-le")
