@@ -161,6 +161,50 @@ def test_wide_links_at_full_anchors(spark, monkeypatch, at_once):
     assert set(found.values()) == {100 * n for n in range(6)}
 
 
+def at_the_threshold(rng, size, far):
+    """Fingerprints of which many have another that differs from them in exactly `far` bits, and some near copies."""
+    base = rng.integers(0, 1 << 63, (size // 3, 4), dtype=np.uint64)
+    other, copies = base.copy(), base[rng.integers(0, 3, size // 3)]
+    for row in other:
+        for bit in rng.permutation(256)[:far].tolist():
+            row[bit // 64] ^= np.uint64(1 << bit % 64)
+    copies[np.arange(len(copies)), rng.integers(0, 4, len(copies))] ^= np.uint64(1) << rng.integers(0, 64, len(copies)).astype(np.uint64)
+    return np.unique(np.concatenate([base, other, copies]), axis=0)
+
+
+def lots_by_brute_force(prints, threshold):
+    apart = np.bitwise_count(prints[:, None] ^ prints).sum(2, dtype=np.int64)
+    return roots(range(len(prints)), [(int(i), int(j)) for i, j in np.argwhere(apart <= threshold) if i < j])
+
+
+@pytest.mark.parametrize("run", [64, 2])
+def test_lots_leave_out_no_link(monkeypatch, run):
+    monkeypatch.setattr(simhash, "RUN", run)
+    prints = at_the_threshold(np.random.default_rng(run), 900, simhash.WIDE)
+    assert dict(enumerate(simhash.lots(prints, simhash.WIDE).tolist())) == lots_by_brute_force(prints, simhash.WIDE)
+    assert simhash.lots(prints[:0], simhash.WIDE).tolist() == []
+
+
+def test_masks_by_brute_force():
+    """Any five bits are outside one of the masks, which have 16 bits each but for one."""
+    assert sorted(int(m).bit_count() for m in simhash.MASKS) == [16] * 62 + [32]
+    masks, rng = np.array(simhash.MASKS), random.Random(4)
+    for _ in range(3000):
+        bits = sum(1 << b for b in rng.sample(range(32), 5))
+        assert (masks & np.uint32(bits) == 0).any()
+
+
+@pytest.mark.parametrize(("at_once", "few"), [(1 << 20, 0), (1 << 20, 1 << 12), (400, 0), (150, 100)])
+def test_wide_links_leave_out_no_pair(spark, monkeypatch, at_once, few):
+    """Pairs that differ in as many bits as the threshold allows are all linked, in one block or several."""
+    monkeypatch.setattr(simhash, "MOST_AT_ONCE", at_once)
+    monkeypatch.setattr(simhash, "FEW_PRINTS", few)
+    prints = at_the_threshold(np.random.default_rng(3), 450, simhash.WIDE)
+    nodes = spark.createDataFrame([(n, *x) for n, x in enumerate(prints.view(np.int64).tolist())], "node long, f0 long, f1 long, f2 long, f3 long")
+    found = roots(range(len(prints)), [tuple(r) for r in simhash.wide_links(nodes).collect()])
+    assert found == lots_by_brute_force(prints, simhash.WIDE)
+
+
 def paragraphs(text):
     return {p for p in re.split(r"[.!?]\s+|\n+", text) if p}
 
