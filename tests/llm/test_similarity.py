@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sheaf.llm import edits, sharding, simhash
-from sheaf.llm.components import components
+from sheaf.llm.components import components, joined
 
 from .conftest import by_id
 
@@ -97,6 +97,14 @@ def test_components(spark, monkeypatch, broadcast):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize(("at_most", "broadcast"), [(1 << 16, True), (1 << 17, False)])
+def test_driver_holds_small_sides_only(spark, at_most, broadcast):
+    """What is broadcast has 2^16 rows at most: a round has several such sides, all of which the driver holds."""
+    side = spark.range(10).select(F.col("id").alias("u"), F.lit(1).alias("m"))
+    plan = joined(spark.range(10).select(F.col("id").alias("u")), side, "u", at_most)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("broadcast" in plan) is broadcast
+
+
 def test_near_duplicates(docs, rows, empty):
     got = simhash.near_duplicates(docs).collect()
     prints = [(i, plain_fingerprint(t or "")) for i, t in rows]
