@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter
@@ -11,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sheaf.llm import components as linking
 from sheaf.llm import edits, sharding, simhash
 from sheaf.llm.components import components, joined
 
@@ -131,6 +133,51 @@ def test_distinct_documents(docs, empty):
     assert simhash.distinct_documents(docs).columns == docs.columns and simhash.distinct_documents(empty).count() == 0
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles in 24 partitions, which nothing makes fewer; joins that nothing but a hint broadcasts."""
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def files_written(monkeypatch, module):
+    """Fills with (what, number of files) of the tables that the module writes."""
+    found = []
+
+    def spy(df, what, write=module.written):
+        out = write(df, what)
+        found.append((what.split("-")[0], len([x for x in os.listdir(out._written_at.removeprefix("file://")) if x.startswith("part-")])))
+        return out
+
+    monkeypatch.setattr(module, "written", spy)
+    return found
+
+
+@pytest.mark.parametrize("broadcast", [1 << 16, 0])
+def test_distinct_documents_leave_texts_where_they_are(spark, docs, many_partitions, monkeypatch, capsys, broadcast):
+    """What goes is broadcast, in few files; texts are only shuffled where more goes. Either way the same stay."""
+    monkeypatch.setattr(linking, "BROADCAST_ROWS", broadcast)
+    written = files_written(monkeypatch, linking)
+    out = simhash.distinct_documents(docs)
+    out.explain("formatted")
+    assert ("SortMergeJoin" in capsys.readouterr().out) == (not broadcast)
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [1, 2, None, 8, 8, 9, 10, 12]))
+    assert {w for w, _ in written} >= {"gone", "stars"} and all(n <= 4 for w, n in written if w in ("gone", "stars"))
+
+
+def test_rounds_write_few_files(spark, many_partitions, monkeypatch):
+    links = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1 + F.col("id") % 2).alias("b"))
+    written = files_written(monkeypatch, linking)
+    found = {r.node: r.root for r in linking.components(links).collect()}
+    assert found == {k: v for k, v in roots(range(402), [(i, i + 1 + i % 2) for i in range(400)]).items() if k in found} and len(found) >= 401
+    assert len([w for w, _ in written if w == "stars"]) > 1 and all(n <= 4 for w, n in written if w == "stars")
+
+
 def test_wide_fingerprint():
     words = [f"w{n}" for n in range(400)]
     one, same, near, other = (simhash.wide_fingerprint(" ".join(x)) for x in (words, [*words, *words[:10], *words[5:15]], [*words[:200], "x", *words[200:]], words[::-1]))
