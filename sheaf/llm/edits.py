@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import texts, written
+from .common import files_for, texts, written
 
 #: Sweeps over the three tables before a sketch counts as too small, and the factor by which it then grows.
 SWEEPS, GROWTH = 3, 8
 #: Rows in a bucket of consecutive ids, and most buckets: their bounds are the only thing the driver sees.
 BUCKET_ROWS, MOST_BUCKETS = 2000, 1 << 16
+#: Rows whose sketches one task peels: the tables of its rounds are held at a time.
+PEELED_ROWS = 750
 #: Seeds of the cell in each table and of the check.
 SEEDS, CHECK = (11, 12, 13), 29
 #: Cells in each table of the fingerprint's sketch: enough for about 18 differing paragraphs.
@@ -161,17 +163,18 @@ def _differences(rows: DataFrame, keep: bool = False) -> DataFrame:
     """
     spark, done, attempt, rest = rows.sparkSession, [], 0, rows
     while True:
-        count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rest.count() / 1500))
+        left = rest.count()
+        count, files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(left / PEELED_ROWS)), files_for(spark, 2 * left)
         dealt = rest.repartition(count, "rid")
         peel = _peel(_sketched(dealt, attempt) if attempt else _subtracted(dealt), keep)
         if keep:
             state = written(peel.select("rid", "pair", "cell", "found", "left"), f"peeled-{attempt}")
-            stuck = written(state.where("cell <> -1").select("rid").distinct(), "stuck")
+            stuck = written(state.where("cell <> -1").select("rid").distinct().coalesce(files), "stuck")
             done.append(state.where("cell = -1").join(stuck, "rid", "left_anti").select("rid", "pair", F.col("found").alias("digest"), F.col("left").cast("int").alias("side")))
         else:
             tally = peel.groupBy("rid", "pair").agg(F.coalesce(F.sum(F.when(F.col("cell") == -1, F.col("left"))), F.lit(0)).alias("differing"), F.count(F.when(F.col("cell") != -1, 1)).alias("stuck"))
-            tally = written(tally, f"peeled-{attempt}")
-            stuck = written(tally.where("stuck > 0").select("rid").distinct(), "stuck")
+            tally = written(tally.repartition(files), f"peeled-{attempt}")
+            stuck = written(tally.where("stuck > 0").select("rid").distinct().coalesce(files), "stuck")
             done.append(tally.join(stuck, "rid", "left_anti").select("rid", "pair", "differing"))
         if stuck.isEmpty():
             return reduce(DataFrame.union, done)

@@ -345,6 +345,19 @@ def test_larger_sketches_and_digests(spark):
     assert {x for x in found if x[1] == "next"} == want
 
 
+def test_edits_write_few_files(spark, many_partitions, monkeypatch):
+    """Each attempt's tallies are few rows, and so are their files, however many tasks peel."""
+    rng = random.Random(4)
+    many = [(n, ". ".join(f"s{rng.randrange(4000)} w" for _ in range(rng.choice([1, 3, 40])))) for n in range(200)]
+    written = files_written(monkeypatch, edits)
+    found = edits.edit_fingerprints(spark.createDataFrame(many, "doc_id long, text string"))
+    near = {r.doc_id: r.near_next for r in found.collect()}
+    for n, (i, t) in enumerate(many):
+        a, b = paragraphs(t), paragraphs(many[(n + 1) % len(many)][1])
+        assert near[i] == pytest.approx(1 - len(a ^ b) / (len(a) + len(b)))
+    assert len([w for w, _ in written if w == "peeled"]) > 1 and all(n <= 4 for w, n in written if w in ("peeled", "stuck"))
+
+
 def test_no_python_on_executors(docs, capsys):
     edits.edit_fingerprints(docs).explain("formatted")
     shown = capsys.readouterr().out
